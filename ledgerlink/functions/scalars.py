@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..model import AMOUNT_DECIMALS, CENTS, RESERVED_COLUMNS
 
@@ -24,13 +25,12 @@ def _column(name: str) -> Column:
 def number_or_null(c: Column | str) -> Column:
     """Text to double: blanks off, comma read as decimal point, anything else unreadable is NULL.
 
-    The JVM parser also takes ``1d``, ``2f``, hexadecimal floats, ``NaN`` and ``Infinity``; those
-    end in something other than a digit or a point, or hold an ``x``, and are refused here.
+    The JVM parser would also take ``1d``, ``2f``, hexadecimal floats, ``NaN`` and ``Infinity``.
+    Every such text holds one of the letters that are turned into a mark it cannot read. A number
+    beyond the range of a double is unreadable, too.
     """
-    t = F.replace(F.btrim(_text(c), F.lit(_BLANKS)), F.lit(","), F.lit("."))
-    last = F.substring(t, -1, 1)
-    plain = ((last.between("0", "9")) | (last == ".")) & ~F.contains(F.lower(t), F.lit("x"))
-    n = F.when(plain, t.try_cast("double"))
+    plain = F.translate(F.btrim(_text(c), F.lit(_BLANKS)), ",dDfFxXnNiI", ".??????????")
+    n = plain.try_cast("double")
     return F.when(F.abs(n) <= _LARGEST, n)
 
 
@@ -38,6 +38,14 @@ def number_or_zero(c: Column | str) -> Column:
     return F.coalesce(number_or_null(c), F.lit(0.0))
 
 
+def amount(df: DataFrame, name: str) -> Column:
+    """Amount column of a ledger, 0 where there is none; a numeric column is not parsed again."""
+    c = _column(name)
+    if isinstance(df.schema[name].dataType, T.NumericType):
+        return F.coalesce(F.nanvl(c.cast("double"), F.lit(0.0)), F.lit(0.0))
+    return number_or_zero(c)
+
+
 def composite_key(cols: Sequence[Column | str]) -> Column:
     """Key text; a NULL part counts as the empty text and still takes its separator."""
     if not cols:

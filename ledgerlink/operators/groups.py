@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import composite_key, number_or_zero, round_amount, signed
+from ..functions.scalars import amount, composite_key, round_amount, signed
 from ..model import GroupConfig
 from .classify import group_of, status_of
 
@@ -19,14 +19,14 @@ def reconcile_groups(a: DataFrame, b: DataFrame, cfg: GroupConfig) -> DataFrame:
     """
     none = F.lit(None).cast("double")
     side_a = a.select(
-        composite_key(cfg.key_cols_a).alias("chave"),
-        number_or_zero(cfg.value_a).alias("va"),
+        composite_key([F.col(f"`{c}`") for c in cfg.key_cols_a]).alias("chave"),
+        amount(a, cfg.value_a).alias("va"),
         none.alias("vb"),
     )
     side_b = b.select(
-        composite_key(cfg.key_cols_b).alias("chave"),
+        composite_key([F.col(f"`{c}`") for c in cfg.key_cols_b]).alias("chave"),
         none.alias("va"),
-        number_or_zero(cfg.value_b).alias("vb"),
+        amount(b, cfg.value_b).alias("vb"),
     )
     # An amount is never NULL on its own side, so a NULL sum means that the side is absent.
     sums = side_a.unionByName(side_b).groupBy("chave").agg(

@@ -27,16 +27,16 @@ def join_lookup(
     of ``rows`` is cut by map output and its few lookup rows are read by every piece. A lookup
     that turns out small at run time is broadcast by the same mechanism.
     """
-    given = row_keys is not None
-    keys = list(row_keys) if given else [F.col(c) for c in on]
-    left_names = [f"_jk{i}" for i in range(len(on))]
-    left = rows.withColumns({n: k for n, k in zip(left_names, keys)})
-    left = left.withColumn("_jh", F.xxhash64(*left_names))
-    right = lookup.withColumnsRenamed({c: f"_rk{i}" for i, c in enumerate(on)})
-    right = right.withColumn("_rh", F.xxhash64(*[f"_rk{i}" for i in range(len(on))]))
+    left, names = rows, list(on)
+    if row_keys is not None:
+        names = [f"_jk{i}" for i in range(len(on))]
+        left = rows.withColumns(dict(zip(names, row_keys)))
+    theirs = [f"_rk{i}" for i in range(len(on))]
+    left = left.withColumn("_jh", F.xxhash64(*names))
+    right = lookup.withColumnsRenamed(dict(zip(on, theirs)))
+    right = right.withColumn("_rh", F.xxhash64(*theirs))
     condition = F.col("_jh") == F.col("_rh")
-    for i in range(len(on)):
-        condition = condition & (F.col(f"_jk{i}") == F.col(f"_rk{i}"))
-    joined = left.join(right, condition, how)
-    extra = ["_jh", "_rh", *left_names, *[f"_rk{i}" for i in range(len(on))]]
-    return joined.drop(*extra)
+    for mine, their in zip(names, theirs):
+        condition = condition & (F.col(mine) == F.col(their))
+    added = names if row_keys is not None else []
+    return left.join(right, condition, how).drop("_jh", "_rh", *theirs, *added)

@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import composite_key, number_or_zero, round_amount, row_payload, signed
+from ..functions.scalars import amount, composite_key, round_amount, row_payload, signed
 from ..model import (
     GROUP_NOT_FOUND,
     ROW_ID,
@@ -74,7 +74,7 @@ def _side(
     frame = df.select(
         F.lit(side).alias("origem"),
         F.col(f"`{row_id}`").cast("long").alias(ROW_ID),
-        number_or_zero(F.col(f"`{value}`")).alias("_val"),
+        amount(df, value).alias("_val"),
         *slots.raw(cols),
         mark["status"].alias("_mark_status"),
         mark["grupo"].alias("_mark_grupo"),

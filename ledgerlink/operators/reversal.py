@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import cents_index, number_or_zero
+from ..functions.scalars import amount, cents_index
 from ..model import (
     GROUP_REVERSED,
     GROUP_REVERSED_DOCS,
@@ -46,7 +46,7 @@ def _entries(a: DataFrame, cfg: ReversalConfig, row_id: str) -> DataFrame:
         F.col(f"`{row_id}`").cast("long").alias(ROW_ID),
         F.col(f"`{cfg.col_a}`").cast("string").alias("_ka"),
         F.col(f"`{cfg.col_b}`").cast("string").alias("_kb"),
-        (number_or_zero(F.col(f"`{cfg.value}`")) + F.lit(0.0)).alias("_v"),
+        (amount(a, cfg.value) + F.lit(0.0)).alias("_v"),
     )
     v = F.col("_v")
     dual = F.coalesce(
@@ -132,67 +132,65 @@ def _component_counts(amounts: DataFrame, limit: float) -> DataFrame:
         F.sum("nd").alias("nd"),
         (F.max("m") - F.min("m") <= limit).alias("narrow"),
     )
-    return join_lookup(
-        named.select("key", "m", "comp"),
-        totals,
-        ["key", "comp"],
-        how="inner"
-    )
+    return join_lookup(named.select("key", "m", "comp"), totals, ["key", "comp"], how="inner")
 
 
 def _route(max_component: int) -> Column:
-    """How the entry is settled: by counts, by rank, in one task, or chunk by chunk."""
+    """How the entry is settled: by counts, by ranks, in one task, or chunk by chunk."""
     own = F.when(F.col("role") == "A", F.col("na")).otherwise(F.col("nb"))
     other = F.when(F.col("role") == "A", F.col("nb")).otherwise(F.col("na"))
     return (
         F.when(other == 0, "unpaired")
         .when(F.col("narrow") & (F.col("nd") == 0) & (own <= other), "paired")
-        .when(F.col("narrow"), "rank")
+        .when(F.col("narrow") & (F.col("nd") == 0), "rank")
+        .when(F.col("narrow"), "dual")
         .when(F.col("na") + F.col("nb") <= max_component, "whole")
         .otherwise("chunk")
     )
 
 
+def _ranked(entries: DataFrame, cell_bits: int) -> DataFrame:
+    return rank_in_group(entries, ["key", "comp", "role"], ["cents"], ROW_ID, "rank", cell_bits)
+
+
 def _pair_by_rank(entries: DataFrame, cell_bits: int) -> DataFrame:
-    """Settle narrow components from ranks.
-
-    With ``n`` the smaller count, the first ``n`` entries of each role pair, one after the other.
-    The exception is a row that sits in both lists at the same rank: it may not pair with itself,
-    so it swaps partners with the next rank. A swap is possible everywhere but at rank ``n``. There
-    the row stays unpaired when its rank is not the second half of a swap, which is so when the run
-    of equal ranks that ends at ``n`` has odd length; the entry at ``n + 1`` of the longer list, if
-    there is one, takes its turn.
+    """With ``n`` the smaller count, the first ``n`` entries of each role pair, one by one."""
+    return _ranked(entries, cell_bits).select(
+        ROW_ID, (F.col("rank") <= F.least("na", "nb")).alias("paired")
+    )
+
+
+def _pair_by_rank_apart(entries: DataFrame, cell_bits: int) -> DataFrame:
+    """The same where a row may sit in both lists, since it may not pair with itself.
+
+    A row with the same rank in both lists swaps partners with the next rank. That works everywhere
+    but at rank ``n``. There the row stays unpaired unless its rank is the second half of a swap,
+    that is, when the run of equal ranks that ends at ``n`` has odd length; the entry at ``n + 1``
+    of the longer list, if there is one, takes its turn.
     """
-    group = ["key", "comp", "role"]
-    ranked = rank_in_group(entries, group, ["cents"], ROW_ID, "rank", cell_bits)
-    # Duals are possible in these components only; for all others the run is empty.
-    risky = ranked.filter("nd > 0")
-    meets = (
-        risky.groupBy("key", "comp", ROW_ID)
+    ranked = _ranked(entries, cell_bits)
+    rank_a, rank_b, n = F.col("ra"), F.col("rb"), F.least("na", "nb")
+    met = (
+        ranked.groupBy("key", "comp", ROW_ID)
         .agg(
             F.max(F.when(F.col("role") == "A", F.col("rank"))).alias("ra"),
             F.max(F.when(F.col("role") == "B", F.col("rank"))).alias("rb"),
-            F.first(F.least("na", "nb")).alias("n"),
+            F.max(n).alias("n"),
         )
         .groupBy("key", "comp")
         .agg(
-            F.max(
-                F.when((F.col("ra") <= F.col("n")) & ~F.col("ra").eqNullSafe(F.col("rb")), F.col("ra"))
-            ).alias("_apart"),
+            F.max(F.when((rank_a <= F.col("n")) & ~rank_a.eqNullSafe(rank_b), rank_a)).alias("last")
         )
-        .select("key", "comp", F.coalesce("_apart", F.lit(0)).alias("_apart"))
+        .select("key", "comp", F.coalesce("last", F.lit(0)).alias("last_apart"))
     )
-    n = F.least("na", "nb")
     rank = F.col("rank")
     own = F.when(F.col("role") == "A", F.col("na")).otherwise(F.col("nb"))
-    stuck = (F.col("nd") > 0) & ((n - F.col("_apart")) % 2 == 1)
-    paired = F.when(
-        F.coalesce(stuck, F.lit(False)) & ((own > n) | (F.col("na") == F.col("nb"))),
-        (rank <= n - 1) | (rank == n + 1),
-    ).otherwise(rank <= n)
-    return join_lookup(
-        ranked, meets, ["key", "comp"]
-    ).select(ROW_ID, paired.alias("paired"))
+    stuck = (n - F.col("last_apart")) % 2 == 1
+    loses = stuck & ((own > n) | (F.col("na") == F.col("nb")))
+    paired = F.when(loses, (rank < n) | (rank == n + 1)).otherwise(rank <= n)
+    return join_lookup(ranked, met, ["key", "comp"], how="inner").select(
+        ROW_ID, paired.alias("paired")
+    )
 
 
 def reversal_marks(
@@ -210,36 +208,26 @@ def reversal_marks(
     limit = float(cfg.limit)
     entries = _entries(a, cfg, row_id)
     settled = (
-        join_lookup(
-            entries,
-            _component_counts(_amounts(entries), limit),
-            ["key", "m"],
-            how="inner"
-        )
+        join_lookup(entries, _component_counts(_amounts(entries), limit), ["key", "m"], how="inner")
         .withColumn("route", _route(max_component))
         .drop("narrow", "dual")
     )
     # Several routes read this frame; each reads its own folder of the copy.
     settled = materialize(settled, "reversal-entries", ["route"])
-    used = {r["route"] for r in settled.select("route").distinct().collect()}  # five at most
-
-    direct = settled.filter(F.col("route").isin("paired", "unpaired"))
-    flags = direct.select(ROW_ID, (F.col("route") == "paired").alias("paired"))
-    if "rank" in used:
-        flags = flags.unionByName(
-            _pair_by_rank(settled.filter(F.col("route") == "rank"), cell_bits)
-        )
-    if "whole" in used:
-        flags = flags.unionByName(
-            pair_whole_components(settled.filter(F.col("route") == "whole"), limit)
-        )
-    if "chunk" in used:
-        reach = math.ceil(limit * 100) + 1
-        flags = flags.unionByName(
-            pair_by_chunks(
-                settled.filter(F.col("route") == "chunk"), limit, reach, max_component, cell_bits
-            )
-        )
+    used = {r["route"] for r in settled.select("route").distinct().collect()}  # six at most
+    reach = math.ceil(limit * 100) + 1
+    routes = {
+        "rank": lambda e: _pair_by_rank(e, cell_bits),
+        "dual": lambda e: _pair_by_rank_apart(e, cell_bits),
+        "whole": lambda e: pair_whole_components(e, limit),
+        "chunk": lambda e: pair_by_chunks(e, limit, reach, max_component, cell_bits),
+    }
+    flags = settled.filter(F.col("route").isin("paired", "unpaired")).select(
+        ROW_ID, (F.col("route") == "paired").alias("paired")
+    )
+    for route, settle in routes.items():
+        if route in used:
+            flags = flags.unionByName(settle(settled.filter(F.col("route") == route)))
 
     hit = F.col("paired")
     return (

@@ -99,11 +99,12 @@ def random_ledger(rng, tables, step, spread, size):
         (0.5, 0.25, 9, 30, 3),  # the same chains, chunk by chunk
         (0.02, 0.004, 12, 40, 5),  # several amounts inside one cent
         (0.05, 0.01, 60, 90, 8),
+        (40.0, 17.3, 300, 60, 25),  # amounts over several cells of the amount axis
     ],
 )
 def test_random_ledgers(spark, limit, step, spread, size, max_component):
     rng = random.Random(f"{limit}/{step}/{spread}/{max_component}")
-    rows = random_ledger(rng, 150 if size < 60 else 30, step, spread, size)
+    rows = random_ledger(rng, 120 if size < 60 else 30, step, spread, size)
     df = spark.createDataFrame(
         [(r, d, k, repr(v)) for r, d, k, v in rows],
         "row_id long, doc string, ref string, valor string",
