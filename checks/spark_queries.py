@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,10 +69,17 @@ REVERSAL = ReversalConfig("doc", "ref", "valor", 0.5)
 CANCEL = CancelConfig("indicador", "S")
 
 
+@lru_cache
+def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A test table; its schema is read once per session."""
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
 def ledger(spark: SparkSession, folder: str, sql: str) -> DataFrame:
     """A derived ledger over the tables of ``folder``."""
     for t in _TABLES:
-        spark.read.parquet(f"{folder}/{t}.parquet").createOrReplaceTempView(t)
+        if f"from {t}" in sql:
+            _table(spark, folder, t).createOrReplaceTempView(t)
     return spark.sql(sql)
 
 
@@ -80,8 +88,7 @@ def _by(cols: list[str], limit: float, invert: bool = False) -> GroupConfig:
 
 
 def recon_orders_lineitem(spark: SparkSession, folder: str) -> DataFrame:
-    orders = spark.read.parquet(f"{folder}/orders.parquet")
-    lines = spark.read.parquet(f"{folder}/lineitem.parquet")
+    orders, lines = _table(spark, folder, "orders"), _table(spark, folder, "lineitem")
     cfg = GroupConfig(
         ["o_orderkey"], ["l_orderkey"], "o_totalprice", "l_extendedprice", limit=50000.0
     )
@@ -180,7 +187,7 @@ def money_values(s: SparkSession, d: str) -> DataFrame:
 
 def cents(s: SparkSession, d: str) -> DataFrame:
     total = F.col("o_totalprice")
-    return s.read.parquet(f"{d}/orders.parquet").select(
+    return _table(s, d, "orders").select(
         F.col("o_orderkey").alias("row_id"),
         cents_index(total).alias("centavos"),
         cancels_in_cents(total, -(total + F.lit(0.002))).alias("anula"),

@@ -14,6 +14,8 @@ result is exact; in practice an influence dies out after a few chunks.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -26,33 +28,48 @@ from .pairing import pair_in_row_order
 from .ranks import rank_in_group
 
 
-def _pair_frame(pdf: pd.DataFrame, free: np.ndarray, limit: float) -> np.ndarray:
-    is_a = (pdf["role"] == "A").to_numpy()
-    m = pdf["m"].to_numpy()
-    ids = pdf[ROW_ID].to_numpy()
-    side_a = np.flatnonzero(is_a & free)
-    side_b = np.flatnonzero(~is_a)
-    paired = np.zeros(len(pdf), dtype=bool)
-    paired[side_a], paired[side_b] = pair_in_row_order(
-        ids[side_a], m[side_a], ids[side_b], -m[side_b], pdf["cents"].to_numpy()[side_b], limit
-    )
-    return paired
-
-
 def pair_whole_components(entries: DataFrame, limit: float) -> DataFrame:
-    """One grouped map per component; the caller bounds the size of the components."""
+    """Pair components of bounded size, many in each batch.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        paired = _pair_frame(pdf, np.ones(len(pdf), dtype=bool), limit)
+    Rows arrive sorted by component. A batch ends inside a component as a rule, so the rows of the
+    last one wait for the next batch; a task holds one batch and one component at a time.
+    """
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        fresh = _starts(pdf)
+        paired = pair_in_row_order(pdf, np.cumsum(fresh) - 1, limit)
         return pd.DataFrame({ROW_ID: pdf[ROW_ID], "paired": paired})
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting: list[pd.DataFrame] = []
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            if waiting and not _starts(pd.concat([waiting[-1].tail(1), pdf]))[1:].any():
+                waiting.append(pdf)
+                continue
+            pdf = pd.concat([*waiting, pdf], ignore_index=True)
+            cut = int(np.flatnonzero(_starts(pdf))[-1])
+            waiting = [pdf.iloc[cut:]]
+            if cut:
+                yield settle(pdf.iloc[:cut])
+        if waiting:
+            yield settle(pd.concat(waiting, ignore_index=True))
+
     return (
         entries.select("key", "comp", "role", "m", "cents", ROW_ID)
-        .groupBy("key", "comp")
-        .applyInPandas(run, f"{ROW_ID} long, paired boolean")
+        .repartition("key", "comp")
+        .sortWithinPartitions("key", "comp")
+        .mapInPandas(run, f"{ROW_ID} long, paired boolean")
     )
 
 
+def _starts(pdf: pd.DataFrame) -> np.ndarray:
+    """True where a row belongs to another component than the row before it."""
+    key, comp = pdf["key"].to_numpy(), pdf["comp"].to_numpy()
+    return np.r_[True, (key[1:] != key[:-1]) | (comp[1:] != comp[:-1])]
+
+
 def _copies(entries: DataFrame, reach: int, chunk_rows: int, cell_bits: int) -> DataFrame:
     """Entries with their chunk: B once, A in each of the at most two chunks that can take it.
 
@@ -139,7 +156,11 @@ def pair_by_chunks(
         out = pdf.drop(columns="now_taken")
         out["changed"] = False
         if stale:
-            paired = _pair_frame(pdf, ~told, limit)
+            free = ~((pdf["role"] == "A").to_numpy() & told)
+            paired = np.zeros(len(pdf), dtype=bool)
+            paired[free] = pair_in_row_order(
+                pdf[free], np.zeros(int(free.sum()), dtype=np.int64), limit
+            )
             out["changed"] = True
             out["taken"] = told
             out["paired"] = paired

@@ -1,65 +1,71 @@
-"""Pairing of amounts under one document key, in row order, for data that fits one task.
+"""Pairing of amounts in row order, for entries that sit in one task.
 
-This is the small helper that runs inside a grouped map; Spark decides the groups.
+This is the small helper that runs inside Spark tasks; Spark decides which entries meet there.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import numpy as np
+import pandas as pd
 
 
 def _next_open(jump: list[int], i: int) -> int:
-    """First position at or after ``i`` that still has entries, with path halving."""
+    """First queue at or after ``i`` that still has entries, with path halving."""
     while jump[i] != i:
         jump[i] = jump[jump[i]]
         i = jump[i]
     return i
 
 
-def pair_in_row_order(
-    a_id: np.ndarray,
-    a_amount: np.ndarray,
-    b_id: np.ndarray,
-    b_amount: np.ndarray,
-    b_cents: np.ndarray,
-    limit: float,
-) -> tuple[np.ndarray, np.ndarray]:
-    """Flags of the paired entries of A and of B.
+def pair_in_row_order(entries: pd.DataFrame, group: np.ndarray, limit: float) -> np.ndarray:
+    """Flag the entries (columns role, m, cents, row_id) that pair inside their group.
+
+    ``group`` numbers the groups from 0. Entries of A choose in row order. The choice is the free
+    entry of B in the group with another row id whose ``m`` differs by at most ``limit``, lowest
+    cents first and lowest row id inside equal cents.
 
-    Entries of A choose in row order. The choice is the free entry of B with another row id whose
-    amount cancels within ``limit``, lowest cents first and lowest row id inside equal cents.
-    Entries of B with one amount form a queue in row order. Queues sit in order of amount, so the
-    candidates of an entry are a run of queues, and used-up queues are jumped over.
+    Entries of B with one amount form a queue in row order, and queues sit in order of amount, that
+    is, of falling ``m``. The candidates of an entry are a run of queues; used-up queues are jumped
+    over. An entry costs a search in its group, however many candidates it has.
     """
-    paired_a = np.zeros(len(a_id), dtype=bool)
-    paired_b = np.zeros(len(b_id), dtype=bool)
-    if not len(a_id) or not len(b_id):
-        return paired_a, paired_b
+    paired = np.zeros(len(entries), dtype=bool)
+    is_a = (entries["role"] == "A").to_numpy()
+    m = entries["m"].to_numpy()
+    ids = entries["row_id"].to_numpy()
+    side_a, side_b = np.flatnonzero(is_a), np.flatnonzero(~is_a)
+    if not len(side_a) or not len(side_b):
+        return paired
 
-    by_amount = np.lexsort((b_id, b_amount))
-    amounts, starts = np.unique(b_amount[by_amount], return_index=True)
-    ends = np.append(starts[1:], len(by_amount)).tolist()
-    heads = starts.tolist()
-    cents = b_cents[by_amount][starts].tolist()
-    order = by_amount.tolist()
-    ids = b_id.tolist()
-    jump = list(range(len(amounts) + 1))
+    queue_order = side_b[np.lexsort((ids[side_b], -m[side_b], group[side_b]))]
+    g, amount = group[queue_order], -m[queue_order]
+    first = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (amount[1:] != amount[:-1])])
+    n_groups = int(group.max()) + 1
+    group_start = np.searchsorted(g[first], np.arange(n_groups + 1)).tolist()
 
-    # With rounding, the edges of the run are settled by the very test that defines a pair.
-    low = np.searchsorted(amounts, -a_amount - limit, side="left")
-    high = np.searchsorted(amounts, -a_amount + limit, side="right")
-    n_queues = len(amounts)
+    amounts = amount[first].tolist()
+    cents = entries["cents"].to_numpy()[queue_order][first].tolist()
+    heads = first.tolist()
+    ends = [*heads[1:], len(queue_order)]
+    jump = list(range(len(amounts) + 1))
+    order, row_of = queue_order.tolist(), ids.tolist()
 
-    for i in np.argsort(a_id, kind="stable").tolist():
-        own, amount = a_id[i], a_amount[i]
-        lo, hi = int(low[i]), int(high[i])
-        while lo > 0 and abs(amount + amounts[lo - 1]) <= limit:
+    turn = side_a[np.argsort(ids[side_a], kind="stable")]
+    for i, own, target, group_no in zip(
+        turn.tolist(), ids[turn].tolist(), (-m[turn]).tolist(), group[turn].tolist()
+    ):
+        least, most = group_start[group_no], group_start[group_no + 1]
+        lo = bisect_left(amounts, target - limit, least, most)
+        hi = bisect_right(amounts, target + limit, lo, most)
+        # The search bounds are rounded; the edges are settled by the test that defines a pair.
+        while lo > least and abs(amounts[lo - 1] - target) <= limit:
             lo -= 1
-        while lo < hi and abs(amount + amounts[lo]) > limit:
+        while lo < hi and abs(amounts[lo] - target) > limit:
             lo += 1
-        while hi < n_queues and abs(amount + amounts[hi]) <= limit:
+        while hi < most and abs(amounts[hi] - target) <= limit:
             hi += 1
-        while hi > lo and abs(amount + amounts[hi - 1]) > limit:
+        while hi > lo and abs(amounts[hi - 1] - target) > limit:
             hi -= 1
 
         best = best_at = None
@@ -68,19 +74,18 @@ def pair_in_row_order(
             if best is not None and cents[q] != cents[best]:
                 break
             at = heads[q]
-            if ids[order[at]] == own:
+            if row_of[order[at]] == own:
                 at += 1
-            if at < ends[q] and (best is None or ids[order[at]] < ids[order[best_at]]):
+            if at < ends[q] and (best is None or row_of[order[at]] < row_of[order[best_at]]):
                 best, best_at = q, at
             q = _next_open(jump, q + 1)
         if best is None:
             continue
 
-        paired_a[i] = True
-        paired_b[order[best_at]] = True
-        if best_at != heads[best]:  # the head stays, its place is taken by the one behind it
+        paired[i] = paired[order[best_at]] = True
+        if best_at != heads[best]:  # the head stays and takes the place of the one behind it
             order[best_at] = order[heads[best]]
         heads[best] += 1
         if heads[best] == ends[best]:
             jump[best] = best + 1
-    return paired_a, paired_b
+    return paired

@@ -70,20 +70,26 @@ def _entries(a: DataFrame, cfg: ReversalConfig, row_id: str) -> DataFrame:
 
 
 def _amounts(entries: DataFrame) -> DataFrame:
-    """Entry counts per (key, m), for keys that hold both roles."""
+    """Entry counts per (key, m), for keys that hold both roles.
+
+    The counts are written once: the steps that follow read them several times, while the entries
+    are read only here and for the final join.
+    """
     is_a = F.col("role") == "A"
-    counts = entries.groupBy("key", "m").agg(
-        F.count_if(is_a).alias("na"),
-        F.count_if(~is_a).alias("nb"),
-        F.count_if(is_a & F.col("dual")).alias("nd"),
+    counts = materialize(
+        entries.groupBy("key", "m").agg(
+            F.count_if(is_a).alias("na"),
+            F.count_if(~is_a).alias("nb"),
+            F.count_if(is_a & F.col("dual")).alias("nd"),
+        ),
+        "reversal-amounts",
     )
-    paired_keys = (
-        entries.groupBy("key")
-        .agg(F.max(is_a).alias("_a"), F.max(~is_a).alias("_b"))
-        .filter("_a AND _b")
+    on_both_sides = (
+        counts.groupBy("key").agg(F.sum("na").alias("_a"), F.sum("nb").alias("_b"))
+        .filter("_a > 0 AND _b > 0")
         .select("key")
     )
-    return join_lookup(counts, paired_keys, ["key"], how="left_semi")
+    return join_lookup(counts, on_both_sides, ["key"], how="left_semi")
 
 
 def _with_components(amounts: DataFrame, limit: float) -> DataFrame:

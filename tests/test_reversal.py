@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from ledgerlink.model import ReversalConfig
@@ -55,26 +56,42 @@ def test_document_and_its_reference(table, amount, limit, status):
 
 def test_pairing_helper_follows_the_rule():
     rng = random.Random(5)
-    for _ in range(3000):
+    for _ in range(600):
         limit = rng.choice([0.0, 0.3, 0.5, 1.0])
         step = rng.choice([0.25, 0.004, 1.0])
-        rows = []
-        for i in range(rng.randint(1, 14)):
-            doc, ref = rng.choice([("k", ""), ("", "k"), ("k", "k")])
-            rows.append((i, doc, ref, rng.randint(-3, 3) * step))
-        a = [(r[0], r[3]) for r in rows if r[1]]
-        b = [(r[0], r[3]) for r in rows if r[2]]
-        pa, pb = pair_in_row_order(
-            np.array([x[0] for x in a], dtype=np.int64),
-            np.array([x[1] for x in a]),
-            np.array([x[0] for x in b], dtype=np.int64),
-            np.array([x[1] for x in b]),
-            np.array([cents(x[1]) for x in b], dtype=np.int64),
-            limit,
-        )
-        good = {x[0] for x, p in zip(a, pa) if p} | {x[0] for x, p in zip(b, pb) if p}
+        rows, entries, groups = [], [], []
+        for i in range(rng.randint(1, 60)):
+            key = rng.choice("abc")
+            doc, ref = rng.choice([(key, ""), ("", key), (key, key)])
+            amount = rng.randint(-3, 3) * step
+            rows.append((i, doc, ref, amount))
+            if doc:
+                entries.append(("A", amount, 0, i))
+                groups.append("abc".index(doc))
+            if ref:
+                entries.append(("B", -amount, cents(amount), i))
+                groups.append("abc".index(ref))
+        frame = pd.DataFrame(entries, columns=["role", "m", "cents", "row_id"])
+        flags = pair_in_row_order(frame, np.array(groups, dtype=np.int64), limit)
+        got = {e[3] for e, f in zip(entries, flags) if f}
         want = {k for k, v in expected_marks(rows, limit).items() if v == PAIRED}
-        assert good == (want if a and b else set()), (rows, limit)
+        assert got == want, (rows, limit)
+
+
+def test_components_cut_by_batches(spark):
+    """Batches of a few rows: components wait for their last row."""
+    rng = random.Random(3)
+    rows = random_ledger(rng, 60, 0.25, 9, 40)
+    df = spark.createDataFrame(
+        [(r, d, k, repr(v)) for r, d, k, v in rows],
+        "row_id long, doc string, ref string, valor string",
+    )
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert marks_of(df, ReversalConfig("doc", "ref", "valor", 0.5)) == expected_marks(rows, 0.5)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
 def random_ledger(rng, tables, step, spread, size):
