@@ -37,7 +37,9 @@ from .chunks import pair_by_chunks, pair_whole_components
 from .joins import join_lookup
 from .ranks import CELL_BITS, rank_in_group
 
+# Entries of a component that one task may pair, and amounts of a key that one task may sort.
 MAX_COMPONENT = 500_000
+MAX_AMOUNTS = 1_000_000
 
 
 def _entries(a: DataFrame, cfg: ReversalConfig, row_id: str) -> DataFrame:
@@ -69,8 +71,8 @@ def _entries(a: DataFrame, cfg: ReversalConfig, row_id: str) -> DataFrame:
     return rows.select(ROW_ID, F.inline(both)).filter("key <> ''")
 
 
-def _amounts(entries: DataFrame) -> DataFrame:
-    """Entry counts per (key, m), for keys that hold both roles.
+def _amounts(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entry counts per (key, m), and the keys that hold both roles with their number of amounts.
 
     The counts are written once: the steps that follow read them several times, while the entries
     are read only here and for the final join.
@@ -84,16 +86,36 @@ def _amounts(entries: DataFrame) -> DataFrame:
         ),
         "reversal-amounts",
     )
-    on_both_sides = (
-        counts.groupBy("key").agg(F.sum("na").alias("_a"), F.sum("nb").alias("_b"))
+    keys = (
+        counts.groupBy("key")
+        .agg(F.sum("na").alias("_a"), F.sum("nb").alias("_b"), F.count(F.lit(1)).alias("_amounts"))
         .filter("_a > 0 AND _b > 0")
-        .select("key")
+        .select("key", "_amounts")
     )
-    return join_lookup(counts, on_both_sides, ["key"], how="left_semi")
+    return counts, keys
 
 
-def _with_components(amounts: DataFrame, limit: float) -> DataFrame:
-    """Name each amount's component by the smallest ``m`` in it.
+def _components_in_key(amounts: DataFrame, limit: float) -> DataFrame:
+    """Components of keys with a bounded number of amounts: one layout by key serves all steps."""
+    along = Window.partitionBy("key").orderBy("m")
+    whole = Window.partitionBy("key", "comp")
+    gap = F.coalesce(F.col("m") - F.lag("m").over(along) > limit, F.lit(True))
+    named = amounts.withColumn("_start", F.when(gap, F.col("m"))).withColumn(
+        "comp", F.last("_start", ignorenulls=True).over(along)
+    )
+    return named.select(
+        "key",
+        "m",
+        "comp",
+        F.sum("na").over(whole).alias("na"),
+        F.sum("nb").over(whole).alias("nb"),
+        F.sum("nd").over(whole).alias("nd"),
+        (F.max("m").over(whole) - F.min("m").over(whole) <= limit).alias("narrow"),
+    )
+
+
+def _components_in_cells(amounts: DataFrame, limit: float) -> DataFrame:
+    """Components of keys with any number of amounts; no task sees all amounts of a key.
 
     Amounts are compared with their neighbour inside cells of the amount axis, then cells with
     their neighbour; the second step sees one row per cell of a key.
@@ -119,19 +141,12 @@ def _with_components(amounts: DataFrame, limit: float) -> DataFrame:
         .select("key", "_cell", "_open")
     )
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
+    named = materialize(
         started.withColumn("_latest", F.max("_start").over(upto))
         .join(cells, ["key", "_cell"])
-        .withColumn("comp", F.coalesce("_latest", "_open"))
-        .drop("_cell", "_start", "_latest", "_open")
+        .select("key", "m", F.coalesce("_latest", "_open").alias("comp"), "na", "nb", "nd"),
+        "reversal-components",
     )
-
-
-def _component_counts(amounts: DataFrame, limit: float) -> DataFrame:
-    """Attach to each (key, m) its component, the component's counts and whether it is narrow."""
-    if limit == 0:
-        return amounts.withColumns({"comp": F.col("m"), "narrow": F.lit(True)})
-    named = _with_components(amounts, limit)
     totals = named.groupBy("key", "comp").agg(
         F.sum("na").alias("na"),
         F.sum("nb").alias("nb"),
@@ -141,6 +156,28 @@ def _component_counts(amounts: DataFrame, limit: float) -> DataFrame:
     return join_lookup(named.select("key", "m", "comp"), totals, ["key", "comp"], how="inner")
 
 
+def _component_counts(entries: DataFrame, limit: float, max_amounts: int) -> DataFrame:
+    """The component of each (key, m), the component's counts and whether it is narrow.
+
+    A component is named by its smallest ``m``. Keys without entries of both roles are left out.
+    """
+    counts, keys = _amounts(entries)
+    if limit == 0:
+        amounts = join_lookup(counts, keys.select("key"), ["key"], how="left_semi")
+        return amounts.withColumns({"comp": F.col("m"), "narrow": F.lit(True)})
+    if counts.count() <= max_amounts:  # from the file footers; no key can have more
+        return _components_in_key(counts.join(keys.select("key"), "key", "left_semi"), limit)
+    many = F.col("_amounts") > max_amounts
+    few_keys, many_keys = keys.filter(~many).select("key"), keys.filter(many).select("key")
+    few = _components_in_key(counts.join(few_keys, "key", "left_semi"), limit)
+    if many_keys.isEmpty():
+        return few
+    large = materialize(
+        join_lookup(counts, many_keys, ["key"], how="left_semi"), "reversal-large-keys"
+    )
+    return few.unionByName(_components_in_cells(large, limit))
+
+
 def _route(max_component: int) -> Column:
     """How the entry is settled: by counts, by ranks, in one task, or chunk by chunk."""
     own = F.when(F.col("role") == "A", F.col("na")).otherwise(F.col("nb"))
@@ -204,6 +241,7 @@ def reversal_marks(
     cfg: ReversalConfig,
     row_id: str = ROW_ID,
     max_component: int = MAX_COMPONENT,
+    max_amounts: int = MAX_AMOUNTS,
     cell_bits: int = CELL_BITS,
 ) -> DataFrame:
     """(row_id, status, grupo) of the rows that take part in a reversal.
@@ -214,7 +252,9 @@ def reversal_marks(
     limit = float(cfg.limit)
     entries = _entries(a, cfg, row_id)
     settled = (
-        join_lookup(entries, _component_counts(_amounts(entries), limit), ["key", "m"], how="inner")
+        join_lookup(
+            entries, _component_counts(entries, limit, max_amounts), ["key", "m"], how="inner"
+        )
         .withColumn("route", _route(max_component))
         .drop("narrow", "dual")
     )
