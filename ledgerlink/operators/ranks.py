@@ -21,27 +21,32 @@ def rank_in_group(
     """Add the 1-based rank of each row in its group, ordered by ``leading`` and then ``row_id``.
 
     Row ids are distinct inside a group, so a cell of ``2**cell_bits`` neighbouring ids holds at
-    most that many rows of one group and one leading value. Rows are ranked inside their cell; the
-    count of the cells before it comes from a running sum over the cell counts. No task sorts a
-    whole group, however large the group is.
+    most that many rows of one group and one leading value. Rows are ranked inside their cell. The
+    rows before a cell are counted in two steps, cells of the same leading values first and then
+    whole leading values, so that neither running sum sees more than one row per cell of one
+    leading value, or per leading value. No task sorts a whole group, however large the group is.
     """
-    cell = [*group, *leading, "_cell"]
-    cells_first = df.withColumn("_cell", F.shiftright(F.col(row_id), cell_bits))
+    block = [*group, *leading]
+    cell = [*block, "_cell"]
+    celled = df.withColumn("_cell", F.shiftright(F.col(row_id), cell_bits))
     in_cell = Window.partitionBy(*cell).orderBy(row_id)
-    before = (
-        Window.partitionBy(*group)
-        .orderBy(*leading, "_cell")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = (
-        cells_first.groupBy(*cell)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .drop("_n")
-    )
-    ranked = cells_first.withColumn("_rank", F.row_number().over(in_cell))
+    earlier = Window.unboundedPreceding, -1
+    cells_before = Window.partitionBy(*block).orderBy("_cell").rowsBetween(*earlier)
+    counts = celled.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(cells_before), F.lit(0)))
+    if leading:
+        blocks_before = Window.partitionBy(*group).orderBy(*leading).rowsBetween(*earlier)
+        blocks = (
+            counts.groupBy(*block)
+            .agg(F.sum("_n").alias("_m"))
+            .withColumn("_ahead", F.coalesce(F.sum("_m").over(blocks_before), F.lit(0)))
+        )
+        offsets = offsets.join(blocks, block).withColumn(
+            "_offset", F.col("_offset") + F.col("_ahead")
+        )
+    ranked = celled.withColumn("_rank", F.row_number().over(in_cell))
     return (
-        ranked.join(offsets, cell)  # cells are small, and the ranked side is already laid out by cell
+        ranked.join(offsets.select(*cell, "_offset"), cell)  # both sides are laid out by cell
         .withColumn(out, F.col("_rank") + F.col("_offset"))
         .drop("_rank", "_offset", "_cell")
     )

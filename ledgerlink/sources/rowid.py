@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import ROW_ID
+from ..scratch import materialize
 
 
 def parquet_with_row_id(spark: SparkSession, path: str | list[str], out: str = ROW_ID) -> DataFrame:
@@ -27,8 +28,10 @@ def parquet_with_row_id(spark: SparkSession, path: str | list[str], out: str = R
         .agg(F.count(F.lit(1)).alias("_n"))
     )
     earlier = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-    starts = files.select(
-        "_file", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start")
+    # Written, so that the join knows how small it is and broadcasts it only if it is small.
+    starts = materialize(
+        files.select("_file", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start")),
+        "file-starts",
     )
     return (
         located.join(starts, "_file")
