@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..model import ROW_ID
 from ..scratch import materialize
 from .joins import join_lookup
-from .pairing import pair_in_row_order
+from .pairing import Queues, pair_in_row_order
 from .ranks import rank_in_group
 
 
@@ -36,8 +36,7 @@ def pair_whole_components(entries: DataFrame, limit: float) -> DataFrame:
     """
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        fresh = _starts(pdf)
-        paired = pair_in_row_order(pdf, np.cumsum(fresh) - 1, limit)
+        paired = pair_in_row_order(pdf, np.cumsum(_starts(pdf)) - 1, limit)
         return pd.DataFrame({ROW_ID: pdf[ROW_ID], "paired": paired})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -64,10 +63,14 @@ def pair_whole_components(entries: DataFrame, limit: float) -> DataFrame:
     )
 
 
-def _starts(pdf: pd.DataFrame) -> np.ndarray:
-    """True where a row belongs to another component than the row before it."""
-    key, comp = pdf["key"].to_numpy(), pdf["comp"].to_numpy()
-    return np.r_[True, (key[1:] != key[:-1]) | (comp[1:] != comp[:-1])]
+def _starts(pdf: pd.DataFrame, by: tuple[str, ...] = ("key", "comp")) -> np.ndarray:
+    """True where a row differs from the row before it in one of the columns."""
+    fresh = np.zeros(len(pdf), dtype=bool)
+    fresh[0] = True
+    for c in by:
+        values = pdf[c].to_numpy()
+        fresh[1:] |= values[1:] != values[:-1]
+    return fresh
 
 
 def _copies(entries: DataFrame, reach: int, chunk_rows: int, cell_bits: int) -> DataFrame:
@@ -141,50 +144,115 @@ def _copies(entries: DataFrame, reach: int, chunk_rows: int, cell_bits: int) ->
 
 _STATE = (
     f"key string, comp double, chunk long, role string, m double, cents long, {ROW_ID} long, "
-    "shared boolean, later boolean, taken boolean, paired boolean, changed boolean"
+    "shared boolean, later boolean, taken boolean, paired boolean"
 )
+_CHUNK = ("key", "comp", "chunk")
+
+
+class _OpenChunk:
+    """The chunk that a task is reading: entries of B first, then entries of A in row order."""
+
+    def __init__(self, place: tuple, limit: float) -> None:
+        self.place = place
+        self.limit = limit
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.queues: Queues | None = None
+
+    def add(self, b: pd.DataFrame) -> None:
+        self.parts.append((b[ROW_ID].to_numpy(), b["m"].to_numpy(), b["cents"].to_numpy()))
+
+    def _open(self) -> Queues:
+        if self.queues is None:
+            empty = [(np.array([], np.int64), np.array([], float), np.array([], np.int64))]
+            self.ids, self.m, self.cents = map(np.concatenate, zip(*(self.parts or empty)))
+            self.parts = []
+            group = np.zeros(len(self.ids), dtype=np.int8)
+            self.queues = Queues(group, self.ids, self.m, self.cents, self.limit)
+        return self.queues
+
+    def serve(self, a: pd.DataFrame) -> pd.DataFrame:
+        free = ~a["taken"].to_numpy(dtype=bool)
+        paired = np.zeros(len(a), dtype=bool)
+        ids, m = a[ROW_ID].to_numpy()[free], a["m"].to_numpy()[free]
+        paired[free] = self._open().serve(np.zeros(len(ids), dtype=np.int8), ids, m)
+        return a.assign(paired=paired)
+
+    def close(self) -> pd.DataFrame:
+        queues = self._open()
+        rows = pd.DataFrame(
+            {"role": "B", "m": self.m, "cents": self.cents, ROW_ID: self.ids, "paired": queues.paired}
+        )
+        never = dict.fromkeys(("shared", "later", "taken"), False)
+        return rows.assign(**dict(zip(_CHUNK, self.place)), **never)
+
+
+def _pair_chunks(state: DataFrame, limit: float) -> DataFrame:
+    """Pair every chunk of ``state`` on its own.
+
+    A chunk streams through its task in batches. The task keeps two numbers per entry of B and
+    nothing of A, so that a chunk may be much larger than what fits a data frame.
+    """
+    names = [f.split()[0] for f in _STATE.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chunk: _OpenChunk | None = None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            out = []
+            cuts = np.flatnonzero(_starts(pdf, _CHUNK)).tolist()
+            for begin, end in zip(cuts, [*cuts[1:], len(pdf)]):
+                piece = pdf.iloc[begin:end]
+                place = tuple(piece.iloc[0][list(_CHUNK)])
+                if chunk is None or chunk.place != place:
+                    if chunk is not None:
+                        out.append(chunk.close())
+                    chunk = _OpenChunk(place, limit)
+                is_a = (piece["role"] == "A").to_numpy()
+                if not is_a.all():
+                    chunk.add(piece[~is_a])
+                if is_a.any():
+                    out.append(chunk.serve(piece[is_a]))
+            if out:
+                yield pd.concat(out)[names]
+        if chunk is not None:
+            yield chunk.close()[names]
+
+    return (
+        state.select(*names)
+        .repartition(*_CHUNK)
+        .sortWithinPartitions(*_CHUNK, F.desc("role"), ROW_ID)
+        .mapInPandas(run, _STATE)
+    )
 
 
 def pair_by_chunks(
     entries: DataFrame, limit: float, reach: int, chunk_rows: int, cell_bits: int
 ) -> DataFrame:
     """Pair components of any size; ``taken`` is what a chunk was last told by its predecessor."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        told = pdf["now_taken"].to_numpy(dtype=bool)
-        stale = pdf["paired"].isna().any() or (told != pdf["taken"].to_numpy(dtype=bool)).any()
-        out = pdf.drop(columns="now_taken")
-        out["changed"] = False
-        if stale:
-            free = ~((pdf["role"] == "A").to_numpy() & told)
-            paired = np.zeros(len(pdf), dtype=bool)
-            paired[free] = pair_in_row_order(
-                pdf[free], np.zeros(int(free.sum()), dtype=np.int64), limit
-            )
-            out["changed"] = True
-            out["taken"] = told
-            out["paired"] = paired
-        return out
-
-    unknown = F.lit(None).cast("boolean")
-    state = _copies(entries, reach, chunk_rows, cell_bits).withColumns(
-        {"taken": F.lit(False), "paired": unknown, "changed": F.lit(True)}
+    copies = _copies(entries, reach, chunk_rows, cell_bits).withColumns(
+        {"taken": F.lit(False), "paired": F.lit(None).cast("boolean")}
     )
-    state = state.withColumn("now_taken", F.lit(False))
+    state = materialize(_pair_chunks(copies, limit), "reversal-chunks")
     while True:
-        state = materialize(
-            state.groupBy("key", "comp", "chunk").applyInPandas(run, _STATE), "reversal-chunks"
+        first = state.filter("shared AND NOT later").select(
+            "key", "comp", ROW_ID, F.col("paired").alias("told")
         )
-        if state.filter("changed").isEmpty():
-            break
-        upstream = state.filter("shared AND NOT later").select(
-            "key", "comp", ROW_ID, F.lit(True).alias("later"), F.col("paired").alias("up")
-        )
-        state = (
-            join_lookup(state, upstream, ["key", "comp", ROW_ID, "later"])
-            .withColumn("now_taken", F.coalesce("up", F.lit(False)))
-            .drop("up")
+        news = join_lookup(state.filter("later"), first, ["key", "comp", ROW_ID], how="inner")
+        news = materialize(
+            news.filter("told <> taken").select(*_CHUNK, ROW_ID, "later", "told"), "reversal-news"
         )
+        if news.isEmpty():
+            break
+        stale = news.select(*_CHUNK).distinct().withColumn("stale", F.lit(True))
+        known = join_lookup(state, stale, list(_CHUNK))
+        again = join_lookup(
+            known.filter("stale"),
+            news.select("key", "comp", ROW_ID, "later", "told"),
+            ["key", "comp", ROW_ID, "later"],
+        ).withColumn("taken", F.coalesce("told", "taken"))
+        kept = known.filter("stale IS NULL").drop("stale")
+        state = materialize(kept.unionByName(_pair_chunks(again, limit)), "reversal-chunks")
     # Entries that were left out of the chunks never pair.
     settled = state.select(ROW_ID, "paired")
     return settled.unionByName(entries.select(ROW_ID, F.lit(False).alias("paired")))

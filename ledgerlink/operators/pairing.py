@@ -5,6 +5,7 @@ This is the small helper that runs inside Spark tasks; Spark decides which entri
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_left, bisect_right
 
 import numpy as np
@@ -19,73 +20,93 @@ def _next_open(jump: list[int], i: int) -> int:
     return i
 
 
-def pair_in_row_order(entries: pd.DataFrame, group: np.ndarray, limit: float) -> np.ndarray:
-    """Flag the entries (columns role, m, cents, row_id) that pair inside their group.
+class Queues:
+    """Entries of role B, waiting for entries of role A that are served in row order.
 
-    ``group`` numbers the groups from 0. Entries of A choose in row order. The choice is the free
-    entry of B in the group with another row id whose ``m`` differs by at most ``limit``, lowest
-    cents first and lowest row id inside equal cents.
+    An entry of A gets the free entry of B in its group with another row id whose ``m`` differs by
+    at most ``limit``, lowest cents first and lowest row id inside equal cents.
 
     Entries of B with one amount form a queue in row order, and queues sit in order of amount, that
     is, of falling ``m``. The candidates of an entry are a run of queues; used-up queues are jumped
     over. An entry costs a search in its group, however many candidates it has.
     """
-    paired = np.zeros(len(entries), dtype=bool)
+
+    def __init__(
+        self, group: np.ndarray, ids: np.ndarray, m: np.ndarray, cents: np.ndarray, limit: float
+    ) -> None:
+        order = np.lexsort((ids, -m, group))
+        g, amount = group[order], -m[order]
+        change = (g[1:] != g[:-1]) | (amount[1:] != amount[:-1])
+        first = np.flatnonzero(np.r_[True, change])[: len(order)]
+        self.limit = limit
+        self.paired = np.zeros(len(ids), dtype=bool)
+        self._bounds = g[first]
+        self._amounts = amount[first].tolist()
+        self._cents = cents[order][first].tolist()
+        self._heads = first.tolist()
+        self._ends = [*self._heads[1:], len(order)]
+        self._jump = list(range(len(self._amounts) + 1))
+        self._entry = array("q", order.astype(np.int64).tobytes())
+        self._row = array("q", ids[order].astype(np.int64).tobytes())
+
+    def serve(self, group: np.ndarray, ids: np.ndarray, m: np.ndarray) -> np.ndarray:
+        """Flags of the entries of A that get a partner; they come in row order, call after call."""
+        served = np.zeros(len(ids), dtype=bool)
+        amounts, cents, heads, ends = self._amounts, self._cents, self._heads, self._ends
+        jump, row, limit = self._jump, self._row, self.limit
+        least_of = np.searchsorted(self._bounds, group, side="left").tolist()
+        most_of = np.searchsorted(self._bounds, group, side="right").tolist()
+        for i, (own, target, least, most) in enumerate(
+            zip(ids.tolist(), (-m).tolist(), least_of, most_of)
+        ):
+            lo = bisect_left(amounts, target - limit, least, most)
+            hi = bisect_right(amounts, target + limit, lo, most)
+            # The search bounds are rounded; the edges are settled by the test that defines a pair.
+            while lo > least and abs(amounts[lo - 1] - target) <= limit:
+                lo -= 1
+            while lo < hi and abs(amounts[lo] - target) > limit:
+                lo += 1
+            while hi < most and abs(amounts[hi] - target) <= limit:
+                hi += 1
+            while hi > lo and abs(amounts[hi - 1] - target) > limit:
+                hi -= 1
+
+            best = best_at = None
+            q = _next_open(jump, lo)
+            while q < hi:
+                if best is not None and cents[q] != cents[best]:
+                    break
+                at = heads[q]
+                if row[at] == own:
+                    at += 1
+                if at < ends[q] and (best is None or row[at] < row[best_at]):
+                    best, best_at = q, at
+                q = _next_open(jump, q + 1)
+            if best is not None:
+                served[i] = True
+                self._take(best, best_at)
+        return served
+
+    def _take(self, queue: int, at: int) -> None:
+        head = self._heads[queue]
+        self.paired[self._entry[at]] = True
+        if at != head:  # the head stays and takes the place of the one behind it
+            self._entry[at], self._row[at] = self._entry[head], self._row[head]
+        self._heads[queue] = head + 1
+        if head + 1 == self._ends[queue]:
+            self._jump[queue] = queue + 1
+
+
+def pair_in_row_order(entries: pd.DataFrame, group: np.ndarray, limit: float) -> np.ndarray:
+    """Flag the entries (columns role, m, cents, row_id) that pair inside their group."""
     is_a = (entries["role"] == "A").to_numpy()
-    m = entries["m"].to_numpy()
-    ids = entries["row_id"].to_numpy()
+    m, ids = entries["m"].to_numpy(), entries["row_id"].to_numpy()
     side_a, side_b = np.flatnonzero(is_a), np.flatnonzero(~is_a)
-    if not len(side_a) or not len(side_b):
-        return paired
-
-    queue_order = side_b[np.lexsort((ids[side_b], -m[side_b], group[side_b]))]
-    g, amount = group[queue_order], -m[queue_order]
-    first = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (amount[1:] != amount[:-1])])
-    n_groups = int(group.max()) + 1
-    group_start = np.searchsorted(g[first], np.arange(n_groups + 1)).tolist()
-
-    amounts = amount[first].tolist()
-    cents = entries["cents"].to_numpy()[queue_order][first].tolist()
-    heads = first.tolist()
-    ends = [*heads[1:], len(queue_order)]
-    jump = list(range(len(amounts) + 1))
-    order, row_of = queue_order.tolist(), ids.tolist()
-
-    turn = side_a[np.argsort(ids[side_a], kind="stable")]
-    for i, own, target, group_no in zip(
-        turn.tolist(), ids[turn].tolist(), (-m[turn]).tolist(), group[turn].tolist()
-    ):
-        least, most = group_start[group_no], group_start[group_no + 1]
-        lo = bisect_left(amounts, target - limit, least, most)
-        hi = bisect_right(amounts, target + limit, lo, most)
-        # The search bounds are rounded; the edges are settled by the test that defines a pair.
-        while lo > least and abs(amounts[lo - 1] - target) <= limit:
-            lo -= 1
-        while lo < hi and abs(amounts[lo] - target) > limit:
-            lo += 1
-        while hi < most and abs(amounts[hi] - target) <= limit:
-            hi += 1
-        while hi > lo and abs(amounts[hi - 1] - target) > limit:
-            hi -= 1
-
-        best = best_at = None
-        q = _next_open(jump, lo)
-        while q < hi:
-            if best is not None and cents[q] != cents[best]:
-                break
-            at = heads[q]
-            if row_of[order[at]] == own:
-                at += 1
-            if at < ends[q] and (best is None or row_of[order[at]] < row_of[order[best_at]]):
-                best, best_at = q, at
-            q = _next_open(jump, q + 1)
-        if best is None:
-            continue
-
-        paired[i] = paired[order[best_at]] = True
-        if best_at != heads[best]:  # the head stays and takes the place of the one behind it
-            order[best_at] = order[heads[best]]
-        heads[best] += 1
-        if heads[best] == ends[best]:
-            jump[best] = best + 1
+    side_a = side_a[np.argsort(ids[side_a], kind="stable")]
+    queues = Queues(
+        group[side_b], ids[side_b], m[side_b], entries["cents"].to_numpy()[side_b], limit
+    )
+    paired = np.zeros(len(entries), dtype=bool)
+    paired[side_a] = queues.serve(group[side_a], ids[side_a], m[side_a])
+    paired[side_b] = queues.paired
     return paired
