@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,33 +50,30 @@ def _first_rows(
 
 def _matched(
     origin: DataFrame, dest: DataFrame, cfg: AttributionConfig, row_id: str
-) -> tuple[DataFrame, Column, Column]:
-    """Destination with the origin row each key finds; the first key that finds one wins.
+) -> DataFrame:
+    """Destination with the origin row (``_hit``) of the first key that finds one (``_matched``).
 
     Origin rows are never used up, so the keys do not depend on each other.
     """
     part = _key_part(cfg)
+    usable = [k for k in cfg.keys if k.pairs]
+    if not usable:
+        raise ValueError("no key has columns on both sides")
     joined = dest
-    hits = []
-    for i, key in enumerate(cfg.keys):
-        if not key.pairs:
-            continue
-        out = f"_hit{i}"
-        reduced = _first_rows(origin, key, cfg, row_id, out)
+    for i, key in enumerate(usable):
+        reduced = _first_rows(origin, key, cfg, row_id, "_found")
         joined = join_lookup(
             joined,
             reduced,
-            [c for c in reduced.columns if c != out],
+            [c for c in reduced.columns if c != "_found"],
             row_keys=[part(_text(d)) for d, _ in key.pairs],
         )
-        hits.append((key.key_id, out))
-    if not hits:
-        raise ValueError("no key has columns on both sides")
-    hit = F.coalesce(*[F.col(out) for _, out in hits])
-    matched_key = F.coalesce(
-        *[F.when(F.col(out).isNotNull(), F.lit(key_id)) for key_id, out in hits]
-    )
-    return joined, hit, matched_key
+        hit = F.col("_found")
+        by = F.when(hit.isNotNull(), F.lit(key.key_id))
+        if i:
+            hit, by = F.coalesce("_hit", hit), F.coalesce("_matched", by)
+        joined = joined.withColumns({"_hit": hit, "_matched": by}).drop("_found")
+    return joined
 
 
 def _new_values(cfg: AttributionConfig, dest_columns: Sequence[str]) -> dict[str, Column]:
@@ -106,10 +104,9 @@ def attribute(
         *[_text(c).alias(c) for c in needed],
         *[_text(c).alias(f"_dest_{c}") for c in own],
     )
-    joined, hit, matched_key = _matched(origin, narrow, cfg, row_id)
     values = _new_values(cfg, dest.columns)
     return (
-        joined.withColumns({"_hit": hit, "_matched": matched_key})
+        _matched(origin, narrow, cfg, row_id)
         .filter("_hit IS NOT NULL")
         .select(
             "dest_row_id",
@@ -148,18 +145,19 @@ def write_back(
     """
     fixed = {*RESERVED_COLUMNS, row_id, *protected, *[k.key_id for k in cfg.keys]}
     targets = [c for c in cfg.selected if c not in fixed]
-    own = [c for c in targets if c in dest.columns]
-    joined, hit, _ = _matched(
-        origin, dest.withColumns({f"_dest_{c}": _text(c) for c in own}), cfg, row_id
+    # Matching runs on narrow rows; the wide rows meet its result once, by their distinct ids.
+    found = attribute(origin, dest, replace(cfg, selected=targets), row_id).select(
+        "dest_row_id", *[F.col(f"`{c}`").alias(f"_new_{c}") for c in targets]
     )
-    values = _new_values(cfg, dest.columns)
-    found = F.col("_hit").isNotNull()
+    matched = F.col("dest_row_id").isNotNull()
 
     def column(c: str) -> Column:
         if c not in targets:
             return F.col(f"`{c}`")
-        before = F.col(f"`_dest_{c}`") if c in own else F.lit(None).cast("string")
-        return F.when(found, values[c]).otherwise(before).alias(c)
+        before = _text(c) if c in dest.columns else F.lit(None).cast("string")
+        return F.when(matched, F.col(f"`_new_{c}`")).otherwise(before).alias(c)
 
     added = [c for c in targets if c not in dest.columns]
-    return joined.withColumn("_hit", hit).select(*[column(c) for c in [*dest.columns, *added]])
+    return dest.join(found, F.col(f"`{row_id}`") == F.col("dest_row_id"), "left").select(
+        *[column(c) for c in [*dest.columns, *added]]
+    )

@@ -18,7 +18,7 @@ from ..model import (
     ReversalConfig,
     RowConfig,
 )
-from ..operators.cancel import cancel_marks, is_cancelled
+from ..operators.cancel import cancel_marks, is_cancelled, is_kept
 from ..operators.groups import reconcile_groups
 from ..operators.multikey import reconcile_rows
 from ..operators.reversal import reversal_marks
@@ -85,7 +85,7 @@ def run_groups(
     if reversal:
         gone = marks_a.select(F.col(ROW_ID).alias("_gone"))
         left_a = a.join(gone, F.col(f"`{row_id}`") == F.col("_gone"), "left_anti")
-    left_b = b.filter(~is_cancelled(cancel)) if cancel else b
+    left_b = b.filter(is_kept(cancel)) if cancel else b
     return Run(reconcile_groups(left_a, left_b, cfg), marks_a, marks_b)
 
 
