@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import amount, composite_key, round_amount, signed
+from ..functions.scalars import amount, composite_key, exact_sum, round_amount, signed
 from ..model import GroupConfig
 from .classify import group_of, status_of
 
@@ -30,7 +30,7 @@ def reconcile_groups(a: DataFrame, b: DataFrame, cfg: GroupConfig) -> DataFrame:
     )
     # An amount is never NULL on its own side, so a NULL sum means that the side is absent.
     sums = side_a.unionByName(side_b).groupBy("chave").agg(
-        F.sum("va").alias("sa"), F.sum("vb").alias("sb")
+        exact_sum(F.col("va")).alias("sa"), exact_sum(F.col("vb")).alias("sb")
     )
     both = F.col("has_a") & F.col("has_b")
     return (

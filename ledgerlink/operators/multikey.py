@@ -19,7 +19,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import amount, composite_key, round_amount, row_payload, signed
+from ..functions.scalars import (
+    amount,
+    composite_key,
+    exact_sum,
+    round_amount,
+    row_payload,
+    signed,
+)
 from ..model import (
     GROUP_NOT_FOUND,
     ROW_ID,
@@ -110,8 +117,8 @@ def _pass(rest: DataFrame, key: KeyDef, slots: _Slots, cfg: RowConfig) -> DataFr
     keyed = rest.withColumn("_k", slots.key(key))
     on_a = F.col("origem") == "A"
     sums = keyed.groupBy("_k").agg(
-        F.sum(F.when(on_a, F.col("_val"))).alias("_sa"),
-        F.sum(F.when(~on_a, F.col("_val"))).alias("_sb"),
+        exact_sum(F.when(on_a, F.col("_val"))).alias("_sa"),
+        exact_sum(F.when(~on_a, F.col("_val"))).alias("_sb"),
     )
     both = F.lit(True)
     groups = (

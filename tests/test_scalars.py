@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from ledgerlink.functions.scalars import (
     clean_key_value,
     composite_key,
     derive,
+    exact_sum,
     import_value,
     is_empty,
     money_text,
@@ -107,3 +109,35 @@ def test_payload_keeps_nulls(spark):
 def test_money_for_export(spark):
     assert evaluate(spark, ["12345,6", "x", None, "-1"], money_text) == ["12,345.60", "x", None, "-1.00"]
     assert evaluate(spark, ["12.345,67", "5.5", "1,5"], parse_money_br) == [12345.67, 5.5, 1.5]
+
+
+def test_sums_do_not_depend_on_the_order(spark):
+    rng = random.Random(4)
+    cents = [rng.randint(-(10**9), 10**9) for _ in range(20000)]
+    want = sum(cents) / 100
+    for parts in (1, 3, 16):
+        rng.shuffle(cents)
+        df = spark.createDataFrame([(c / 100,) for c in cents], "v double").repartition(parts)
+        assert df.select(exact_sum(F.col("v"))).first()[0] == want
+
+
+@pytest.mark.parametrize(
+    "values, total",
+    [
+        ([], None),
+        ([None], None),
+        ([None, 1.5], 1.5),
+        ([0.1] * 10, 1.0),
+        ([-0.1] * 3, -0.3),
+        ([1000.0000005], 1000.000001),
+        ([-1000.0000005], -1000.000001),
+        ([-0.25, 0.5, -7.0], -6.75),
+        ([1e300, 1.0], 1e300),
+        ([1e15, 0.5], 1e15 + 0.5),
+        ([1e15, -1e15, 2.0], 2.0),
+        ([999999999999.0] * 3, 2999999999997.0),
+    ],
+)
+def test_sum_of_amounts(spark, values, total):
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert df.select(round_amount(exact_sum(F.col("v")))).first()[0] == total
