@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, steps, table
+from .common import held_out, small_batches, steps, table
 from .words import Words, mixed, split
 
 #: Labelled documents that the model is fitted on, at most.
@@ -141,6 +141,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 def forward(p: dict, x: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
     """All layers for passages ``x`` of bags that begin at ``first``."""
+    small_batches()
     code = np.tanh(x @ p["encode"] + p["encode_bias"])
     value, gate = np.tanh(code @ p["value"]), sigmoid(code @ p["gate"])
     raw = (value * gate) @ p["attend"]
@@ -207,6 +208,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
 
     Rows with a NULL label or id are not used; of several labels of one document the lowest counts.
     """
+    small_batches()
     chosen = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("doc_id")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import steps, table
+from .common import small_batches, steps, table
 
 NO_PAIR = 1 << 40
 
@@ -159,6 +159,7 @@ def vocabulary(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def encode(text: Column, path: str, pattern: str) -> Column:
     """Ids of a text column as ``array<int>``; NULL and empty texts give an empty array."""
+    small_batches()
 
     @F.arrow_udf("array<int>")
     def ids_of(texts: pa.Array) -> pa.Array:
@@ -176,6 +177,7 @@ def encode(text: Column, path: str, pattern: str) -> Column:
 
 def decode(ids: Column, path: str) -> Column:
     """Bytes of an id column; NULL gives NULL, an id outside the vocabulary is an error."""
+    small_batches()
 
     @F.arrow_udf("binary")
     def bytes_of(lists: pa.Array) -> pa.Array:

@@ -11,7 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that one step of a Python worker handles at a time; one longer text is a step.
-STEP_CHARS = 2_000_000
+STEP_CHARS = 500_000
+
+#: Rows and bytes of a batch on its way to or from a Python worker. Spark's defaults suit narrow
+#: rows; batches of texts would take hundreds of megabytes beside the executor's heap.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.execution.arrow.maxBytesPerBatch": "8388608"}
 
 #: A word: a longest run of characters other than the six ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -35,6 +39,13 @@ def steps(texts: pa.Array, limit: int = STEP_CHARS) -> Iterator[list[str]]:
         yield [t or "" for t in texts.slice(start).to_pylist()]
 
 
+def small_batches() -> None:
+    """Let the session send texts to Python in small batches."""
+    spark = SparkSession.getActiveSession()
+    for key, value in BATCH.items():
+        spark.conf.set(key, value)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that no column of ``df`` has, in any letter case."""
     taken = {c.lower() for c in df.columns}
@@ -52,6 +63,11 @@ def col(df: DataFrame, name: str) -> Column:
     return df[f"`{name.replace('`', '``')}`"]
 
 
+def n_words(text: Column) -> Column:
+    """Words of a text; 0 for NULL."""
+    return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(0))), F.lit(0)).cast("long")
+
+
 def crc_of_id(doc_id: Column) -> Column:
     """crc32 of a document id as text; a NULL id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
@@ -118,10 +134,12 @@ def range_of(column: Column, bounds: list[int]) -> Column:
 
 #: Bits of a filter at most, as a power of two: 16 MB, whatever the number of values.
 MOST_FILTER_BITS = 27
+#: Bits that a value sets.
+FILTER_HASHES = 5
 
 
 class Filter:
-    """A set of 64-bit hashes as one bit each; it may take a value for a member that is none.
+    """A Bloom filter of 64-bit hashes; it may take a value for a member that is none.
 
     Its size follows the number of values up to 2 ** MOST_FILTER_BITS bits, so it may be broadcast.
     Beyond, more values pass, which costs time in what follows and changes no result.
@@ -129,23 +147,41 @@ class Filter:
 
     def __init__(self, values: DataFrame, column: str):
         spark = values.sparkSession
-        n = values.count()
-        self.shift = 64 - max(16, min(MOST_FILTER_BITS, (16 * n).bit_length()))
-        bit = F.shiftrightunsigned(F.col(column), self.shift)
+        small_batches()
+        self.bits = max(16, min(MOST_FILTER_BITS, (16 * values.count()).bit_length()))
+        mask = (1 << self.bits) - 1
+        high, low = F.shiftrightunsigned(F.col(column), 64 - self.bits), F.col(column).bitwiseAND(F.lit(mask))
+        places = F.array(*[(high + i * low).bitwiseAND(F.lit(mask)) for i in range(FILTER_HASHES)])
+        bit = F.col("place")
         got = (
-            values.select(F.shiftright(bit, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("bit"))
+            values.select(F.explode(places).alias("place"))
+            .select(F.shiftright(bit, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("bit"))
             .groupBy("word")
             .agg(F.bit_or("bit").alias("bits"))
             .toPandas()
         )
-        words = np.zeros(1 << max(0, 64 - self.shift - 6), np.uint64)
+        words = np.zeros(1 << (self.bits - 6), np.uint64)
         words[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).view(np.uint64)
         self.words = spark.sparkContext.broadcast(words)
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
         """For each unsigned hash, whether it may be a member; for use in tasks."""
-        bit = hashes >> np.uint64(self.shift)
-        return ((self.words.value[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1)).astype(bool)
-
-    def __getstate__(self):
-        return {"shift": self.shift, "words": self.words}
+        words = self.words.value
+        mask = np.uint64((1 << self.bits) - 1)
+        high, low = hashes >> np.uint64(64 - self.bits), hashes & mask
+        out = np.zeros(len(hashes), bool)
+        at = np.arange(len(hashes))
+        for i in range(FILTER_HASHES):
+            bit = (high[at] + np.uint64(i) * low[at]) & mask
+            at = at[(words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)]
+        out[at] = True
+        return out
+
+    def may_have(self, hashed: Column) -> Column:
+        """The same for a column of hashes, none of them NULL."""
+
+        @F.arrow_udf("boolean")
+        def of(values: pa.Array) -> pa.Array:
+            return pa.array(self.has(values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)))
+
+        return of(hashed)

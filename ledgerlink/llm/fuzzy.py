@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_bounds, range_of, steps, table, tasks
+from .common import id_bounds, range_of, small_batches, steps, table, tasks
 
 #: Bytes that the rolling hash sees.
 WINDOW = 7
@@ -178,6 +178,7 @@ def compare_all(first: list[str], second: list[str]) -> np.ndarray:
 
 def fingerprints(text: Column) -> Column:
     """Fingerprint column of a text column; NULL counts as empty."""
+    small_batches()
 
     @F.arrow_udf("string")
     def of(texts: pa.Array) -> pa.Array:
@@ -226,6 +227,7 @@ def in_order(docs: DataFrame) -> DataFrame:
 
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text, edited text, and fingerprints of the text, the edited and the next text."""
+    small_batches()
 
     def walk(batches):
         held = None  # the document that waits for the next one

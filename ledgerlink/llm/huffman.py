@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, drop, folder, id_bounds, range_of, steps, table, tasks, written
+from .common import WORD, drop, folder, id_bounds, range_of, small_batches, steps, table, tasks, written
 
 #: Longest code in bits; the decoding table has 2 ** LIMIT entries.
 LIMIT = 18
@@ -219,6 +219,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = 2, make: Callab
     A NULL text counts as empty and has the end id alone. A NULL doc_id comes first; rows of the
     same doc_id follow in the order of their texts, repeated rows stay. No rows give no segments.
     """
+    small_batches()
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     parts = tasks(spark)
@@ -316,6 +317,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = 2, make: Callab
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Documents of a written folder: start, doc_id, n_tokens, ids (little-endian 32-bit integers)."""
+    small_batches()
     lengths = spark.read.schema("lengths binary").parquet(f"{path}/code").collect()[0]["lengths"]
     lengths = np.frombuffer(bytes(lengths), np.uint8).astype(np.int64)
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Filter, col, drop, fresh, steps, table, tasks, written
+from .common import Filter, col, drop, fresh, small_batches, steps, table, tasks, written
 from .components import components
 from .rtree import Tree, enough
 from .words import grams, mixed, split, word_hashes
@@ -312,6 +312,7 @@ def links(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents (doc_id, n, key), and the lowest id of the component of each key: (of, component_id)."""
+    small_batches()
     found = written(describe(docs), ["kind"])
     own = found.where("kind = 0").select(F.col("a").alias("doc_id"), "n", "key")
     lowest = own.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("low"))
@@ -391,11 +392,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
         return docs
     known = Filter(ids.select(hash_of_id(F.col(gone_id)).alias("h")), "h")
 
-    @F.arrow_udf("boolean")
-    def may_be(hashes: pa.Array) -> pa.Array:
-        return pa.array(known.has(hashes.to_numpy().view(np.uint64)))
-
-    doubtful = may_be(hash_of_id(col(docs, "doc_id")))
+    doubtful = known.may_have(hash_of_id(col(docs, "doc_id")))
     joined = docs.where(doubtful).join(ids, col(docs, "doc_id").eqNullSafe(ids[gone_id]), "left")
     columns = [col(joined, c) for c in docs.columns]
     alone = joined.where(F.col(gone_id).isNull() & F.col(lowest).isNull()).select(*columns)

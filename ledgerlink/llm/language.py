@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, fresh, held_out, steps, table
+from .common import col, fresh, held_out, small_batches, steps, table
 
 #: Cells that n-grams are hashed to; a power of two.
 BUCKETS = 1 << 14
@@ -99,6 +99,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
 
     No labelled row gives a model without languages, which answers ``und`` for every text.
     """
+    small_batches()
 
     def count(rows):
         totals: dict[str, np.ndarray] = {}
@@ -167,6 +168,7 @@ def scores(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def predict(text: Column, model: Model) -> Column:
     """``struct<lang, score>`` of a text; ``und`` and 0 for NULL or a text without a letter."""
+    small_batches()
     names = pa.array([*model.languages, UNKNOWN], pa.string())
 
     @F.arrow_udf("struct<lang: string, score: double>")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, steps, table
+from .common import held_out, small_batches, steps, table
 from .words import Words, repeated_windows, split
 
 #: Labelled documents that the field is fitted on at most, and the lines that such a document may have.
@@ -223,6 +223,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
 
     Rows with a NULL label or id are not used; of several labels of one document the lowest counts.
     """
+    small_batches()
     chosen = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("doc_id")
@@ -254,6 +255,7 @@ def mark(text: Column, field: Field) -> Column:
     ``lines`` numbers the \\n-split lines that have a word and ``content`` tells which are content;
     both are empty, and the share is 0, for NULL and texts without words.
     """
+    small_batches()
 
     @F.arrow_udf(
         "struct<n_words: long, word_chars: long, n_symbols: long, n_dup_lines: long, n_repeat_words: long, "

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import steps, table
+from .common import small_batches, steps, table
 
 #: Share of a block's characters in links above which it is boilerplate.
 LINKS = 0.5
@@ -256,6 +256,7 @@ def main_text(page: str) -> str:
 
 def extract(page: Column) -> Column:
     """Main text of an html column; NULL, empty pages and pages without content give an empty text."""
+    small_batches()
 
     @F.arrow_udf("string")
     def of(pages: pa.Array) -> pa.Array:

@@ -3,6 +3,9 @@
 A window is WINDOW words in a row of one document. A word goes if a window that covers it also
 starts earlier: in a document with a smaller id, or further ahead in the same one.
 
+Whole copies of a document with a lower id are told by a digest of the text, and lose all words if
+they have a window. For the other documents:
+
 1. Each window has an anchor: the lowest hash among its runs of SEED words. Equal windows have equal
    anchors, and about every seventh word begins a new one. Anchors are counted over all documents,
    added up in each task first; those found more than once go into a filter of bounded size.
@@ -21,20 +24,21 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, Filter, col, fresh, steps, table, tasks, written
+from .common import WORD, Filter, col, drop, fresh, small_batches, steps, table, tasks, written
 from .words import Words, grams, sliding_min, split, word_hashes
 
 WINDOW, SEED = 20, 8
 #: Seeds in a window.
 SEEDS = WINDOW - SEED + 1
 
-_find, _iter = re.compile(WORD).findall, re.compile(WORD).finditer
+_iter = re.compile(WORD).finditer
 #: Patterns of one shard's automaton, about.
 PATTERNS = 20_000
 
@@ -79,8 +83,11 @@ class Windows:
         return place[first], np.diff(np.append(first, len(place)))
 
 
-def anchor_counts(docs: DataFrame) -> DataFrame:
-    """Places of each anchor that is found more than once: (anchor, n)."""
+def anchor_counts(docs: DataFrame, twice: Copies) -> DataFrame:
+    """Places of each anchor that is found more than once: (anchor, n).
+
+    ``docs`` has a text and the hash ``h`` of its row; whole copies don't count.
+    """
 
     def count(batches):
         kept: list[tuple[np.ndarray, np.ndarray]] = []
@@ -91,7 +98,8 @@ def anchor_counts(docs: DataFrame) -> DataFrame:
             return values, np.bincount(where, weights=np.concatenate([n for _, n in kept])).astype(np.int64)
 
         for batch in batches:
-            for part in steps(batch.column(0)):
+            own = batch.column(0).filter(pa.array(~twice.has(hashes_of(batch.column(1)))))
+            for part in steps(own):
                 values, n = np.unique(Windows(part).places(), return_counts=True)
                 kept.append((values, n))
                 held += len(values)
@@ -105,24 +113,53 @@ def anchor_counts(docs: DataFrame) -> DataFrame:
     def rows(values, n):
         return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n)], names=["anchor", "n"])
 
-    counts = docs.select("text").mapInArrow(count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    counts = docs.select("text", "h").mapInArrow(count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
     return counts.where("n > 1")
 
 
-def mark(text, known: Filter):
-    """Whether a text has a window at an anchor that the filter knows."""
+def hashes_of(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+
+
+#: What ``mark`` tells of a text: it keeps all words, may lose some, or is a whole copy and loses all.
+CLEAN, AFFECTED, COPY = 0, 1, 2
 
-    @F.arrow_udf("boolean")
-    def of(texts: pa.Array) -> pa.Array:
-        out = [np.zeros(0, bool)]
+
+def mark(text, h, twice: Copies, known: Filter):
+    """``struct<state, n_words, digest>`` of a text and the hash of its row.
+
+    AFFECTED is a text with a window at a known anchor. ``digest`` is that of the words that stay,
+    joined by one space; an AFFECTED text has none as yet.
+    """
+
+    @F.arrow_udf("struct<state: int, n_words: long, digest: string>")
+    def of(texts: pa.Array, hashes: pa.Array) -> pa.Array:
+        state = np.where(twice.has(hashes_of(hashes)), COPY, CLEAN).astype(np.int32)
+        n = np.zeros(len(state), np.int64)
+        digests: list[str | None] = []
+        at = 0
         for part in steps(texts):
+            own, many = state[at : at + len(part)], n[at : at + len(part)]
             w = Windows(part)
-            hit = np.zeros(len(part), bool)
-            hit[w.doc[known.has(w.anchor)]] = True
-            out.append(hit)
-        return pa.array(np.concatenate(out))
+            many[:] = np.diff(w.words.first)
+            own[many < WINDOW] = CLEAN
+            hit = w.doc[known.has(w.anchor)]
+            own[hit[own[hit] == CLEAN]] = AFFECTED
+            digests += [digest_of(t, o) for t, o in zip(part, own.tolist())]
+            at += len(part)
+        return pa.StructArray.from_arrays([pa.array(state), pa.array(n), pa.array(digests, pa.string())], ["state", "n_words", "digest"])
+
+    def digest_of(text, state):
+        if state == AFFECTED:
+            return None
+        return hashlib.sha256(b" ".join(words_of(text)) if state == CLEAN else b"").hexdigest()
 
-    return of(text)
+    return of(text, h)
+
+
+def words_of(text: str) -> list[bytes]:
+    """Words of a text; bytes are split at the six ASCII white space characters."""
+    return text.encode("utf-8", "surrogatepass").split()
 
 
 def recurring(affected: DataFrame, known: Filter) -> DataFrame:
@@ -195,9 +232,9 @@ def snippets(w: Windows, begins: np.ndarray, sizes: np.ndarray, ids: list[int],
     out = []
     for doc, at, n in zip(docs.tolist(), w.at[begins].tolist(), sizes.tolist()):
         if doc != held:
-            words, held = _find(part[doc]), doc
+            words, held = words_of(part[doc]), doc
         begin = at - int(w.words.first[doc])
-        out.append(" ".join(words[begin : begin + n + WINDOW - 1]))
+        out.append(b" ".join(words[begin : begin + n + WINDOW - 1]).decode("utf-8", "surrogatepass"))
     starts = w.at[begins] - w.words.first[docs]
     return pa.RecordBatch.from_arrays(
         [
@@ -227,67 +264,118 @@ def stretches(affected: DataFrame, known: Filter) -> DataFrame:
     return affected.select("d", "key", "text").mapInArrow(emit, SNIPPETS)
 
 
-def locate(shards: DataFrame) -> DataFrame:
-    """Places (d, key, begin, end) of words to remove; each partition has its patterns first."""
+#: A word is two letters of the automaton, so that no node has more than LETTERS or so children.
+LETTERS = 256
+#: Stretches whose hits a task remembers: copies have the same ones.
+REMEMBERED = 20_000
 
-    def run(batches):
-        import ahocorasick
 
-        codes: dict[str, int] = {}
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        origin: list[tuple[int, int]] = []
-        ready = False
-        for batch in batches:
-            out: list[tuple[int, int, int, int]] = []
-            for kind, d, key, start, words in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                split_words = words.split(" ")
-                if kind == 0:
-                    ids = [codes.setdefault(x, len(codes) + 1) for x in split_words]
-                    for k in range(len(ids) - WINDOW + 1):
-                        pattern = tuple(ids[k : k + WINDOW])
-                        known = automaton.get(pattern, -1)
-                        if known < 0:
-                            automaton.add_word(pattern, len(origin))
-                            origin.append((d, start + k))
-                        elif (d, start + k) < origin[known]:
-                            origin[known] = (d, start + k)
-                    continue
-                if not ready:
-                    ready = True
-                    if origin:
-                        automaton.make_automaton()
-                if not origin:
-                    continue
-                get = codes.get
-                begin = end = -1
-                for last, which in automaton.iter(tuple([get(x, 0) for x in split_words])):
-                    place = start + last - WINDOW + 1
-                    if origin[which] < (d, place):
-                        if place <= end:
-                            end = place + WINDOW
-                        else:
-                            if end >= 0:
-                                out.append((d, key, begin, end))
-                            begin, end = place, place + WINDOW
-                if end >= 0:
-                    out.append((d, key, begin, end))
-            if out:
-                a, b, c, e = zip(*out)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int32()), pa.array(e, pa.int32())],
-                    names=["d", "key", "begin", "end"],
-                )
+class Codes(dict):
+    """Letters of the words of patterns; other words have letters that no pattern has."""
+
+    def __missing__(self, word):
+        return (0, 0)
+
+
+def occurrences(batches):
+    """Rows of one shard, patterns first, to places (d, key, begin, end) of words to remove.
+
+    Of equal patterns the one that comes last counts.
+    """
+    import ahocorasick
+
+    codes = Codes()
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    origin: list[tuple[int, int]] = []
+    hits: dict[str, list[tuple[int, tuple[int, int]]]] = {}
+    ready = False
+
+    def letters(words: str) -> tuple[int, ...]:
+        return tuple(chain.from_iterable(map(codes.__getitem__, words.split(" "))))
+
+    def of_stretch(words: str) -> list[tuple[int, tuple[int, int]]]:
+        """First word and origin of each pattern in a stretch."""
+        if words not in hits:
+            if len(hits) >= REMEMBERED:
+                hits.clear()
+            hits[words] = [(last // 2 - WINDOW + 1, origin[which]) for last, which in automaton.iter(letters(words))]
+        return hits[words]
+
+    for batch in batches:
+        out: list[tuple[int, int, int, int]] = []
+        for kind, d, key, start, words in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            if kind == 0:
+                for w in words.split(" "):
+                    if w not in codes:
+                        codes[w] = (2 * (1 + len(codes) // LETTERS), 2 * (len(codes) % LETTERS) + 1)
+                coded = letters(words)
+                for k in range(len(coded) // 2 - WINDOW + 1):
+                    automaton.add_word(coded[2 * k : 2 * (k + WINDOW)], len(origin))
+                    origin.append((d, start + k))
+                continue
+            if not origin:
+                continue
+            if not ready:
+                automaton.make_automaton()
+                ready = True
+            begin = end = -1
+            for nth, first in of_stretch(words):
+                place = start + nth
+                if first < (d, place):
+                    if place > end:
+                        if end >= 0:
+                            out.append((d, key, begin, end))
+                        begin = place
+                    end = place + WINDOW
+            if end >= 0:
+                out.append((d, key, begin, end))
+        if out:
+            a, b, c, e = zip(*out)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int32()), pa.array(e, pa.int32())],
+                names=["d", "key", "begin", "end"],
+            )
+
+
+def locate(shards: DataFrame) -> DataFrame:
+    """Places of words to remove; each partition has its patterns first, the lowest place of each last."""
+    rows = shards.select("kind", "d", "key", "start", "words")
+    return rows.mapInArrow(occurrences, "d long, key long, begin int, end int")
 
-    return shards.select("kind", "d", "key", "start", "words").mapInArrow(run, "d long, key long, begin int, end int")
 
+class Copies:
+    """Rows whose whole text a document with a lower id has, too.
 
-def find(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Documents without and with words to remove.
+    One filter of bounded size names the copies, and in error some other rows; a second one names
+    those others, and in error a few copies. Rows that the first names and the second does not are
+    copies for certain; a copy that this leaves out is treated like any other document.
+    """
 
-    Both have the columns of ``docs``; the second has also ``spans``, an array of (begin, end) in
-    words, which may touch or overlap, or be NULL. Rows with the same id count as one document. A
-    NULL id counts as the lowest, a NULL text as empty; equal rows stay equal rows.
+    def __init__(self, keyed: DataFrame, d: str, key: str):
+        rows = written(keyed.select(F.col(d).alias("d"), F.xxhash64(d, key).alias("h"), F.md5(col(keyed, "text").cast("binary")).alias("digest")))
+        low = written(rows.groupBy("digest").agg(F.min("d").alias("low"), F.count("*").alias("m")).where("m > 1"))
+        later = rows.join(low.select(F.col("digest").alias("same"), "low"), F.col("digest") == F.col("same")).where("d > low")
+        later = written(later.select("h").distinct())
+        self.named = Filter(later, "h")
+        doubtful = rows.select("h").where(self.named.may_have(F.col("h"))).distinct()
+        self.spared = Filter(doubtful.join(later.select(F.col("h").alias("of")), F.col("h") == F.col("of"), "left_anti"), "h")
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        """For hashes of rows, whether they are copies; for use in tasks."""
+        return self.named.has(hashes) & ~self.spared.has(hashes)
+
+
+def find(docs: DataFrame, columns: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Documents whose words are settled, and those that may lose some.
+
+    All have the columns of ``docs``. The first has also ``state`` (CLEAN or COPY), ``n_words`` and
+    ``digest`` (the SHA-256 of the words that stay, joined by one space); the second ``spans``, an
+    array of (begin, end) in words, which may touch or overlap, or be NULL. ``columns`` of the first
+    are written with the second and the others are NULL; without ``columns`` reading the first costs
+    another pass over the texts. Rows with the same id count as one document. A NULL id counts as
+    the lowest, a NULL text as empty; equal rows stay equal rows.
     """
+    small_batches()
     spark = docs.sparkSession
     d, key, hit = fresh(docs, "d", "key", "hit")
     keyed = docs.withColumns(
@@ -296,40 +384,54 @@ def find(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             key: F.xxhash64(col(docs, "doc_id"), col(docs, "text")),
         }
     )
-    anchors = written(anchor_counts(docs))
+    hashed = F.xxhash64(d, key)
+    twice = Copies(keyed, d, key)
+    anchors = written(anchor_counts(keyed.select(col(keyed, "text").alias("text"), hashed.alias("h")), twice))
     known = Filter(anchors, "anchor")
-    marked = keyed.withColumn(hit, mark(col(docs, "text"), known))
-    clean = marked.where(~F.col(hit)).select(*[col(marked, c) for c in docs.columns])
-    kept = written(marked.where(F.col(hit)).drop(hit))
+    marked = keyed.withColumn(hit, mark(col(keyed, "text"), hashed, twice, known))
+    state = F.col(hit)["state"]
+    if columns is None:
+        kept = written(marked.where(state == AFFECTED).drop(hit))
+        settled = marked.where(state != AFFECTED)
+    else:
+        # One pass: of settled rows only what is asked for, of affected ones all.
+        lean = [F.when(state == AFFECTED, col(marked, c)).alias(c) if c not in columns else col(marked, c) for c in docs.columns]
+        both = written(marked.select(*lean, d, key, hit, (state == AFFECTED).alias("affected")), ["affected"])
+        kept = both.where("affected").drop(hit, "affected")
+        settled = both.where("not affected")
+    settled = settled.select(*[col(settled, c) for c in docs.columns], F.col(f"{hit}.*"))
     affected = kept.select(F.col(d).alias("d"), F.col(key).alias("key"), col(kept, "text").alias("text"))
     confirmed = written(recurring(affected, known))
     pattern = written(patterns(affected, confirmed))
     parts = max(tasks(spark), confirmed.count() // PATTERNS + 1)
-    total = anchors.agg(F.sum("n")).first()[0] or 0
-    # Anchors with more places than a tenth of a shard's mean share are spread; there are at most
-    # ten times as many of them as shards.
-    share = max(total // (10 * parts), 16)
-    frequent = {r["anchor"]: min(parts, r["n"] // share + 1) for r in anchors.where(F.col("n") > share).collect()}
-    copies = F.lit(1)
-    if frequent:
-        ways = spark.createDataFrame(list(frequent.items()), "a long, ways int")
-        # A bounded table, see above.
-        ways = F.broadcast(ways)
-        many = pattern.join(ways, pattern["anchor"] == ways["a"], "left")
-        salted = stretches(affected, known)
-        salted = salted.join(ways, salted["anchor"] == ways["a"], "left")
-        copies = F.coalesce("ways", F.lit(1))
-    else:
-        many, salted = pattern, stretches(affected, known)
-    columns = ["d", "key", "start", "words"]
-    left = many.select("anchor", F.explode(F.sequence(F.lit(0), copies - 1)).alias("salt"), F.lit(0).alias("kind"), *columns)
-    right = salted.select("anchor", F.pmod(F.xxhash64("key", "start"), copies).cast("int").alias("salt"), F.lit(1).alias("kind"), *columns)
-    shards = left.unionByName(right).repartition(parts, "anchor", "salt").sortWithinPartitions("kind")
+    drop(confirmed)
+    shards = dealt(pattern, stretches(affected, known), anchors, parts)
     spans = locate(shards).groupBy("d", "key").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     s_d, s_key, s_spans = fresh(kept, "span_d", "span_key", "spans")
     spans = spans.select(F.col("d").alias(s_d), F.col("key").alias(s_key), F.col("spans").alias(s_spans))
     found = kept.join(spans, (kept[d] == spans[s_d]) & (kept[key] == spans[s_key]), "left")
-    return clean, found.select(*[col(found, c) for c in docs.columns], F.col(s_spans).alias("spans"))
+    return settled, found.select(*[col(found, c) for c in docs.columns], F.col(s_spans).alias("spans"))
+
+
+def dealt(pattern: DataFrame, stretch: DataFrame, anchors: DataFrame, parts: int) -> DataFrame:
+    """Patterns and stretches by anchor, the patterns first in each partition.
+
+    An anchor with more places than a tenth of a partition's mean share is spread: its stretches over
+    several partitions, its patterns to each of them. There are at most ten times as many of those
+    anchors as partitions, so their table is of bounded size.
+    """
+    total = anchors.agg(F.sum("n")).first()[0] or 0
+    share = max(total // (10 * parts), 16)
+    ways = F.broadcast(
+        anchors.where(F.col("n") > share).select(F.col("anchor").alias("of"), F.least(F.lit(parts), (F.col("n") / share).cast("int") + 1).alias("ways"))
+    )
+    spread = F.coalesce("ways", F.lit(1))
+    columns = ["d", "key", "start", "words"]
+    left = pattern.join(ways, pattern["anchor"] == ways["of"], "left")
+    left = left.select("anchor", F.explode(F.sequence(F.lit(0), spread - 1)).alias("salt"), F.lit(0).alias("kind"), *columns)
+    right = stretch.join(ways, stretch["anchor"] == ways["of"], "left")
+    right = right.select("anchor", F.pmod(F.xxhash64("key", "start"), spread).cast("int").alias("salt"), F.lit(1).alias("kind"), *columns)
+    return left.unionByName(right).repartition(parts, "anchor", "salt").sortWithinPartitions("kind", F.desc("d"), F.desc("start"))
 
 
 def covered(n: int, spans) -> np.ndarray:
@@ -341,9 +443,9 @@ def covered(n: int, spans) -> np.ndarray:
     return np.cumsum(step[:n]) > 0
 
 
-def kept_words(text: str, spans) -> tuple[list[str], int]:
+def kept_words(text: str, spans) -> tuple[list[bytes], int]:
     """Words that stay, and the number of those that go."""
-    words = _find(text)
+    words = words_of(text)
     gone = covered(len(words), spans)
     return [w for w, g in zip(words, gone.tolist()) if not g], int(gone.sum())
 
@@ -361,7 +463,7 @@ def cut(text: str, spans) -> str:
     return "".join(out)
 
 
-def digests(found: DataFrame, spans: str | None) -> DataFrame:
+def digests(found: DataFrame) -> DataFrame:
     """Per document: words, removed words, and the digest of the others joined by one space."""
 
     def emit(batches):
@@ -369,28 +471,30 @@ def digests(found: DataFrame, spans: str | None) -> DataFrame:
             at = 0
             for part in steps(batch.column(1)):
                 ids = batch.column(0).slice(at, len(part))
-                places = batch.column(2).slice(at, len(part)).to_pylist() if batch.num_columns > 2 else [None] * len(part)
+                places = batch.column(2).slice(at, len(part)).to_pylist()
                 at += len(part)
                 n, gone, digest = [], [], []
                 for text, s in zip(part, places):
                     words, removed = kept_words(text, s)
                     n.append(len(words) + removed)
                     gone.append(removed)
-                    digest.append(hashlib.sha256(" ".join(words).encode("utf-8", "surrogatepass")).hexdigest())
+                    digest.append(hashlib.sha256(b" ".join(words)).hexdigest())
                 yield pa.RecordBatch.from_arrays(
                     [ids, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string())],
                     names=["doc_id", "n_words", "n_removed", "kept_sha256"],
                 )
 
-    return found.select("doc_id", "text", *([spans] if spans else [])).mapInArrow(
+    return found.select("doc_id", "text", "spans").mapInArrow(
         emit, "doc_id long, n_words long, n_removed long, kept_sha256 string"
     )
 
 
 def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without the passages that occur before."""
-    clean, found = find(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return digests(clean, None).unionByName(digests(found, "spans"))
+    settled, found = find(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+    removed = F.when(F.col("state") == COPY, F.col("n_words")).otherwise(0).cast("long")
+    settled = settled.select("doc_id", "n_words", removed.alias("n_removed"), F.col("digest").alias("kept_sha256"))
+    return settled.unionByName(digests(found))
 
 
 #: The same in SQL: windows as texts, numbered by place.
@@ -430,7 +534,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     def shortened(texts: pa.Array, spans: pa.Array) -> pa.Array:
         return pa.array([t if not s or t is None else cut(t, s) for t, s in zip(texts.to_pylist(), spans.to_pylist())], pa.string())
 
-    clean, found = find(docs)
+    settled, found = find(docs)
+    clean = settled.where(F.col("state") == CLEAN).select(*[col(settled, c) for c in docs.columns])
     changed = F.size(F.coalesce("spans", F.array())) > 0
     out = found.withColumn("text", shortened(F.col("text"), F.col("spans")))
     out = out.where(~changed | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
