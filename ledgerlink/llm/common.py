@@ -158,10 +158,10 @@ class Filter:
             .select(F.shiftright(bit, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("bit"))
             .groupBy("word")
             .agg(F.bit_or("bit").alias("bits"))
-            .toPandas()
+            .toArrow()
         )
         words = np.zeros(1 << (self.bits - 6), np.uint64)
-        words[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).view(np.uint64)
+        words[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
         self.words = spark.sparkContext.broadcast(words)
 
     def has(self, hashes: np.ndarray) -> np.ndarray:

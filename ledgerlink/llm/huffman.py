@@ -267,9 +267,10 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = 2, make: Callab
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], names=["id", "n"])
 
-    counts = ids.select("ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
-    total = np.zeros(int(counts["id"].max()) + 1 if len(counts) else 0, np.int64)
-    total[counts["id"].to_numpy(int)] = counts["n"].to_numpy()
+    counts = ids.select("ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    used = counts["id"].to_numpy()
+    total = np.zeros(used.max(initial=-1) + 1, np.int64)
+    total[used] = counts["n"].to_numpy()
     lengths = code_lengths(total)
     codes = canonical(lengths)
     sizes = {r["bucket"]: r["n"] for r in ids.groupBy("bucket").agg(F.sum("n_tokens").alias("n")).collect()}

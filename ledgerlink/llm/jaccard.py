@@ -2,16 +2,17 @@
 
 Texts with the same set form a class, known by a hash of the set; only classes are compared. The
 tokens of a set are its shingles, by 64-bit hash, in one order for all sets: those found often last.
-Two sets with a similarity of 0.8 share one of the first 0.2 n + 1 tokens of either (its prefix), so
-all links lie within groups of classes that share a prefix token. A group is searched with an R-tree
-of count vectors (see ``rtree``); surviving pairs are verified on the sets.
+Two sets with a similarity of 0.8 have k of the first 0.2 n + k tokens of either (its prefix) in
+common, for any k; k grows with n here, and classes with fewer prefix tokens that any other class has
+are out. All links lie within groups of classes that share a prefix token. A group is searched with
+an R-tree of count vectors (see ``rtree``); surviving pairs are verified on the sets.
 
 Large groups of copies would have every pair linked, and components need no more than a spanning set
-of links. So each class is first paired with the lowest class of the group in which it is most often
-found, and the verified links give first components. Afterwards only tokens whose classes lie in
-different components form groups, and only such pairs are looked at. No link between components is
-missed: two linked classes share a prefix token, and its group compares them unless they are already
-connected. Groups of more than BLOCK classes are compared block by block.
+of links. So in a few rounds each class is paired with one class of another component, drawn from its
+groups, and the verified links give larger components. Afterwards only tokens whose classes still lie
+in different components form groups, and only such pairs are looked at. No link between components
+is missed: two linked classes share a prefix token, and its group compares them unless they are
+already connected. Groups of more than BLOCK classes are compared block by block.
 
 Passes over the text emit one row per document, tokens added up in each task, and the sets of those
 classes that share a prefix token with another one.
@@ -19,23 +20,32 @@ classes that share a prefix token with another one.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Filter, col, drop, fresh, small_batches, steps, table, tasks, written
+from .common import Filter, col, fresh, small_batches, steps, table, tasks, written
 from .components import components
 from .rtree import Tree, enough
 from .words import grams, mixed, split, word_hashes
 
 SHINGLE = 5
-#: Groups that tokens are hashed into.
-GROUPS = 64
+#: Groups that tokens are hashed into for the tree, and at most for the bound of a pair: a set has
+#: about half as many fine groups as tokens.
+GROUPS, FINE_GROUPS = 64, 1 << 15
 #: Frequent tokens that all tasks know; a bound of what is broadcast, not of what is compared.
 FREQUENT = 1 << 16
+#: Tokens that a task has seen so often, about, may be frequent.
+OFTEN = 8
 #: Classes of a group that one step compares.
 BLOCK = 2048
+#: Groups that a class names to tell where a pair was seen.
+HEAD = 8
+#: Rounds in which classes are linked to one class of their groups each.
+STAR_ROUNDS = 2
 
 
 class Sets:
@@ -53,7 +63,8 @@ class Sets:
             # The whole sequence is the only shingle.
             own = np.array([mixed(grams(hashes[w.first[i] : w.first[i + 1]], int(n[i])) + np.uint64(n[i]))[0] for i in short], np.uint64)
             token, doc = np.concatenate([token, own]), np.concatenate([doc, short])
-        by = np.lexsort((token, doc))
+        by = np.argsort(token)
+        by = by[stable_order(doc[by])]
         token, doc = token[by], doc[by]
         new = np.ones(len(by), bool)
         new[1:] = (token[1:] != token[:-1]) | (doc[1:] != doc[:-1])
@@ -68,18 +79,36 @@ class Sets:
         return np.where(self.size > 0, np.maximum(mixed(summed + self.size.astype(np.uint64)), np.uint64(1)), np.uint64(0))
 
     def prefixes(self, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        """Which tokens are among the first n - ceil(0.8 n) + 1 of their sets."""
+        """Which tokens are among the first n - ceil(0.8 n) + shared_at_least(n) of their sets."""
         values, counts = frequent
-        often = np.zeros(len(self.token), np.int64)
+        often = np.zeros(len(self.token), bool)
         if len(values):
             at = np.minimum(np.searchsorted(values, self.token), len(values) - 1)
-            often = np.where(values[at] == self.token, counts[at], 0)
-        by = np.lexsort((self.token, often, self.doc))
-        nth = np.arange(len(by)) - self.first[self.doc]
+            often = values[at] == self.token
+        # Rare tokens are in order; each frequent one comes after them, by its count.
+        rare_before = np.concatenate([[0], np.cumsum(~often)])
+        nth = rare_before[:-1] - rare_before[self.first[self.doc]]
+        late = np.flatnonzero(often)
+        if len(late):
+            by = late[np.lexsort((self.token[late], counts[at[late]], self.doc[late]))]
+            doc = self.doc[by]
+            place = np.arange(len(by))
+            begin = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+            rares = rare_before[self.first[1:]] - rare_before[self.first[:-1]]
+            nth[by] = rares[doc] + place - np.repeat(begin, np.diff(np.append(begin, len(by))))
         size = self.size[self.doc]
-        out = np.zeros(len(by), bool)
-        out[by] = nth < size - -(-4 * size // 5) + 1
-        return out
+        return nth < size - -(-4 * size // 5) + shared_at_least(size)
+
+
+def shared_at_least(n):
+    """Prefix tokens that a set of n tokens or more has in common with any similar one."""
+    return 1 + n // 40
+
+
+def stable_order(values: np.ndarray) -> np.ndarray:
+    """Stable ascending order of small numbers (a radix sort where they have 16 bits)."""
+    small = not len(values) or values.max() < 1 << 16
+    return np.argsort(values.astype(np.uint16) if small else values, kind="stable")
 
 
 def long_array(values: np.ndarray) -> pa.Array:
@@ -87,20 +116,24 @@ def long_array(values: np.ndarray) -> pa.Array:
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """One row per document (kind 0: id, size and key of its set) and per token found repeatedly in a task (kind 1: token, count)."""
+    """One row per document (kind 0: id, size and key of its set) and per token that is frequent in a task (kind 1: token, count).
+
+    A task counts its tokens by 22 bits of their hash, and those whose cell has reached OFTEN by
+    themselves. The counts only order the tokens; no result depends on them.
+    """
 
     def run(batches):
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        cells = np.zeros(1 << 22, np.int32)
+        held: list[np.ndarray] = []
         size = 0
 
-        def often():
-            values, where = np.unique(np.concatenate([v for v, _ in held]), return_inverse=True)
-            n = np.bincount(where, weights=np.concatenate([c for _, c in held])).astype(np.int64)
-            return values[n > 1], n[n > 1]
-
         def rows(kind, a, b, c):
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), a, b, c], names=["kind", "a", "n", "key"])
 
+        def often():
+            values, n = np.unique(np.concatenate(held), return_counts=True)
+            return rows(1, long_array(values), pa.array(n), long_array(values))
+
         for batch in batches:
             at = 0
             for part in steps(batch.column(1)):
@@ -108,41 +141,36 @@ def describe(docs: DataFrame) -> DataFrame:
                 at += len(part)
                 s = Sets(part)
                 yield rows(0, ids, pa.array(s.size), long_array(s.keys()))
-                values, n = np.unique(s.token, return_counts=True)
-                held.append((values, n))
-                size += len(values)
-                if size > 1_500_000:
-                    held = [often()]
-                    if len(held[0][0]) > 500_000:
-                        yield rows(1, long_array(held[0][0]), pa.array(held[0][1]), long_array(held[0][0]))
-                        held = []
-                    size = sum(len(v) for v, _ in held)
+                cell = (s.token >> np.uint64(42)).astype(np.int64)
+                np.add.at(cells, cell, 1)
+                held.append(s.token[cells[cell] >= OFTEN])
+                size += len(held[-1])
+                if size > 1_000_000:
+                    yield often()
+                    held, size = [], 0
         if held:
-            values, n = often()
-            yield rows(1, long_array(values), pa.array(n), long_array(values))
+            yield often()
 
     return docs.select("doc_id", "text").mapInArrow(run, "kind int, a long, n long, key long")
 
 
 def frequent_tokens(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The FREQUENT most frequent tokens with their counts, by token."""
-    top = found.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).where("n > 4").orderBy(F.desc("n"), "a").limit(FREQUENT).toPandas()
-    values, n = top["a"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    top = found.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.desc("n"), "a").limit(FREQUENT).toArrow()
+    values, n = top["a"].to_numpy().view(np.uint64), top["n"].to_numpy()
     by = np.argsort(values)
     return values[by], n[by]
 
 
 def prefix_tokens(docs: DataFrame, frequent) -> DataFrame:
-    """Prefix tokens with the key of their set: (token, key), each once per batch."""
+    """Prefix tokens with the key of their set: (token, key)."""
 
     def run(batches):
         for batch in batches:
             for part in steps(batch.column(0)):
                 s = Sets(part)
                 chosen = s.prefixes(frequent.value)
-                token, key = s.token[chosen], s.keys()[s.doc[chosen]]
-                _, once = np.unique(mixed(token) + key, return_index=True)
-                yield pa.RecordBatch.from_arrays([long_array(token[once]), long_array(key[once])], names=["token", "key"])
+                yield pa.RecordBatch.from_arrays([long_array(s.token[chosen]), long_array(s.keys()[s.doc[chosen]])], names=["token", "key"])
 
     return docs.select("text").mapInArrow(run, "token long, key long")
 
@@ -150,8 +178,50 @@ def prefix_tokens(docs: DataFrame, frequent) -> DataFrame:
 POINT = "key long, n long, counts binary, tokens array<long>, shingles binary"
 
 
+def count_type(n: int) -> type:
+    return np.uint8 if n < 1 << 8 else np.uint16 if n < 1 << 16 else np.uint32
+
+
+def fine_counts(token: np.ndarray) -> np.ndarray:
+    """Tokens in each fine group; groups of any coarser division are runs of these."""
+    bits = min(FINE_GROUPS.bit_length() - 1, max(GROUPS.bit_length() - 1, (len(token) // 2).bit_length()))
+    count = np.bincount((mixed(token) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return count.astype(count_type(len(token)))
+
+
+def counts_of(blob: bytes, n: int) -> np.ndarray:
+    """Fine counts of a set of n tokens, as written."""
+    return np.frombuffer(zlib.decompress(blob), count_type(n))
+
+
+def narrow(token: np.ndarray) -> bytes:
+    """The upper 40 bits of sorted tokens, five bytes each.
+
+    Two different tokens of two sets of 20,000 are taken for the same with a chance below 0.0004.
+    """
+    return (token >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def tokens_of(blob) -> np.ndarray:
+    """Tokens as ``narrow`` wrote them."""
+    wide = np.zeros((len(blob) // 5, 8), np.uint8)
+    wide[:, :5] = np.frombuffer(blob, np.uint8).reshape(-1, 5)
+    return wide.view("<u8").ravel()
+
+
+def fold(fine: np.ndarray, groups: int) -> np.ndarray:
+    """Counts by ``groups`` groups."""
+    return fine if len(fine) == groups else fine.reshape(groups, -1).sum(1, dtype=np.int64)
+
+
+def common_bound(x: np.ndarray, y: np.ndarray) -> int:
+    """What two sets have in common at most, by their fine counts."""
+    groups = min(len(x), len(y))
+    return int(np.minimum(fold(x, groups), fold(y, groups)).sum(dtype=np.int64))
+
+
 def points(docs: DataFrame, frequent, known: Filter) -> DataFrame:
-    """Sets that have a known prefix token, with their count vectors; each once per task."""
+    """Sets with enough known prefix tokens, with their count vectors; each once per task."""
 
     def run(batches):
         done: set[int] = set()
@@ -162,14 +232,15 @@ def points(docs: DataFrame, frequent, known: Filter) -> DataFrame:
                 chosen[chosen] = known.has(s.token[chosen])
                 keys = s.keys()
                 rows = []
-                for i in np.flatnonzero(np.bincount(s.doc[chosen], minlength=len(part))).tolist():
+                found = np.bincount(s.doc[chosen], minlength=len(part))
+                # The smaller one of a similar pair has 0.8 n tokens at least.
+                for i in np.flatnonzero((found > 0) & (found >= shared_at_least(-(-4 * s.size // 5)))).tolist():
                     if (key := int(keys[i])) in done:
                         continue
                     done.add(key)
                     a, b = int(s.first[i]), int(s.first[i + 1])
                     token = s.token[a:b]
-                    counts = np.bincount((mixed(token) >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype(np.int32)
-                    rows.append((np.uint64(key).astype(np.int64), b - a, counts.tobytes(), token[chosen[a:b]].view(np.int64), token.tobytes()))
+                    rows.append((np.uint64(key).astype(np.int64), b - a, zlib.compress(fine_counts(token).tobytes(), 1), token[chosen[a:b]].view(np.int64), narrow(token)))
                 if rows:
                     key, n, counts, tokens, shingles = zip(*rows)
                     yield pa.RecordBatch.from_arrays(
@@ -186,52 +257,65 @@ def points(docs: DataFrame, frequent, known: Filter) -> DataFrame:
     return docs.select("text").mapInArrow(run, POINT)
 
 
+def bounded(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Those pairs (a, b) whose fine count vectors leave the similarity open."""
+
+    @F.arrow_udf("boolean")
+    def open_pair(m: pa.Array, n: pa.Array, x: pa.Array, y: pa.Array) -> pa.Array:
+        rows = zip(m.to_pylist(), n.to_pylist(), x.to_pylist(), y.to_pylist())
+        return pa.array([bool(enough(common_bound(counts_of(a, k), counts_of(b, l)), k, l)) for k, l, a, b in rows], pa.bool_())
+
+    left = vectors.select(F.col("key").alias("a"), F.col("n").alias("m"), F.col("counts").alias("x"))
+    right = vectors.select(F.col("key").alias("b"), "n", F.col("counts").alias("y"))
+    return pairs.join(left, "a").join(right, "b").where(open_pair("m", "n", "x", "y")).select("a", "b")
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those pairs (a, b) of keys whose sets are similar enough.
+    """Those pairs (a, b) of keys whose sets are similar enough; ``pairs`` is a written table.
 
-    The sets of the b's come to the tasks of their a's; each task keeps the set of one a.
+    Only the sets in question are dealt out: those of the b's come to the tasks of their a's, and each
+    task keeps the set of one a. An a with many b's has a copy for each BLOCK of them.
     """
-    members = pairs.join(sets, pairs["b"] == sets["key"]).select("a", F.lit(1).alias("kind"), "key", "counts", "shingles")
-    centres = pairs.select("a").distinct().join(sets, F.col("a") == sets["key"]).select("a", F.lit(0).alias("kind"), "key", "counts", "shingles")
-    parts = tasks(sets.sparkSession)
-    # A centre with many members has its own copy for each part of them.
-    share = F.col("a")
-    loads = pairs.groupBy("a").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK).select(F.col("a").alias("of"), F.ceil(F.col("m") / BLOCK).cast("int").alias("ways"))
-    members = members.join(loads, share == F.col("of"), "left").withColumn("salt", F.pmod(F.xxhash64("key"), F.coalesce("ways", F.lit(1))).cast("int"))
-    centres = centres.join(loads, share == F.col("of"), "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("ways", F.lit(1)) - 1)))
-    columns = ["a", "salt", "kind", "key", "counts", "shingles"]
+    if not pairs.take(1):
+        return pairs
+    both = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
+    asked = Filter(both.select(F.xxhash64("a").alias("h")), "h")
+    wanted = sets.select("key", "shingles").where(asked.may_have(F.xxhash64("key")))
+    loads = pairs.groupBy("a").agg(F.count("*").alias("m")).select("a", F.ceil(F.col("m") / BLOCK).cast("int").alias("ways"))
+    salted = pairs.join(loads, "a").withColumn("salt", F.pmod(F.xxhash64("b"), "ways").cast("int"))
+    members = salted.join(wanted, salted["b"] == wanted["key"]).select("a", "salt", F.lit(1).alias("kind"), "key", "shingles")
+    centres = loads.join(wanted, loads["a"] == wanted["key"])
+    centres = centres.select("a", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("salt"), F.lit(0).alias("kind"), "key", "shingles")
 
     def run(batches):
-        held, centre, counts = None, None, None
+        held, centre = None, None
         for batch in batches:
             a, b = [], []
-            for of, kind, key, vector, blob in zip(*(batch.column(i) for i in range(5))):
+            for of, kind, key, blob in zip(*(batch.column(i) for i in range(4))):
                 if kind.as_py() == 0:
                     held = of.as_py()
-                    centre, counts = np.frombuffer(bytes(blob.as_buffer()), np.uint64), np.frombuffer(bytes(vector.as_buffer()), np.int32)
+                    centre = tokens_of(blob.as_buffer())
                     continue
                 if held != of.as_py():
                     raise ValueError("a set is missing")
-                own = np.frombuffer(blob.as_buffer(), np.uint64)
-                bound = np.minimum(np.frombuffer(vector.as_buffer(), np.int32), counts).sum()
-                if not enough(bound, len(own), len(centre)):
-                    continue
+                own = tokens_of(blob.as_buffer())
                 at = np.minimum(np.searchsorted(centre, own), len(centre) - 1)
                 if enough((centre[at] == own).sum(), len(own), len(centre)):
                     a.append(held)
                     b.append(key.as_py())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    rows = members.select(*columns).unionByName(centres.select(*columns))
-    rows = rows.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "kind")
-    return rows.select("a", "kind", "key", "counts", "shingles").mapInArrow(run, "a long, b long")
+    rows = members.unionByName(centres).repartition(tasks(sets.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", "kind")
+    return rows.select("a", "kind", "key", "shingles").mapInArrow(run, "a long, b long")
 
 
 def searched(rows: DataFrame) -> DataFrame:
     """Pairs of classes that an R-tree search leaves: (a, b), a < b.
 
-    ``rows`` has (token, one, other, block, key, root, n, counts); the classes with the same token,
-    one and other are a group of one block (one = other) or a pair of blocks.
+    ``rows`` has (token, one, other, block, key, root, n, counts, tokens); the classes with the same
+    token, one and other are a group of one block (one = other) or a pair of blocks. ``tokens`` are
+    the first groups of the class; a pair that shares an earlier one of them comes from there. A pair
+    may come from several groups.
     """
 
     def run(batches):
@@ -256,9 +340,10 @@ def searched(rows: DataFrame) -> DataFrame:
     def of_group(held, group):
         if len(held) < 2:
             return []
-        block, key, root, n, counts = zip(*held)
+        block, key, root, n, counts, tokens = zip(*held)
         block, key, root, n = (np.array(x, np.int64) for x in (block, key, root, n))
-        vectors = np.frombuffer(b"".join(counts), np.int32).reshape(-1, GROUPS)
+        fine = [counts_of(c, m) for c, m in zip(counts, n.tolist())]
+        vectors = np.stack([fold(f, GROUPS) for f in fine]).astype(np.int32)
         left = np.flatnonzero(block == group[1])
         right = left if group[1] == group[2] else np.flatnonzero(block == group[2])
         if not len(left) or not len(right):
@@ -266,10 +351,16 @@ def searched(rows: DataFrame) -> DataFrame:
         q, p = Tree(vectors[right], n[right]).search(vectors[left], n[left])
         q, p = left[q], right[p]
         apart = (root[q] != root[p]) & ((q < p) if group[1] == group[2] else True)
-        return [(key[q[apart]], key[p[apart]])] if apart.any() else []
+        q, p = q[apart], p[apart]
+        bound = np.array([common_bound(fine[i], fine[j]) for i, j in zip(q.tolist(), p.tolist())], np.int64)
+        open_pair = enough(bound, n[q], n[p])
+        sets = {i: frozenset(tokens[i]) for i in {*q[open_pair].tolist(), *p[open_pair].tolist()}}
+        for k in np.flatnonzero(open_pair).tolist():
+            open_pair[k] = min(sets[q[k]] & sets[p[k]], default=group[0]) >= group[0]
+        return [(key[q[open_pair]], key[p[open_pair]])] if open_pair.any() else []
 
     ordered = rows.repartition(tasks(rows.sparkSession), "token", "one", "other").sortWithinPartitions("token", "one", "other")
-    return ordered.select("token", "one", "other", "block", "key", "root", "n", "counts").mapInArrow(run, "a long, b long").distinct()
+    return ordered.select("token", "one", "other", "block", "key", "root", "n", "counts", "tokens").mapInArrow(run, "a long, b long").distinct()
 
 
 def links(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -277,37 +368,55 @@ def links(docs: DataFrame, found: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     frequent = spark.sparkContext.broadcast(frequent_tokens(found))
     shared = prefix_tokens(docs, frequent).groupBy("token").agg(F.min("key").alias("low"), F.max("key").alias("high"))
-    shared = written(shared.where("low <> high").select("token", "low"))
-    known = Filter(shared.select("token"), "token") if shared.take(1) else None
-    if known is None:
+    shared = written(shared.where("low <> high").select("token"))
+    known = Filter(shared, "token")
+    if not shared.take(1):
         return spark.createDataFrame([], "a long, b long")
-    # Copies in other tasks come again.
-    kept = written(points(docs, frequent, known))
-    sets = written(kept.dropDuplicates(["key"]))
-    drop(kept)
-    member = sets.select("key", F.explode("tokens").alias("token")).join(shared, "token")
-    member = written(member.select("token", "key", "low"))
-    # First components: each class with the lowest class of most of its groups.
-    best = member.where("key <> low").groupBy("key", "low").agg(F.count("*").alias("m"))
-    best = best.groupBy("key").agg(F.max(F.struct("m", "low")).alias("best"))
-    star = written(verified(best.select(F.col("best.low").alias("a"), F.col("key").alias("b")), sets.select("key", "counts", "shingles")))
-    roots = written(components(star))
-    placed = member.select("token", "key").join(roots, F.col("key") == F.col("node"), "left").select("token", "key", F.coalesce("root", "key").alias("root"))
-    # Tokens with the same classes are one group; those within one component need no search.
-    mark = F.xxhash64(F.lit("member"), F.col("key"))
-    groups = placed.groupBy("token").agg(
-        F.count("*").alias("m"), F.sum(mark.cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit("x"), F.col("key"))).alias("x"),
-        F.min("root").alias("low"), F.max("root").alias("high"),
-    )
-    groups = groups.where("low <> high").groupBy("m", "s", "x").agg(F.min("token").alias("token"))
-    groups = groups.select(F.col("token").alias("chosen"), F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    rows = placed.join(groups, placed["token"] == groups["chosen"]).drop("chosen")
-    rows = rows.join(sets.select(F.col("key").alias("of"), "n", "counts"), rows["key"] == F.col("of")).drop("of")
+    # A class is in it once for each task that has a document of it.
+    sets = written(points(docs, frequent, known))
+    vectors = written(sets.select("key", "n", "counts", "tokens").dropDuplicates(["key"]))
+    # A class can only be similar to those of its own size band or the next one; a group is the classes
+    # of one token.
+    member = vectors.select("key", F.floor(F.log("n") / float(np.log(1.25))).cast("int").alias("band"), F.explode("tokens").alias("token"))
+    member = written(member.join(shared, "token", "left_semi"))
+    # Tokens with the same classes are one group, of weight w.
+    twins = member.groupBy("token").agg(
+        F.count("*").alias("m"), F.bit_xor(F.xxhash64(F.lit("x"), "key")).alias("x"), F.bit_xor(F.xxhash64(F.lit("y"), "key")).alias("y")
+    )
+    chosen = twins.where("m > 1").groupBy("m", "x", "y").agg(F.min("token").alias("token"), F.count("*").alias("w")).select("token", "w")
+    member = written(member.join(chosen, "token"))
+    found_links, roots = None, None
+    for nth in range(STAR_ROUNDS):
+        placed = with_roots(member, roots)
+        centre = F.xxhash64(F.lit(nth), F.col("key"))
+        groups = placed.groupBy("token", "band").agg(
+            F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("key", centre).alias("centre"), F.min_by("root", centre).alias("its_root")
+        )
+        near = placed.join(groups.where("low <> high"), ["token", "band"]).where("root <> its_root")
+        best = near.groupBy("key", "centre").agg(F.sum("w").alias("m")).groupBy("key").agg(F.max_by("centre", F.struct("m", "centre")).alias("centre"))
+        pairs = written(bounded(best.select(F.col("centre").alias("a"), F.col("key").alias("b")), vectors))
+        more = verified(pairs, sets)
+        found_links = written(more.distinct() if found_links is None else found_links.unionByName(more.distinct()))
+        roots = written(components(found_links))
+    placed = written(with_roots(member, roots))
+    groups = placed.groupBy("token").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high"))
+    groups = groups.where("low <> high").select(F.col("token").alias("chosen"), F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    rows = written(placed.join(groups, placed["token"] == groups["chosen"]).select("token", "key", "root", "blocks"))
+    # The first of its groups tell most pairs of classes in which of their groups they were seen.
+    own = rows.groupBy(F.col("key").alias("of")).agg(F.slice(F.sort_array(F.collect_list("token")), 1, HEAD).alias("tokens"))
+    own = own.join(vectors.select("key", "n", "counts"), F.col("of") == vectors["key"]).select("of", "tokens", "n", "counts")
+    rows = rows.join(own, rows["key"] == own["of"]).drop("of")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumns({"one": F.least("block", "with"), "other": F.greatest("block", "with")})
-    across = verified(written(searched(rows)), sets.select("key", "counts", "shingles"))
-    return star.unionByName(across)
+    return found_links.unionByName(verified(written(searched(rows)), sets))
+
+
+def with_roots(member: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """``member`` with the component that each class has so far."""
+    if roots is None:
+        return member.withColumn("root", F.col("key"))
+    return member.join(roots, F.col("key") == F.col("node"), "left").select("token", "w", "key", "band", F.coalesce("root", "key").alias("root"))
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -131,14 +131,14 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
 
     labelled = docs.where(col(docs, lang).isNotNull()).select(col(docs, text), col(docs, lang))
     counts = labelled.mapInArrow(count, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
-    got = counts.toPandas()
-    languages = tuple(sorted(got["lang"].unique()))
+    got = counts.toArrow()
+    languages = tuple(sorted(set(got["lang"].to_pylist())))
     if len(languages) > MOST_LANGUAGES:
         raise ValueError(f"{len(languages)} languages; the matrix holds {MOST_LANGUAGES}")
     n = np.zeros((BUCKETS, len(languages)))
     prior = np.zeros(len(languages))
     place = {name: i for i, name in enumerate(languages)}
-    column = got["lang"].map(place).to_numpy(int)
+    column = np.array([place[x] for x in got["lang"].to_pylist()], int)
     cell, value = got["cell"].to_numpy(), got["n"].to_numpy()
     n[cell[cell >= 0], column[cell >= 0]] = value[cell >= 0]
     prior[column[cell < 0]] = value[cell < 0]
