@@ -18,16 +18,15 @@ decoder looks up the next LIMIT bits in one table and decodes all blocks of a se
 from __future__ import annotations
 
 import os
-import re
-import zlib
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, drop, folder, id_bounds, range_of, small_batches, steps, table, tasks, written
+from .common import drop, folder, id_bounds, range_of, small_batches, steps, table, tasks, written
 
 #: Longest code in bits; the decoding table has 2 ** LIMIT entries.
 LIMIT = 18
@@ -36,8 +35,8 @@ SEGMENT = 1 << 18
 #: Ids between two checkpoints.
 BLOCK = 512
 
-#: Words kept per generation of a worker's cache, and the longest word kept.
-CACHE_WORDS = 250_000
+#: Words that a worker remembers (about 200 bytes each), and the longest one, in bytes.
+CACHE_WORDS = 1_500_000
 CACHE_LENGTH = 48
 
 IDS_SCHEMA = "bucket int, before long, doc_id long, n_tokens long, ids binary"
@@ -159,7 +158,7 @@ def unpack(bits: bytes, checkpoints: np.ndarray, n: int, code: tuple, block: int
 
 
 class WordTokenizer:
-    """Encodes words with the ``tokenizers`` library, each different word once while it is cached.
+    """Encodes words with the ``tokenizers`` library, each different word once while it is remembered.
 
     The vocabulary's pattern never crosses white space and its normalizer works on runs without
     it, so the ids of a text are those of its words in a row.
@@ -170,35 +169,30 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.words = re.compile(WORD).findall
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def learn(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of words; short ones are cached."""
-        out, new = {}, []
-        for w in words:
-            got = self.young.get(w) or self.old.get(w)
-            if got is None:
-                new.append(w)
-            else:
-                out[w] = got
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
-                out[w] = np.array(e.ids, np.int32).tobytes()
-        if len(self.young) > CACHE_WORDS:
-            self.old, self.young = self.young, {}
-        self.young.update((w, out[w]) for w in new if len(w) <= CACHE_LENGTH)
-        return out
+        self.known: dict[bytes, bytes] = {}
+
+    def learn(self, new: set[bytes]) -> None:
+        """Encode words that are not known."""
+        words = list(new)
+        for at in range(0, len(words), 5000):
+            part = words[at : at + 5000]
+            texts = [w.decode("utf-8", "surrogatepass") for w in part]
+            coded = self.library.encode_batch_fast(texts, add_special_tokens=False)
+            self.known.update((w, np.array(e.ids, np.int32).tobytes()) for w, e in zip(part, coded))
 
     def encode(self, texts: list[str], end: int) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers, with the end id."""
-        split = [self.words(t) for t in texts]
-        known = self.learn({w for words in split for w in words})
+        split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
+        new = set(chain.from_iterable(split)).difference(self.known)
+        if len(self.known) + len(new) > CACHE_WORDS:
+            self.known.clear()
+            new = set(chain.from_iterable(split))
+        self.learn(new)
         stop = np.array([end], np.int32).tobytes()
-        return [b"".join([*map(known.__getitem__, words), stop]) for words in split]
+        out = [b"".join([*map(self.known.__getitem__, words), stop]) for words in split]
+        for w in [w for w in new if len(w) > CACHE_LENGTH]:
+            del self.known[w]
+        return out
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -259,11 +253,10 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = 2, make: Callab
     def count(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for blob in batch.column(0):
-                more = np.bincount(np.frombuffer(blob.as_buffer(), np.int32))
-                if len(more) > len(total):
-                    total, more = more.astype(np.int64), total
-                total[: len(more)] += more
+            more = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int32))
+            if len(more) > len(total):
+                total, more = more.astype(np.int64), total
+            total[: len(more)] += more
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], names=["id", "n"])
 
