@@ -7,13 +7,14 @@ rank. A merge takes its pair and changes the two neighbouring pairs: three point
 logarithmic length, so a piece of any length takes O(n log n).
 
 Texts are encoded where they are read; nothing is shuffled. Pieces that were merged before come
-from a bounded cache of the worker.
+from a bounded cache of the worker; new short ones are merged side by side, in arrays.
 """
 
 from __future__ import annotations
 
 import base64
 import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +24,13 @@ from pyspark.sql import functions as F
 from .common import small_batches, steps, table
 
 NO_PAIR = 1 << 40
+NO_RANK = (1 << 31) - 1
 
-#: Pieces kept per generation of the cache, and the longest piece kept, in characters.
-CACHE_PIECES = 250_000
+#: Pieces that a worker remembers, and the longest one, in characters.
+CACHE_PIECES = 600_000
 CACHE_LENGTH = 48
+#: Leaves of the largest trees that are worked side by side.
+MOST_LEAVES = 64
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -102,33 +106,135 @@ class Merger:
 
 
 class Encoder:
-    """Encodes texts in a worker; holds two generations of merged pieces."""
+    """Encodes texts in a worker; remembers merged pieces.
+
+    New pieces of up to MOST_LEAVES + 1 bytes are merged side by side: one segment tree per piece, as
+    rows of an array, and one merge of each piece at a time.
+    """
 
     def __init__(self, path: str, pattern: str):
         import regex
 
         self.find = regex.compile(pattern).findall
         self.merger = Merger(load_ranks(path))
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def piece(self, piece: str) -> bytes:
-        got = self.old.get(piece)
-        if got is None:
-            got = np.array(self.merger.merge(piece.encode("utf-8", "surrogatepass")), np.int32).tobytes()
-        if len(piece) <= CACHE_LENGTH:
-            if len(self.young) >= CACHE_PIECES:
-                self.old, self.young = self.young, {}
-            self.young[piece] = got
-        return got
-
-    def text(self, text: str) -> bytes:
-        """Ids of a text as little-endian 32-bit integers."""
+        ranks = self.merger.ranks
+        pairs = [
+            (ranks[t[:k]] << 32 | ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks
+        ]
+        pairs.sort()
+        #: Token pairs, as one number, and the rank of what they merge to.
+        self.pairs = np.array([k for k, _ in pairs], np.int64)
+        self.merged = np.array([r for _, r in pairs], np.int32)
+        self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        self.known: dict[str, bytes] = {}
+
+    def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of pairs of tokens; NO_RANK for those that don't merge."""
+        key = left.astype(np.int64) << 32 | right
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.merged[at], NO_RANK).astype(np.int32)
+
+    def merge_all(self, pieces: list[bytes], leaves: int) -> list[bytes]:
+        """Ids of pieces of 2 to ``leaves`` + 1 bytes."""
+        n = np.array([len(p) for p in pieces])
+        many = len(pieces)
+        flat = self.bytes[np.frombuffer(b"".join(pieces), np.uint8)]
+        row = np.repeat(np.arange(many), n)
+        ids = np.zeros((many, leaves + 2), np.int32)
+        ids[row, np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)] = flat
+        after = np.tile(np.arange(1, leaves + 3), (many, 1))
+        before = np.tile(np.arange(-1, leaves + 2), (many, 1))
+        tree = np.full((many, 2 * leaves), NO_RANK, np.int32)
+        pair = np.arange(leaves) < n[:, None] - 1
+        tree[:, leaves:][pair] = self.rank_of(ids[:, :leaves][pair], ids[:, 1 : leaves + 1][pair])
+        level = leaves
+        while level > 1:
+            level //= 2
+            tree[:, level : 2 * level] = np.minimum(tree[:, 2 * level : 4 * level : 2], tree[:, 2 * level + 1 : 4 * level : 2])
+        rows = np.flatnonzero(tree[:, 1] != NO_RANK)
+        while len(rows):
+            lowest = tree[rows, 1]
+            at = np.ones(len(rows), np.int64)
+            for _ in range(leaves.bit_length() - 1):
+                at *= 2
+                at += tree[rows, at] != lowest
+            first = at - leaves
+            second = after[rows, first]
+            stop = after[rows, second]
+            ids[rows, first] = lowest
+            after[rows, first] = stop
+            before[rows, stop] = first
+            inner = stop < n[rows]
+            ahead = np.where(inner, self.rank_of(lowest, ids[rows, np.where(inner, stop, 0)]), NO_RANK)
+            left = before[rows, first]
+            has_left = left >= 0
+            behind = self.rank_of(ids[rows, np.maximum(left, 0)], lowest)
+            self.put(tree, rows, second, np.int32(NO_RANK), leaves)
+            self.put(tree, rows, first, ahead, leaves)
+            self.put(tree, rows[has_left], left[has_left], behind[has_left], leaves)
+            rows = rows[tree[rows, 1] != NO_RANK]
         out = []
-        for p in self.find(text):
-            got = self.young.get(p)
-            out.append(self.piece(p) if got is None else got)
-        return b"".join(out)
+        live = np.zeros((many, leaves + 2), bool)
+        place = np.zeros(many, np.int64)
+        rows = np.arange(many)
+        while len(rows):
+            live[rows, place[rows]] = True
+            place[rows] = after[rows, place[rows]]
+            rows = rows[place[rows] < n[rows]]
+        ends = np.cumsum(live.sum(1)) * 4
+        blob = ids[live].tobytes()
+        begin = 0
+        for end in ends.tolist():
+            out.append(blob[begin:end])
+            begin = end
+        return out
+
+    @staticmethod
+    def put(tree: np.ndarray, rows: np.ndarray, at: np.ndarray, rank, leaves: int) -> None:
+        """Set one leaf of each row and the minima above it; a place without a leaf is left out."""
+        real = at < leaves
+        if not real.all():
+            rows, at = rows[real], at[real]
+            rank = rank[real] if np.ndim(rank) else rank
+        k = at + leaves
+        tree[rows, k] = rank
+        while leaves > 1:
+            k = k >> 1
+            tree[rows, k] = np.minimum(tree[rows, 2 * k], tree[rows, 2 * k + 1])
+            leaves >>= 1
+
+    def learn(self, new: set[str]) -> None:
+        """Merge pieces that are not known."""
+        ranks = self.merger.ranks
+        waiting: dict[int, tuple[list[str], list[bytes]]] = {}
+        for piece in new:
+            raw = piece.encode("utf-8", "surrogatepass")
+            whole = ranks.get(raw)
+            if whole is not None:
+                self.known[piece] = whole.to_bytes(4, "little")
+                continue
+            leaves = max(4, 1 << (len(raw) - 2).bit_length())
+            if leaves > MOST_LEAVES:
+                self.known[piece] = np.array(self.merger.merge(raw), np.int32).tobytes()
+                continue
+            names, raws = waiting.setdefault(leaves, ([], []))
+            names.append(piece)
+            raws.append(raw)
+        for leaves, (names, raws) in waiting.items():
+            self.known.update(zip(names, self.merge_all(raws, leaves)))
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts as little-endian 32-bit integers."""
+        split = [self.find(t) for t in texts]
+        new = set(chain.from_iterable(split)).difference(self.known)
+        if len(self.known) + len(new) > CACHE_PIECES:
+            self.known.clear()
+            new = set(chain.from_iterable(split))
+        self.learn(new)
+        out = [b"".join(map(self.known.__getitem__, pieces)) for pieces in split]
+        for piece in [p for p in new if len(p) > CACHE_LENGTH]:
+            del self.known[piece]
+        return out
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
@@ -166,7 +272,7 @@ def encode(text: Column, path: str, pattern: str) -> Column:
         enc = encoder(path, pattern)
         bodies, sizes = [], [0]
         for part in steps(texts):
-            coded = [enc.text(t) for t in part]
+            coded = enc.texts(part)
             sizes += [len(b) // 4 for b in coded]
             bodies.append(b"".join(coded))
         values = pa.array(np.frombuffer(b"".join(bodies), np.int32))
