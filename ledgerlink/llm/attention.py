@@ -141,7 +141,6 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 def forward(p: dict, x: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
     """All layers for passages ``x`` of bags that begin at ``first``."""
-    small_batches()
     code = np.tanh(x @ p["encode"] + p["encode_bias"])
     value, gate = np.tanh(code @ p["value"]), sigmoid(code @ p["gate"])
     raw = (value * gate) @ p["attend"]
@@ -241,6 +240,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
 
 def score(text: Column, model: Model) -> Column:
     """Probability of label 1 for a text; NULL and empty texts are a bag of one empty passage."""
+    small_batches()
 
     @F.arrow_udf("double")
     def of(texts: pa.Array) -> pa.Array:
