@@ -13,6 +13,7 @@ from a bounded cache of the worker; new short ones are merged side by side, in a
 from __future__ import annotations
 
 import base64
+import gc
 import os
 from itertools import chain
 
@@ -29,6 +30,8 @@ NO_RANK = (1 << 31) - 1
 #: Pieces that a worker remembers, and the longest one, in characters.
 CACHE_PIECES = 600_000
 CACHE_LENGTH = 48
+#: Characters of text encoded together: the more, the more new pieces are merged side by side.
+PART_CHARS = 2_000_000
 #: Leaves of the largest trees that are worked side by side.
 MOST_LEAVES = 64
 
@@ -225,6 +228,13 @@ class Encoder:
 
     def texts(self, texts: list[str]) -> list[bytes]:
         """Ids of texts as little-endian 32-bit integers."""
+        gc.disable()  # nothing here makes cycles, and walking all pieces again and again takes long
+        try:
+            return self.coded(texts)
+        finally:
+            gc.enable()
+
+    def coded(self, texts: list[str]) -> list[bytes]:
         split = [self.find(t) for t in texts]
         new = set(chain.from_iterable(split)).difference(self.known)
         if len(self.known) + len(new) > CACHE_PIECES:
@@ -271,7 +281,7 @@ def encode(text: Column, path: str, pattern: str) -> Column:
     def ids_of(texts: pa.Array) -> pa.Array:
         enc = encoder(path, pattern)
         bodies, sizes = [], [0]
-        for part in steps(texts):
+        for part in steps(texts, PART_CHARS):
             coded = enc.texts(part)
             sizes += [len(b) // 4 for b in coded]
             bodies.append(b"".join(coded))

@@ -17,6 +17,7 @@ decoder looks up the next LIMIT bits in one table and decodes all blocks of a se
 
 from __future__ import annotations
 
+import gc
 import os
 from collections.abc import Callable
 from itertools import chain
@@ -182,6 +183,13 @@ class WordTokenizer:
 
     def encode(self, texts: list[str], end: int) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers, with the end id."""
+        gc.disable()  # nothing here makes cycles, and walking all words again and again takes long
+        try:
+            return self.coded(texts, end)
+        finally:
+            gc.enable()
+
+    def coded(self, texts: list[str], end: int) -> list[bytes]:
         split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
         new = set(chain.from_iterable(split)).difference(self.known)
         if len(self.known) + len(new) > CACHE_WORDS:
@@ -223,7 +231,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = 2, make: Callab
         before: dict[int, int] = {}
         for batch in batches:
             at = 0
-            for part in steps(batch.column(2)):
+            for part in steps(batch.column(2), 2_000_000):
                 rows = batch.slice(at, len(part))
                 at += len(part)
                 coded = make(tokenizer).encode(part, end)
