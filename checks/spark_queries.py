@@ -42,7 +42,6 @@ from ledgerlink.plans.flow import run_groups, run_rows
 from ledgerlink.scratch import shared_folder
 from ledgerlink.sources.delimited import read_delimited
 from ledgerlink.sources.rowid import parquet_with_row_id
-from ledgerlink.sources.spread import spread
 
 from .ledgers import (
     DESTINATION,
@@ -73,7 +72,7 @@ CANCEL = CancelConfig("indicador", "S")
 @lru_cache
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A test table; its schema is read once per session. The small ones are one row group each."""
-    return spread(spark.read.parquet(f"{folder}/{name}.parquet"))
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def ledger(spark: SparkSession, folder: str, sql: str) -> DataFrame:
@@ -127,7 +126,7 @@ def _reversal(s: SparkSession, d: str, limit: float) -> DataFrame:
 
 
 def reversal_chains(s: SparkSession, d: str) -> DataFrame:
-    lines = spread(parquet_with_row_id(s, f"{d}/lineitem.parquet"))
+    lines = parquet_with_row_id(s, f"{d}/lineitem.parquet")
     lines.createOrReplaceTempView("lineitem_rows")
     return reversal_marks(s.sql(LEDGER_LINES), ReversalConfig("doc", "ref", "valor", 25.0))
 

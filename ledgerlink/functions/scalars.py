@@ -59,21 +59,26 @@ def round_amount(c: Column) -> Column:
 
 
 def exact_sum(v: Column) -> Column:
-    """Sum of amounts to six decimals that does not depend on the order of the rows.
+    """Sum of amounts, rounded once to six decimals, that does not depend on the order of the rows.
 
     Two ledgers that hold the same amounts must give the same sum, to the last bit, or a large key
-    would differ by rounding alone. So the whole and the millionth parts are summed as integers. An
-    amount of 1e12 or more, or whole parts beyond 8e18, fall back to the plain sum; such an amount
-    counts as the largest integer, which makes the sum of whole parts run over.
+    would differ by rounding alone. So whole parts, millionths and what is below them (to 1e-12, finer
+    than any amount is told apart) are summed as integers, and only the sum is rounded, halves away
+    from zero. Only a total beyond 8e18, which no integer holds, is the plain sum.
     """
-    fits = F.abs(v) < 1e12
+    million = F.lit(1_000_000)
+    fits = F.abs(v) < 1e18
     whole = F.when(fits, v).cast("long")
-    part = (v - whole) * F.lit(1e6)
+    millionths = (v - whole) * million
+    full = millionths.cast("long")
+    below = (millionths - full) * million
     wholes = F.try_sum(F.when(v.isNotNull(), F.coalesce(whole, F.lit(2**63 - 1))))
-    parts = F.sum((part + F.signum(part) * F.lit(0.5)).cast("long"))
-    million = F.lit(1_000_000)
-    carried = wholes + F.floor(parts / million).cast("long")
-    exact = carried.cast("double") + F.pmod(parts, million) / million
+    rest = F.sum((below + F.signum(below) * F.lit(0.5)).cast("long"))
+    carried = F.sum(full) + F.floor(rest / million).cast("long")
+    rest = F.pmod(rest, million)
+    units = wholes + F.floor(carried / million).cast("long")
+    up = (rest > 500_000) | ((rest == 500_000) & (units >= 0))
+    exact = units.cast("double") + (F.pmod(carried, million) + up.cast("long")) / million
     bound = 8 * 10**18
     return F.when(wholes.between(-bound, bound), exact).otherwise(F.sum(v))
 

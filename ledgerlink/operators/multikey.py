@@ -42,26 +42,32 @@ _OUTCOME = ("key_id", "status", "grupo", "chave_valor", "value_a", "value_b", "d
 
 
 class _Slots:
-    """Which raw column of each side sits in which slot."""
+    """Which raw column of each side sits in which slot, in the order in which they are first needed."""
 
     def __init__(self, cfg: RowConfig) -> None:
-        self.cols_a = list(dict.fromkeys([c for k in cfg.keys for c in k.cols_a] + [cfg.value_a]))
-        self.cols_b = list(dict.fromkeys([c for k in cfg.keys for c in k.cols_b] + [cfg.value_b]))
-        self.names = [f"_s{i}" for i in range(max(len(self.cols_a), len(self.cols_b)))]
-
-    def raw(self, cols: Sequence[str]) -> list[Column]:
-        filled = [F.col(f"`{c}`").cast("string") for c in cols]
-        padding = [F.lit(None).cast("string")] * (len(self.names) - len(cols))
-        return [c.alias(n) for c, n in zip(filled + padding, self.names)]
+        self.of: dict[str, dict[str, str]] = {"A": {}, "B": {}}
+        for k in cfg.keys:
+            self._add("A", *k.cols_a)
+            self._add("B", *k.cols_b)
+        self._add("A", cfg.value_a)
+        self._add("B", cfg.value_b)
+        self.names = [f"_s{i}" for i in range(max(map(len, self.of.values())))]
+
+    def _add(self, side: str, *columns: str) -> None:
+        for c in columns:
+            self.of[side].setdefault(c, f"_s{len(self.of[side])}")
+
+    def raw(self, side: str) -> list[Column]:
+        held = {slot: F.col(f"`{c}`") for c, slot in self.of[side].items()}
+        return [held.get(n, F.lit(None)).cast("string").alias(n) for n in self.names]
 
     def key(self, k: KeyDef) -> Column:
-        on_a = composite_key([self.names[self.cols_a.index(c)] for c in k.cols_a])
-        on_b = composite_key([self.names[self.cols_b.index(c)] for c in k.cols_b])
+        on_a = composite_key([self.of["A"][c] for c in k.cols_a])
+        on_b = composite_key([self.of["B"][c] for c in k.cols_b])
         return F.when(F.col("origem") == "A", on_a).otherwise(on_b)
 
     def payload(self, side: str) -> Column:
-        cols = self.cols_a if side == "A" else self.cols_b
-        named = [(c, F.col(n)) for c, n in zip(cols, self.names)]
+        named = [(c, F.col(n)) for c, n in self.of[side].items()]
         return F.when(F.col("origem") == side, row_payload(named))
 
 
@@ -73,7 +79,7 @@ def _side(
     marks: DataFrame | Column | None,
     row_id: str,
 ) -> DataFrame:
-    value, cols = (cfg.value_a, slots.cols_a) if side == "A" else (cfg.value_b, slots.cols_b)
+    value = cfg.value_a if side == "A" else cfg.value_b
     no_text = F.lit(None).cast("string")
     mark = marks if isinstance(marks, Column) else F.struct(
         no_text.alias("status"), no_text.alias("grupo")
@@ -82,7 +88,7 @@ def _side(
         F.lit(side).alias("origem"),
         F.col(f"`{row_id}`").cast("long").alias(ROW_ID),
         amount(df, value).alias("_val"),
-        *slots.raw(cols),
+        *slots.raw(side),
         mark["status"].alias("_mark_status"),
         mark["grupo"].alias("_mark_grupo"),
     )

@@ -1,20 +1,10 @@
-"""Layout helpers: how many tasks a job should have."""
+"""Layout helper: how many partitions a shuffle should have."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal out the rows of an input that comes in very few splits.
-
-    A small file with one row group is read by one task, and all per-row work (number parsing, key
-    building) would stay on one core. Inputs with a fair number of splits are left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() * 2 > cores else df.repartition(cores)
-
-
 def size_shuffles(*ledgers: DataFrame, target_bytes: int = 128 * 1024 * 1024) -> int:
     """Set the number of shuffle partitions from the size of the ledgers about to be processed.
 
@@ -30,5 +20,5 @@ def size_shuffles(*ledgers: DataFrame, target_bytes: int = 128 * 1024 * 1024) ->
     )
     cores = spark.sparkContext.defaultParallelism
     wanted = max(cores, -(-3 * estimated // target_bytes))
-    spark.conf.set("spark.sql.shuffle.partitions", str(min(wanted, 200_000)))
-    return min(wanted, 200_000)
+    spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
+    return wanted

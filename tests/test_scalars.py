@@ -141,3 +141,9 @@ def test_sums_do_not_depend_on_the_order(spark):
 def test_sum_of_amounts(spark, values, total):
     df = spark.createDataFrame([(v,) for v in values], "v double")
     assert df.select(round_amount(exact_sum(F.col("v")))).first()[0] == total
+
+
+def test_small_amounts_are_rounded_after_the_sum(spark):
+    rows = [("a", 4e-7)] * 10 + [("b", 4e-6), ("c", -4e-7), ("c", -1e-7), ("d", 5e-7), ("e", 1e15), ("e", 0.25)]
+    df = spark.createDataFrame(rows, "k string, v double").groupBy("k").agg(exact_sum(F.col("v")).alias("s"))
+    assert {r["k"]: r["s"] for r in df.collect()} == {"a": 4e-6, "b": 4e-6, "c": -1e-6, "d": 1e-6, "e": 1e15 + 0.25}
