@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that one step of a Python worker handles at a time; one longer text is a step.
-STEP_CHARS = 500_000
+STEP_CHARS = 300_000
 
 #: Rows and bytes of a batch on its way to or from a Python worker. Spark's defaults suit narrow
 #: rows; batches of texts would take hundreds of megabytes beside the executor's heap.
@@ -132,8 +132,8 @@ def range_of(column: Column, bounds: list[int]) -> Column:
     return F.when(column.isNull(), 0).otherwise(at).cast("int")
 
 
-#: Bits of a filter at most, as a power of two: 16 MB, whatever the number of values.
-MOST_FILTER_BITS = 27
+#: Bits of a filter at most, as a power of two: 8 MB, whatever the number of values.
+MOST_FILTER_BITS = 26
 #: Bits that a value sets.
 FILTER_HASHES = 5
 
