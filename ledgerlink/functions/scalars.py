@@ -78,7 +78,10 @@ def exact_sum(v: Column) -> Column:
     rest = F.pmod(rest, million)
     units = wholes + F.floor(carried / million).cast("long")
     up = (rest > 500_000) | ((rest == 500_000) & (units >= 0))
-    exact = units.cast("double") + (F.pmod(carried, million) + up.cast("long")) / million
+    part = F.pmod(carried, million) + up.cast("long")
+    # Both terms get the sign of the sum, so that none of its digits is lost.
+    below_zero = (units < 0) & (part > 0)
+    exact = F.when(below_zero, units + 1).otherwise(units).cast("double") + F.when(below_zero, part - million).otherwise(part) / million
     bound = 8 * 10**18
     return F.when(wholes.between(-bound, bound), exact).otherwise(F.sum(v))
 
