@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import gc
 import os
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -278,15 +279,19 @@ def encode(text: Column, path: str, pattern: str) -> Column:
     small_batches()
 
     @F.arrow_udf("array<int>")
-    def ids_of(texts: pa.Array) -> pa.Array:
+    def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         enc = encoder(path, pattern)
-        bodies, sizes = [], [0]
-        for part in steps(texts, PART_CHARS):
-            coded = enc.texts(part)
-            sizes += [len(b) // 4 for b in coded]
-            bodies.append(b"".join(coded))
-        values = pa.array(np.frombuffer(b"".join(bodies), np.int32))
-        return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), values)
+        try:
+            for texts in batches:
+                bodies, sizes = [], [0]
+                for part in steps(texts, PART_CHARS):
+                    coded = enc.texts(part)
+                    sizes += [len(b) // 4 for b in coded]
+                    bodies.append(b"".join(coded))
+                values = pa.array(np.frombuffer(b"".join(bodies), np.int32))
+                yield pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), values)
+        finally:
+            enc.known.clear()  # the worker goes on to other stages
 
     return ids_of(text)
 
