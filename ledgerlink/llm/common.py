@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import shared_folder
+
 #: Characters of text that one step of a Python worker handles at a time; one longer text is a step.
 STEP_CHARS = 300_000
 
@@ -86,13 +88,9 @@ def tasks(spark: SparkSession) -> int:
 def folder(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where the setting is absent, as in tests, the checkpoint folder of the session is used; a
-    session without either is refused, since a machine's own folder is no use to a cluster.
+    Where the setting is absent, only a local session may run, such as a test.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
