@@ -5,13 +5,15 @@ A page is cut into blocks at block-level tags. The first pass decides on each bl
 * blocks within navigation, header, footer, sidebar, form or hidden elements, or within elements
   whose class or id says so (``HINTS``), are boilerplate;
 * a share of link text above ``LINKS`` makes boilerplate;
-* long blocks with enough stop words are content, long ones without are boilerplate; within an
-  element that the page marks as its article, long blocks are content whatever their words;
-* short blocks stay ambiguous.
+* of long blocks, those with enough stop words of one language are content and those with next to
+  none are boilerplate; what lies between stays ambiguous, as do short blocks and, within an element
+  that the page marks as an article, those too short to tell.
 
 The second pass gives each ambiguous block the label of the nearest decided block (the following
-one for a heading; content where both are as near); blocks inside an article look there first.
-Where a page marks an article and some content is in it, blocks outside it are boilerplate.
+one for a heading; content where both are as near). What a page marks as an article is a prior for
+ambiguous blocks only: those in an article with content look there first; those outside of it, or in
+an article without content such as a teaser card, must lie between content. Where no block of the
+page is content, the ambiguous ones of its articles are.
 
 Each page is read once, where it lies; nothing is shuffled.
 """
@@ -29,27 +31,39 @@ from .common import small_batches, steps, table
 
 #: Share of a block's characters in links above which it is boilerplate.
 LINKS = 0.5
-#: Characters below which a block is ambiguous.
-SHORT = 70
-#: Share of stop words from which a long block is content.
-STOP_WORDS = 0.2
-
-# Frequent function words of the languages that pages are expected in.
-WORDS = frozenset(
-    """
-    a an and are as at be been but by can for from had has have he her his i if in into is it its
-    not of on or our she so than that the their them then there these they this to was we were what
-    when which who will with would you your
-    au aux avec ce ces dans de des du elle en est et eux il je la le les leur lui ma mais me mes
-    ne nos notre nous on ou par pas pour qu que qui sa se ses son sur ta te tes toi ton tu un une
-    vos votre vous
-    aber als am an auch auf aus bei bin bis das dass dem den der des die doch durch ein eine einem
-    einen einer eines er es für hat ich ihr im in ist kein mit nach nicht noch nur ob oder sich sie
-    sind so über um und uns unter vom von vor war was wenn wie wir wird zu zum zur
-    al como con cuando de del desde donde el ella en entre era es esta este ha hay la las le lo los
-    más me mi muy no nos o para pero por porque que se si sin sobre son su sus también un una y ya
-    """.split()
+#: Characters below which a block is ambiguous, and below which few stop words don't rule out a block of an article.
+SHORT, LONG = 70, 200
+#: Share of stop words of one language from which a long block is content, and below which it is boilerplate.
+STOP_WORDS, FEW_STOP_WORDS = 0.2, 0.1
+
+# Frequent function words of the languages that pages are expected in, one text each.
+WORDS = tuple(
+    frozenset(words.split())
+    for words in (
+        """
+        a an and are as at be been but by can for from had has have he her his i if in into is it
+        its not of on or our she so than that the their them then there these they this to was we
+        were what when which who will with would you your
+        """,
+        """
+        au aux avec ce ces dans de des du elle en est et eux il je la le les leur lui ma mais me mes
+        ne nos notre nous on ou par pas pour qu que qui sa se ses son sur ta te tes toi ton tu un
+        une vos votre vous
+        """,
+        """
+        aber als am an auch auf aus bei bin bis das dass dem den der des die doch durch ein eine
+        einem einen einer eines er es für hat ich ihr im in ist kein mit nach nicht noch nur ob oder
+        sich sie sind so über um und uns unter vom von vor war was wenn wie wir wird zu zum zur
+        """,
+        """
+        al como con cuando de del desde donde el ella en entre era es esta este ha hay la las le lo
+        los más me mi muy no nos o para pero por porque que se si sin sobre son su sus también un
+        una y ya
+        """,
+    )
 )
+ANY_WORD = frozenset().union(*WORDS)
+LETTERS = re.compile(r"[^\W\d_]+")
 
 # Elements that begin and end a block.
 BLOCKS = frozenset(
@@ -195,6 +209,13 @@ def blocks(page: str) -> list[tuple[str, Block]]:
     return out
 
 
+def stop_share(text: str) -> float:
+    """Share of stop words in a text, for the language that has the most of them."""
+    words = LETTERS.findall(text.lower())
+    hits = [w for w in words if w in ANY_WORD]
+    return max(sum(w in known for w in hits) for known in WORDS) / max(1, len(words), text.count(" ") + 1)
+
+
 def decide(text: str, block: Block) -> bool | None:
     """First pass: content, boilerplate, or None for an ambiguous block."""
     if block.aside:
@@ -203,15 +224,18 @@ def decide(text: str, block: Block) -> bool | None:
         return None if block.article and len(text) < SHORT else False
     if len(text) < SHORT:
         return None
-    if block.article:
+    share = stop_share(text)
+    if share >= STOP_WORDS:
         return True
-    words = text.lower().split()
-    share = sum(w.strip(".,;:!?()\"'") in WORDS for w in words) / len(words)
-    return share >= STOP_WORDS
+    return None if share >= FEW_STOP_WORDS or block.article and len(text) < LONG else False
+
 
+#: Where an ambiguous block looks: at the nearest decided one, at both (a heading at what follows), or at both always.
+NEAREST, FOLLOWS, BETWEEN = range(3)
 
-def inherit(labels: list[bool | None], headings: list[bool]) -> list[bool | None]:
-    """Second pass over one run of blocks: ambiguous ones take the label of the nearest decided one."""
+
+def inherit(labels: list[bool | None], headings: list[bool], looks: list[int] | None = None) -> list[bool | None]:
+    """Second pass over one run of blocks: ambiguous ones take the label of decided ones beside them."""
     n = len(labels)
     behind: list[tuple[int, bool] | None] = [None] * n
     ahead: list[tuple[int, bool] | None] = [None] * n
@@ -225,7 +249,11 @@ def inherit(labels: list[bool | None], headings: list[bool]) -> list[bool | None
     for i in range(n):
         if labels[i] is None:
             b, a = behind[i], ahead[i]
-            if b is None or a is None:
+            look = looks[i] if looks else NEAREST
+            if look != NEAREST:
+                after = a is not None and a[1]
+                out[i] = after and (b is not None and b[1] or look == FOLLOWS and headings[i])
+            elif b is None or a is None:
                 out[i] = (a or b or (0, None))[1]
             elif headings[i]:
                 out[i] = a[1]
@@ -239,19 +267,29 @@ def main_text(page: str) -> str:
     """Content blocks of a page, one line each; empty where there is none."""
     found = blocks(page)
     labels = [decide(text, block) for text, block in found]
-    inside = [i for i, (_, b) in enumerate(found) if b.article and not b.aside]
-    if inside:
-        # The page says where its article is; what is short in it goes with its own neighbours.
-        by_article: dict[int, list[int]] = {}
-        for i in inside:
-            by_article.setdefault(found[i][1].article, []).append(i)
-        kept = set()
+    headings = [block.heading for _, block in found]
+    by_article: dict[int, list[int]] = {}
+    for i, (_, b) in enumerate(found):
+        if b.article and not b.aside:
+            by_article.setdefault(b.article, []).append(i)
+    if True in labels:
+        looks = [NEAREST] * len(found)
+        with_content = [m for m in by_article.values() if any(labels[i] for i in m)]
+        if with_content:
+            looks = [FOLLOWS] * len(found)
+        for members in by_article.values():
+            for i in members:
+                looks[i] = BETWEEN
+        for members in with_content:
+            own = inherit([labels[i] for i in members], [headings[i] for i in members])
+            for i, label in zip(members, own):
+                labels[i] = label
+        labels = inherit(labels, headings, looks)
+    else:
         for members in by_article.values():
-            own = inherit([labels[i] for i in members], [found[i][1].heading for i in members])
-            kept.update(i for i, label in zip(members, own) if label is not False)
-        return "\n".join(found[i][0] for i in sorted(kept))
-    final = inherit(labels, [b.heading for _, b in found])
-    return "\n".join(text for (text, _), label in zip(found, final) if label)
+            for i in members:
+                labels[i] = labels[i] is None
+    return "\n".join(text for (text, _), label in zip(found, labels) if label)
 
 
 def extract(page: Column) -> Column:

@@ -318,6 +318,26 @@ def test_main_text(page, text):
     assert pages.main_text(page or "") == text
 
 
+PROSE = "this is the text of a page and it has a lot of the words that we use "
+SPAM = "cheap watches luxury handbags discount sneakers designer sunglasses outlet jewelry "
+
+
+def test_main_text_outside_of_teaser_articles():
+    cards = "".join(f"<article><h3>Story {k}</h3><p>Short teaser.</p><a href=x>more</a></article>" for k in range(4))
+    page = f"<nav><a href=/>Home</a></nav>{cards}<div><h1>Title</h1><p>{PROSE * 3}</p><p>Short end.</p></div>{cards}"
+    assert pages.main_text(page) == f"Title\n{(PROSE * 3).strip()}\nShort end."
+
+
+def test_main_text_beside_a_marked_article():
+    page = f"<h1>Title</h1><article><p>{PROSE * 2}</p><p>Short.</p></article><div>Share</div><div>{PROSE * 3}</div><div>Share</div>"
+    assert pages.main_text(page).split("\n") == ["Title", (PROSE * 2).strip(), "Short.", "Share", (PROSE * 3).strip()]
+
+
+def test_stop_words_decide_within_an_article():
+    page = f"<article><h1>Title</h1><p>{PROSE * 2}</p><p>{SPAM * 3}</p><p>{PROSE * 3}</p></article>"
+    assert pages.main_text(page).split("\n") == ["Title", (PROSE * 2).strip(), (PROSE * 3).strip()]
+
+
 # --- 10 ------------------------------------------------------------------------------------
 
 
