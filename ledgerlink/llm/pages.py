@@ -3,11 +3,14 @@
 A page is cut into blocks at block-level tags. The first pass decides on each block by itself:
 
 * blocks within navigation, header, footer, sidebar, form or hidden elements, or within elements
-  whose class or id says so (``HINTS``), are boilerplate;
+  whose class or id says so (``HINTS``, whole names), are boilerplate, unless the element wraps the
+  article or most of the page's long text (``wrappers``);
 * a share of link text above ``LINKS`` makes boilerplate;
 * of long blocks, those with enough stop words of one language are content and those with next to
   none are boilerplate; what lies between stays ambiguous, as do short blocks and, within an element
-  that the page marks as an article, those too short to tell.
+  that the page marks as an article, those too short to tell. Where stop words can't tell, because
+  most of a block is in no Latin script or most of the page's long text has too few words of any
+  list, length and links alone decide.
 
 The second pass gives each ambiguous block the label of the nearest decided block (the following
 one for a heading; content where both are as near). What a page marks as an article is a prior for
@@ -60,10 +63,28 @@ WORDS = tuple(
         los más me mi muy no nos o para pero por porque que se si sin sobre son su sus también un
         una y ya
         """,
+        """
+        a al alla anche che chi ci come con così da dal dalla degli dei del della delle di e è era
+        gli ha ho i il in io la le lo loro ma mi nel nella non o per perché più quando quella quello
+        questa questo se si sono su sua suo tra un una uno
+        """,
+        """
+        a ao aos as até com como da das de do dos e é ela ele em entre era essa esse esta este eu
+        foi há isso já mais mas na nas não no nos o os ou para pela pelo por quando que se sem ser
+        seu sua são também tem um uma
+        """,
+        """
+        aan al als bij dan dat de der deze die dit door een en er ge had heb heeft het hij hoe hun
+        ik in is je kan maar me met mijn naar niet nog nu of om ook op over te tot u uit van voor
+        was wat we wel werd wordt zich zij zijn zo
+        """,
     )
 )
 ANY_WORD = frozenset().union(*WORDS)
 LETTERS = re.compile(r"[^\W\d_]+")
+#: Letters that no word of the lists has, and characters that say as much as three letters do.
+OTHER_SCRIPT = re.compile(r"[^\W\d_\u0000-\u024f]")
+WIDE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff]")
 
 # Elements that begin and end a block.
 BLOCKS = frozenset(
@@ -78,6 +99,8 @@ BLOCKS = frozenset(
 UNSEEN = ("script", "style", "template", "textarea", "svg", "math", "iframe", "object", "noscript", "title", "select")
 #: Elements that hold no main text.
 ASIDE = frozenset(["nav", "footer", "aside", "form", "menu", "dialog", "head", "button", "header", "fieldset"])
+#: Of these, the ones that pages are wrapped in as a whole.
+WRAPS = frozenset(["form", "fieldset", "dialog"])
 ARTICLE = frozenset(["article", "main"])
 HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 VOID = frozenset(["br", "hr", "img", "input", "link", "meta", "wbr", "area", "base", "col", "embed", "source", "track"])
@@ -96,6 +119,14 @@ HINTS = frozenset(
 #: Of these, the ones that count on an article element, too: a reader's comment may be one.
 REMARKS = frozenset(["comment", "comments", "reply", "replies", "discussion", "disqus", "ad", "ads", "advert", "sponsored", "promo"])
 
+# Words that a name made of hints may have besides, as in "site-footer" or "ad-slot".
+PLACES = frozenset(
+    """
+    area bar block bottom box col column container first form global inner item left link links list
+    post primary right secondary section site slot top unit wrap wrapper
+    """.split()
+)
+
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _raw_end = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in UNSEEN}
@@ -106,17 +137,33 @@ def attributes(source: str) -> dict[str, str]:
     return {k.lower(): entities.unescape(v.strip("\"'")) for k, v in ATTRIBUTE.findall(source)}
 
 
-def set_aside(name: str, source: str, in_article: bool) -> bool:
-    """Whether an element holds no main text, by its name and attributes."""
-    if name in ASIDE and not (name == "header" and in_article):
-        return True
-    if not source or name in ("html", "body"):
-        return False
-    has = attributes(source)
-    if "hidden" in has or has.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", has.get("style", "")):
-        return True
-    named = " ".join(has.get(k, "") for k in ("class", "id", "role")).lower()
-    return not (REMARKS if name in ARTICLE else HINTS).isdisjoint(re.split(r"[^a-z]+", named))
+#: Why an element is set aside: for good, by its element, by one of WRAPS, by a name, by a name of REMARKS.
+ALWAYS, BY_TAG, BY_WRAP, BY_NAME, BY_REMARK = range(1, 6)
+
+
+def hinted(names: str, hints: frozenset[str]) -> bool:
+    """Whether one of these names is a hint, or made of hints and PLACES only."""
+    for name in names.split():
+        parts = [w for w in re.split(r"[^a-z]+", name) if w]
+        if not hints.isdisjoint(parts) and all(w in HINTS or w in PLACES for w in parts):
+            return True
+    return False
+
+
+def set_aside(name: str, source: str, in_article: bool) -> int:
+    """Why an element holds no main text, by its name and attributes; 0 if it may hold some."""
+    by_tag = name in ASIDE and not (name == "header" and in_article)
+    if source and name not in ("html", "body"):
+        has = attributes(source)
+        if "hidden" in has or has.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", has.get("style", "")):
+            return ALWAYS
+        if not by_tag or name in WRAPS:
+            named = " ".join(has.get(k, "") for k in ("class", "id", "role")).lower()
+            if hinted(named, REMARKS):
+                return BY_REMARK
+            if name not in ARTICLE and hinted(named, HINTS):
+                return BY_NAME
+    return (BY_WRAP if name in WRAPS else BY_TAG) if by_tag else 0
 
 
 class Block:
@@ -124,7 +171,7 @@ class Block:
 
     __slots__ = ("parts", "link_chars", "aside", "article", "heading")
 
-    def __init__(self, aside: bool, article: int, heading: bool):
+    def __init__(self, aside: int, article: int, heading: bool):
         self.parts: list[str] = []
         self.link_chars = 0
         self.aside, self.article, self.heading = aside, article, heading
@@ -133,17 +180,18 @@ class Block:
 def blocks(page: str) -> list[tuple[str, Block]]:
     """Blocks of a page in order, as (text with single spaces, block)."""
     out: list[tuple[str, Block]] = []
-    open_ones: list[tuple[str, bool, int]] = []  # element, set aside, number of its article or 0
+    open_ones: list[tuple[str, int, int]] = []  # element, number of the innermost one set aside or 0, of its article or 0
+    asides = [(0, 0, 0)]  # of each element set aside: the one around it, why, the article around it
     articles = 0
     linked = False
-    block = Block(False, 0, False)
+    block = Block(0, 0, False)
 
     def end(heading: bool = False) -> None:
         nonlocal block
         text = " ".join(entities.unescape("".join(block.parts)).split())
         if text:
             out.append((text, block))
-        top = open_ones[-1] if open_ones else ("", False, 0)
+        top = open_ones[-1] if open_ones else ("", 0, 0)
         block = Block(top[1], top[2], heading)
 
     def add(text: str) -> None:
@@ -190,11 +238,14 @@ def blocks(page: str) -> list[tuple[str, Block]]:
         elif name in BLOCKS:
             end(name in HEADINGS)
             if name not in VOID and name != "p" and name not in HEADINGS:
-                up_aside, up_article = (open_ones[-1][1], open_ones[-1][2]) if open_ones else (False, 0)
+                up_aside, up_article = (open_ones[-1][1], open_ones[-1][2]) if open_ones else (0, 0)
                 if name == "li" and open_ones and open_ones[-1][0] == "li":
                     open_ones.pop()  # its end tag may be left out
-                    up_aside, up_article = (open_ones[-1][1], open_ones[-1][2]) if open_ones else (False, 0)
-                off = up_aside or set_aside(name, tag[3], bool(up_article))
+                    up_aside, up_article = (open_ones[-1][1], open_ones[-1][2]) if open_ones else (0, 0)
+                off, why = up_aside, set_aside(name, tag[3], bool(up_article))
+                if why:
+                    off = len(asides)
+                    asides.append((up_aside, why, up_article))
                 own = up_article
                 if name in ARTICLE or 'role="main"' in tag[3]:
                     if not up_article:
@@ -204,30 +255,106 @@ def blocks(page: str) -> list[tuple[str, Block]]:
                 block.aside, block.article = off, own
             elif name == "p" or name in HEADINGS:
                 if tag[3] and set_aside(name, tag[3], block.article > 0):
-                    block.aside = True
+                    asides.append((block.aside, ALWAYS, block.article))
+                    block.aside = len(asides) - 1
     end()
+    off = wrappers(out, asides)
+    for _, b in out:
+        b.aside = off[b.aside]
     return out
 
 
-def stop_share(text: str) -> float:
-    """Share of stop words in a text, for the language that has the most of them."""
+def size(text: str) -> int:
+    """Length of a text in letters; where a character is a syllable or word, it counts as three."""
+    return len(text) if text.isascii() else len(text) + 2 * len(WIDE.findall(text))
+
+
+def mostly_links(text: str, block: Block) -> bool:
+    return block.link_chars > LINKS * len(text.replace(" ", ""))
+
+
+def wrappers(found: list[tuple[str, Block]], asides: list[tuple[int, int, int]]) -> list[bool]:
+    """For each element that was set aside, whether it stays so.
+
+    One that holds more than half of the page's long text, less what elements in it set aside, is a
+    wrapper and doesn't, if no article has text outside of it and
+
+    * it holds an article itself and has no name of REMARKS, or
+    * it is one of WRAPS, or
+    * its name was the reason and nothing outside of it is content.
+
+    One of WRAPS within an article needs only to leave no long text there. Where the page has no
+    long text, any text counts for elements with an article.
+    """
+    n = len(asides)
+    off = [k > 0 for k in range(n)]
+    if n == 1:
+        return off
+    weights = [size(t) if b.aside == 0 or asides[b.aside][1] != ALWAYS else 0 for t, b in found]
+    weights = [0 if mostly_links(t, b) else w for w, (t, b) in zip(weights, found)]
+    some_long = any(w >= SHORT for w in weights)
+    least = SHORT if some_long else 1
+    weights = [w if w >= least else 0 for w in weights]
+    total = sum(weights)
+    held, with_article = [0] * n, [False] * n
+    for w, (_, b) in zip(weights, found):
+        held[b.aside] += w
+        with_article[b.aside] |= b.article > 0 and b.article != asides[b.aside][2]
+    plain = [i for i, (_, b) in enumerate(found) if not b.aside]
+    article = any(found[i][1].article for i in plain)
+    long_article = some_long and any(found[i][1].article and weights[i] for i in plain)
+    for k in range(n - 1, 0, -1):
+        around, why, up_article = asides[k]
+        if why == ALWAYS or 2 * held[k] <= total or not (some_long or with_article[k]):
+            continue
+        if long_article if why == BY_WRAP and up_article else article:
+            continue
+        if (
+            with_article[k] and why != BY_REMARK
+            or why == BY_WRAP
+            or why != BY_TAG and not any(weights[i] and (stop_share(found[i][0]) or 0) >= STOP_WORDS for i in plain)
+        ):
+            off[k] = False
+            held[around] += held[k]
+            with_article[around] |= with_article[k]
+    for k in range(1, n):
+        off[k] = off[k] or off[asides[k][0]]
+    return off
+
+
+def stop_share(text: str) -> float | None:
+    """Share of stop words in a text, for the language that has the most of them; None in another script."""
     words = LETTERS.findall(text.lower())
+    if not text.isascii() and 2 * len(OTHER_SCRIPT.findall(text)) > sum(map(len, words)):
+        return None
     hits = [w for w in words if w in ANY_WORD]
     return max(sum(w in known for w in hits) for known in WORDS) / max(1, len(words), text.count(" ") + 1)
 
 
-def decide(text: str, block: Block) -> bool | None:
+def decide(found: list[tuple[str, Block]]) -> list[bool | None]:
     """First pass: content, boilerplate, or None for an ambiguous block."""
-    if block.aside:
-        return False
-    if block.link_chars > LINKS * len(text.replace(" ", "")):
-        return None if block.article and len(text) < SHORT else False
-    if len(text) < SHORT:
-        return None
-    share = stop_share(text)
-    if share >= STOP_WORDS:
-        return True
-    return None if share >= FEW_STOP_WORDS or block.article and len(text) < LONG else False
+    out: list[bool | None] = []
+    shares: dict[int, float] = {}
+    for i, (text, block) in enumerate(found):
+        label: bool | None = None
+        if block.aside:
+            label = False
+        elif mostly_links(text, block):
+            label = None if block.article and len(text) < SHORT else False
+        elif size(text) >= SHORT:
+            share = stop_share(text)
+            label = share is None or share >= STOP_WORDS
+            if share is not None:
+                shares[i] = share
+        out.append(label)
+    # The lists fit a page if most of what they can judge has enough of their words.
+    if 2 * sum(len(found[i][0]) for i in shares if out[i]) < sum(len(found[i][0]) for i in shares):
+        for i in shares:
+            out[i] = True
+    for i, share in shares.items():
+        if not out[i] and (share >= FEW_STOP_WORDS or found[i][1].article and len(found[i][0]) < LONG):
+            out[i] = None
+    return out
 
 
 #: Where an ambiguous block looks: at the nearest decided one, at both (a heading at what follows), or at both always.
@@ -266,7 +393,7 @@ def inherit(labels: list[bool | None], headings: list[bool], looks: list[int] |
 def main_text(page: str) -> str:
     """Content blocks of a page, one line each; empty where there is none."""
     found = blocks(page)
-    labels = [decide(text, block) for text, block in found]
+    labels = decide(found)
     headings = [block.heading for _, block in found]
     by_article: dict[int, list[int]] = {}
     for i, (_, b) in enumerate(found):

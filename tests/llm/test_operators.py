@@ -338,6 +338,43 @@ def test_stop_words_decide_within_an_article():
     assert pages.main_text(page).split("\n") == ["Title", (PROSE * 2).strip(), (PROSE * 3).strip()]
 
 
+RUSSIAN = "Вчера утром над городом прошёл сильный дождь и многие улицы оказались под водой до самого вечера. " * 3
+POLISH = "Wczoraj rano nad miastem przeszła gwałtowna burza, przez którą wiele ulic znalazło się pod wodą aż do wieczora. " * 3
+CHINESE = "昨天早上城市上空下了一场大雨许多街道直到晚上都被水淹没了居民们不得不待在家里等待救援人员的到来" * 2
+
+
+@pytest.mark.parametrize("text", [RUSSIAN, POLISH, CHINESE], ids=["ru", "pl", "zh"])
+def test_main_text_in_languages_without_a_list(text):
+    page = f"<nav><a href=/>Home</a></nav><h1>A</h1><div><p>{text}</p><p>{text}</p></div><footer>{PROSE * 2}</footer>"
+    assert pages.main_text(page) == "\n".join(["A", text.strip(), text.strip()])
+
+
+def test_a_foreign_page_with_a_notice_that_a_list_fits():
+    page = f"<div>{PROSE * 2}</div><div><p>{POLISH}</p><p>{POLISH}</p></div>"
+    assert pages.main_text(page).split("\n")[1:] == [POLISH.strip()] * 2
+
+
+@pytest.mark.parametrize(
+    "open_tag",
+    ["<div class='main with-sidebar'>", "<div id='search-results-page'>", "<form action=x>", "<div class=widget>", "<div id=search>", "<form><div class='sidebar'>"],
+)
+@pytest.mark.parametrize("article", ["article", "div"])
+def test_wrappers_of_the_page_are_not_set_aside(open_tag, article):
+    page = (
+        f"<nav><a href=/>Home</a></nav>{open_tag}<{article}><h1>A</h1><p>{PROSE * 2}</p><p>{PROSE * 3}</p></{article}>"
+        f"<div class=comments><p>{PROSE}</p></div></div></form><footer>{PROSE * 2}</footer>"
+    )
+    assert pages.main_text(page).split("\n") == ["A", (PROSE * 2).strip(), (PROSE * 3).strip()]
+
+
+@pytest.mark.parametrize("short", ["<article><p>One word.</p></article>", f"<div><p>{PROSE * 2}</p></div>"])
+@pytest.mark.parametrize("aside", ["<footer>", "<div class=cookie-banner>", "<section class=comments>", "<div hidden>", "<aside class=widget>"])
+def test_long_asides_are_no_wrappers(short, aside):
+    name = re.match(r"<(\w+)", aside)[1]
+    page = f"{short}{aside}<p>{PROSE * 5}</p></{name}>"
+    assert pages.main_text(page) == pages.main_text(short) != ""
+
+
 # --- 10 ------------------------------------------------------------------------------------
 
 
