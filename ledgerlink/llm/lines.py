@@ -5,9 +5,13 @@ repeated words, length, whether it repeats an earlier line) weigh for content; t
 tie neighbouring lines together; Viterbi decoding finds the best labels of a whole document. A
 document is kept if it passes the base rules and the content lines hold enough of its words.
 
-The field learns from document labels: the lines of good documents count as content, those of bad
-ones as boilerplate. The likelihood of whole label sequences is maximized with forward-backward
-sums, on a bounded sample. Marking reads every text once, where it lies, with all of its lines.
+The field learns from document labels by one turn of expectation maximization with hard line labels.
+Scores of single lines are fitted on the labels of their documents. They give the best labels of every
+line under its document's label: content lines hold enough of the words of a good document, and not
+of a bad one. Then the likelihood of these label sequences, which change within documents, is maximized
+with forward-backward sums. There is one turn since each further one takes fewer changes for granted,
+until every document has one label. All that is on a bounded sample. Marking reads every text once,
+where it lies, with all of its lines.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ CONTENT = 0.5
 #: Fewer words, or a larger percentage of words in repeated windows, fail a document.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 ROUNDS, RATE, DECAY = 150, 0.1, 1e-3
+#: Steps to the bias of a document.
+HALVINGS = 12
 
 SYMBOLS = b"#*$%&|<>"
 _symbol = np.zeros(256, bool)
@@ -135,7 +141,11 @@ class Field:
 
     def decode(self, x: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Most probable labels of the lines of each text; of two equally good ones, content."""
-        gain = (x @ self.weight).tolist()
+        return self.best(x @ self.weight, first)
+
+    def best(self, gains: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The same by what each line gains as content."""
+        gain = gains.tolist()
         (s00, s01), (s10, s11) = self.step.tolist()
         out = np.zeros(len(gain), bool)
         for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
@@ -180,13 +190,72 @@ def expected(field: Field, gain: np.ndarray, real: np.ndarray) -> tuple[np.ndarr
     return content, pairs
 
 
-def fit(bags: list[np.ndarray], labels: list[int]) -> Field:
-    """Field for lines of documents whose lines all have the document's label."""
-    bags, labels = zip(*[(b, y) for b, y in zip(bags, labels) if len(b)]) if any(len(b) for b in bags) else ((), ())
-    weight, step = np.zeros(FEATURES), np.zeros((2, 2))
+def line_scores(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Logistic weights of single lines for the labels of their documents."""
+    weight = np.zeros(FEATURES)
+    mean, square = np.zeros_like(weight), np.zeros_like(weight)
+    for t in range(1, ROUNDS + 1):
+        g = x.T @ (1 / (1 + np.exp(-x @ weight)) - y) / len(x) + DECAY * weight
+        mean, square = 0.9 * mean + 0.1 * g, 0.99 * square + 0.01 * g * g
+        weight = weight - RATE * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.99**t)) + 1e-8)
+    return weight
+
+
+def line_labels(field: Field, bags: list[np.ndarray], words: list[np.ndarray], labels: list[int]) -> list[np.ndarray]:
+    """Best line labels of each document under its own label.
+
+    Where the best labels of all contradict the document's label, a bias for each word, as small as
+    halving finds it, turns the lines that are nearest to the other label.
+    """
+    out = []
+    for x, w, y in zip(bags, words, labels):
+        gain, first = x @ field.weight, np.array([0, len(x)])
+
+        def agrees(got: np.ndarray) -> bool:
+            return (w @ got >= CONTENT * w.sum()) == bool(y)
+
+        got = field.best(gain, first)
+        if not agrees(got):
+            per_word = (1 if y else -1) * w / w.mean()
+            # With this much every line has the document's label.
+            low, high = 0.0, (np.abs(gain).max() + 2 * np.abs(field.step).max() + 1) * w.mean() / w.min()
+            got = np.full(len(x), bool(y))
+            for _ in range(HALVINGS):
+                middle = (low + high) / 2
+                tried = field.best(gain + middle * per_word, first)
+                if agrees(tried):
+                    got, high = tried, middle
+                else:
+                    low = middle
+        out.append(got)
+    return out
+
+
+def maximize(batches: list[tuple[np.ndarray, np.ndarray]], seen_x: np.ndarray, seen_step: np.ndarray, lines: int) -> Field:
+    """Field under which label sequences with these sums are most probable."""
+    flat = np.zeros(FEATURES + 4)
+    mean, square = np.zeros_like(flat), np.zeros_like(flat)
+    for t in range(1, ROUNDS + 1):
+        field = Field(flat[:FEATURES], flat[FEATURES:].reshape(2, 2))
+        got_x, got_step = np.zeros(FEATURES), np.zeros((2, 2))
+        for x, real in batches:
+            content, pairs = expected(field, x @ field.weight, real)
+            got_x += np.einsum("ntf,nt->f", x, content)
+            got_step += pairs
+        g = np.concatenate([got_x - seen_x, (got_step - seen_step).ravel()]) / lines + DECAY * flat
+        mean, square = 0.9 * mean + 0.1 * g, 0.99 * square + 0.01 * g * g
+        flat = flat - RATE * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.99**t)) + 1e-8)
+    return Field(flat[:FEATURES], flat[FEATURES:].reshape(2, 2))
+
+
+def fit(bags: list[np.ndarray], words: list[np.ndarray], labels: list[int]) -> Field:
+    """Field for documents by features and words of their lines, and by their labels."""
+    some = [i for i, b in enumerate(bags) if len(b)]
+    bags, words, labels = [bags[i] for i in some], [words[i] for i in some], [int(bool(labels[i])) for i in some]
+    weight = np.zeros(FEATURES)
     weight[0] = 1.0  # without labels every line is content
     if len(set(labels)) < 2:
-        return Field(weight, step)
+        return Field(weight, np.zeros((2, 2)))
     # Sequences of like length are padded to the longest of their batch.
     order = np.argsort([len(b) for b in bags], kind="stable")
     batches = []
@@ -197,25 +266,15 @@ def fit(bags: list[np.ndarray], labels: list[int]) -> Field:
         for row, i in enumerate(part):
             x[row, : len(bags[i])] = bags[i]
             real[row, : len(bags[i])] = True
-        batches.append((x, real, np.array([labels[i] for i in part])))
+        batches.append((x, real))
     lines = sum(len(b) for b in bags)
-    seen_x = sum((b.sum(0) for b, y in zip(bags, labels) if y), np.zeros(FEATURES))
+    field = Field(line_scores(np.concatenate(bags), np.repeat(labels, [len(b) for b in bags])), np.zeros((2, 2)))
+    found = line_labels(field, bags, words, labels)
+    seen_x = sum((b[y].sum(0) for b, y in zip(bags, found)), np.zeros(FEATURES))
     seen_step = np.zeros((2, 2))
-    for b, y in zip(bags, labels):
-        seen_step[y, y] += len(b) - 1
-    flat = np.zeros(FEATURES + 4)
-    mean, square = np.zeros_like(flat), np.zeros_like(flat)
-    for t in range(1, ROUNDS + 1):
-        field = Field(flat[:FEATURES], flat[FEATURES:].reshape(2, 2))
-        got_x, got_step = np.zeros(FEATURES), np.zeros((2, 2))
-        for x, real, _ in batches:
-            content, pairs = expected(field, x @ field.weight, real)
-            got_x += np.einsum("ntf,nt->f", x, content)
-            got_step += pairs
-        g = np.concatenate([got_x - seen_x, (got_step - seen_step).ravel()]) / lines + DECAY * flat
-        mean, square = 0.9 * mean + 0.1 * g, 0.99 * square + 0.01 * g * g
-        flat = flat - RATE * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.99**t)) + 1e-8)
-    return Field(flat[:FEATURES], flat[FEATURES:].reshape(2, 2))
+    for y in found:
+        np.add.at(seen_step, (y[:-1].astype(int), y[1:].astype(int)), 1)
+    return maximize(batches, seen_x, seen_step, lines)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = SAMPLE) -> Field:
@@ -239,14 +298,19 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
                 got = measure(part)
                 rows = batch.slice(at, len(part))
                 at += len(part)
-                cut = [got.x[a:b].tobytes() if b - a <= SAMPLE_LINES else b"" for a, b in zip(got.first[:-1].tolist(), got.first[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(cut, pa.binary())], names=["doc_id", "label", "x"])
+                ends = list(zip(got.first[:-1].tolist(), got.first[1:].tolist()))
+                cut = [pa.array([v[a:b].tobytes() if b - a <= SAMPLE_LINES else b"" for a, b in ends], pa.binary()) for v in (got.x, got.n_words.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *cut], names=["doc_id", "label", "x", "words"])
 
     # At most `most` rows of two integers are broadcast.
     picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
-    rows = picked.mapInArrow(describe, "doc_id long, label int, x binary").collect()
+    rows = picked.mapInArrow(describe, "doc_id long, label int, x binary, words binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], bytes(r["x"])))
-    return fit([np.frombuffer(bytes(r["x"]), np.float64).reshape(-1, FEATURES) for r in rows], [r["label"] for r in rows])
+    return fit(
+        [np.frombuffer(bytes(r["x"]), np.float64).reshape(-1, FEATURES) for r in rows],
+        [np.frombuffer(bytes(r["words"]), np.int64) for r in rows],
+        [r["label"] for r in rows],
+    )
 
 
 def mark(text: Column, field: Field) -> Column:

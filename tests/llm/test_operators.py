@@ -152,6 +152,38 @@ def test_viterbi_finds_the_best_labels():
     assert field.decode(x, np.array([0, 8])).astype(int).tolist() == best
 
 
+def test_half_boilerplate_documents_get_mixed_labels(spark):
+    draw = np.random.default_rng(5)
+    known = "the of and to in is that for it with as was on are by this from river mountain history evening village letter".split()
+
+    def line(bad):
+        words = draw.choice(known, 14)
+        return " ".join(w + str(draw.choice(["###", "***", "$$$"])) for w in words) if bad else " ".join(words).capitalize() + "."
+
+    def text(pattern):
+        return "\n".join(line(c == "b") for c in pattern)
+
+    # Most documents are of one kind, as in the test tables; a few begin or end with a line of the other.
+    train = [(i, text(["gggggg", "gggg", "ggggb", "ggggggg", "bbbbb", "bbbbbb", "gbbbb"][i % 7]), int(i % 7 < 4)) for i in range(140)]
+    docs = spark.createDataFrame([r[:2] for r in train], "doc_id long, text string")
+    field = lines.train(docs, spark.createDataFrame([(r[0], r[2]) for r in train], "doc_id long, quality int"))
+    patterns = ["gggbbb", "bbbggg", "ggbbbggg", "ggggbb"]
+    planted = spark.createDataFrame([(i, text(c)) for i, c in enumerate(patterns)], "doc_id long, text string").coalesce(1)
+    for pattern, r in zip(patterns, lines.verdicts(planted, field).collect()):
+        assert r["content"] == [c == "g" for c in pattern]
+        assert r["content_share"] == pytest.approx(pattern.count("g") / len(pattern))
+
+
+def test_line_labels_agree_with_the_document():
+    draw = np.random.default_rng(2)
+    field = lines.Field(draw.normal(size=lines.FEATURES), np.zeros((2, 2)))
+    bags = [draw.normal(size=(n, lines.FEATURES)) for n in range(1, 60)]
+    words = [draw.integers(1, 30, len(b)) for b in bags]
+    for label in (0, 1):
+        for w, y in zip(words, lines.line_labels(field, bags, words, [label] * len(bags))):
+            assert (w @ y >= lines.CONTENT * w.sum()) == bool(label)
+
+
 # --- 3 -------------------------------------------------------------------------------------
 
 
