@@ -33,7 +33,6 @@ class SheetSpec:
     header_row: int = 1
     start_col: int = 1
     sheet: str | None = None
-    max_columns: int = 512
 
 
 def cell_text(value: object) -> str | None:
@@ -126,8 +125,7 @@ def read_sheet_header(path: str, spec: SheetSpec) -> list[str]:
             break
     else:
         raise ValueError(f"{path} ends before header row {spec.header_row}")
-    stop = spec.start_col + spec.max_columns
-    filled = [c for c, t in cells.items() if spec.start_col <= c < stop and t.strip()]
+    filled = [c for c, t in cells.items() if c >= spec.start_col and t.strip()]
     if number != spec.header_row or not filled:
         raise ValueError(f"{path} has an empty header in row {spec.header_row}")
     return [cells.get(c, "") for c in range(spec.start_col, max(filled) + 1)]

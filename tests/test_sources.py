@@ -178,6 +178,14 @@ def test_workbook_cells_and_end_of_table(spark, tmp_path):
     assert [cell_text(v) for v in (None, 3.0, 0.1, False, "t")] == [None, "3", "0.1", "FALSE", "t"]
 
 
+def test_wide_workbooks_keep_all_columns(spark, tmp_path):
+    # Cells beyond column Z get no readable reference here, so each follows the one before it.
+    rows = [[f"c{k}" for k in range(700)], [f"v{k}" for k in range(700)]]
+    df = load_base(spark, write_xlsx(tmp_path / "wide.xlsx", rows))
+    assert df.columns == ["row_id", *rows[0]]
+    assert list(df.first())[1:] == rows[1]
+
+
 def test_folder_of_workbooks(spark, tmp_path):
     for n in range(3):
         write_xlsx(tmp_path / f"f{n}.xlsx", [["a"], [f"{n}x"], [f"{n}y"]])
