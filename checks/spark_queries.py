@@ -199,6 +199,11 @@ def result_page(s: SparkSession, d: str) -> DataFrame:
     return results.page(results.filter_result(_pair_rows(s, d), FOUND), 3, 50).select(*OUTCOME)
 
 
+def result_deep_page(s: SparkSession, d: str) -> DataFrame:
+    """A page far into the whole result."""
+    return results.page(_pair_rows(s, d), 40, 50).select(*OUTCOME)
+
+
 def result_search(s: SparkSession, d: str) -> DataFrame:
     found = results.filter_result(_pair_rows(s, d), FOUND, "7_1", "chave_valor")
     return found.select(*OUTCOME)
@@ -265,6 +270,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "money_values": money_values,
         "cents_index": cents,
         "result_page": result_page,
+        "result_deep_page": result_deep_page,
         "result_page_info": lambda s, d: results.page_info(_pair_rows(s, d)),
         "result_search": result_search,
         "result_diff": result_diff,

@@ -8,13 +8,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..model import ROW_ID
 
 NULL_STATUS = "__NULL__"
 
-# A page that ends within this many rows is kept by a bounded sort; deeper pages are located first.
-SHALLOW_ROWS = 100_000
+# Not read any more: pages of all depths are located in the same way.
+SHALLOW_ROWS = 0
 PAGE_CELL_BITS = 20
 
 
@@ -73,34 +74,37 @@ def page(
     size: int = 50,
     order: Sequence[str] = (ROW_ID, "origem"),
 ) -> DataFrame:
-    """The ``number``-th page (from 1) in the given order; the first order column is a whole number.
+    """The ``number``-th page (from 1) in the given order, NULLs first.
 
-    A deep page is found without sorting what lies before it: counts per cell of neighbouring ids
-    tell which cells hold the page, and only their rows are ranked.
+    Where the first order column is a whole number, a page is found without sorting what lies before
+    it: counts per cell of neighbouring ids, NULLs in a cell of their own, tell which cells hold the
+    page, and only their rows are ranked. Any other column is sorted up to the end of the page.
     """
     if number < 1 or size < 1:
         raise ValueError("page number and size start at 1")
     skip = (number - 1) * size
-    if skip + size <= SHALLOW_ROWS:
+    first = F.col(order[0])
+    if not isinstance(result.select(first).schema[0].dataType, IntegralType):
         return result.orderBy(*order).offset(skip).limit(size)
-    cell = F.shiftright(F.col(order[0]), PAGE_CELL_BITS)
-    celled = result.withColumn("_cell", cell)
-    earlier = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cell = F.coalesce(F.shiftright(first.cast("long"), PAGE_CELL_BITS), F.lit(0))
+    celled = result.withColumn("_valued", first.isNotNull()).withColumn("_cell", cell)
+    at = ["_valued", "_cell"]
+    earlier = Window.orderBy(*at).rowsBetween(Window.unboundedPreceding, -1)
     # The running sum sees one row per 2**20 ids. At most ``size`` cells, none empty, hold the page.
     cells = (
-        celled.groupBy("_cell")
+        celled.groupBy(*at)
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
         .filter((F.col("_before") < skip + size) & (F.col("_before") + F.col("_n") > skip))
         .drop("_n")
     )
-    place = F.col("_before") + F.row_number().over(Window.partitionBy("_cell").orderBy(*order))
+    place = F.col("_before") + F.row_number().over(Window.partitionBy(*at).orderBy(*order))
     return (
-        celled.join(cells, "_cell")
+        celled.join(cells, at)
         .withColumn("_place", place)
         .filter((F.col("_place") > skip) & (F.col("_place") <= skip + size))
         .orderBy("_place")
-        .drop("_cell", "_before", "_place")
+        .select(*result.columns)
     )
 
 

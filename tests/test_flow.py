@@ -96,6 +96,19 @@ def test_pages_shallow_and_deep(spark, monkeypatch):
         results.page(rows, 0)
 
 
+@pytest.mark.parametrize("kind", ["bigint", "int", "string"])
+def test_pages_keep_rows_without_an_id(spark, monkeypatch, kind):
+    monkeypatch.setattr(results, "SHALLOW_ROWS", 0)
+    monkeypatch.setattr(results, "PAGE_CELL_BITS", 6)
+    rows = spark.range(0, 1000, 1, 6).select(
+        F.when(F.col("id") % 10 > 0, F.col("id") - 500).cast(kind).alias("row_id"), F.col("id").cast("string").alias("origem")
+    )
+    want = [tuple(r) for r in rows.orderBy("row_id", "origem").collect()]
+    pages = [results.page(rows, n, 300).collect() for n in range(1, 6)]
+    assert [len(p) for p in pages] == [300, 300, 300, 100, 0]
+    assert [tuple(r) for p in pages for r in p] == want
+
+
 def test_comparison_of_two_results(spark):
     left = spark.createDataFrame([("a", "01"), ("b", "01"), ("c", None), ("d", None)], "k string, s string")
     right = spark.createDataFrame([("b", "02"), ("c", None), ("d", "01"), ("e", "03")], "k string, s string")
