@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..model import ROW_ID
 from ..operators.ranks import rank_in_group
@@ -45,10 +46,24 @@ def sniff_delimiter(lines: list[str]) -> str:
     return best if score(best) > (0, 0) else ","
 
 
-def _top(spark: SparkSession, path: str, spec: TextSpec) -> tuple[list[str], str]:
-    """Header cells and delimiter, from the first lines of the file."""
+def _is_utf8(spec: TextSpec) -> bool:
+    return spec.encoding.upper().replace("-", "") == "UTF8"
+
+
+def _whole_lines(spark: SparkSession, path: str, spec: TextSpec, header: str | None = None) -> DataFrame:
+    """Lines that are not blank as one column ``line``; with ``header``, all files must begin with that line, which is left out."""
+    # No text holds the separator; a line that does is an error.
+    options = {"sep": "\u0001", "quote": "", "encoding": spec.encoding, "mode": "FAILFAST"}
+    schema = StructType([StructField("line" if header is None else header, StringType())])
+    read = spark.read.options(header=header is not None, enforceSchema=header is None, **options)
+    return read.schema(schema).csv(path).toDF("line")
+
+
+def _top(spark: SparkSession, path: str, spec: TextSpec) -> tuple[list[str], str, str]:
+    """Header cells, delimiter and header line, from the first lines of the file."""
     wanted = spec.header_row + _SNIFFED_LINES
-    lines = [r.value for r in spark.read.option("encoding", spec.encoding).text(path).take(wanted)]
+    top = spark.read.text(path) if _is_utf8(spec) else _whole_lines(spark, path, spec)
+    lines = [r[0] for r in top.take(wanted)]
     if len(lines) < spec.header_row:
         raise ValueError(f"{path} ends before header row {spec.header_row}")
     table = [line.removeprefix("\ufeff").rstrip("\r") for line in lines[spec.header_row - 1 :]]
@@ -56,7 +71,28 @@ def _top(spark: SparkSession, path: str, spec: TextSpec) -> tuple[list[str], str
     header = next(csv.reader([table[0]], delimiter=delimiter), [])
     if not any(cell.strip() for cell in header[spec.start_col - 1 :]):
         raise ValueError(f"{path} has no column from {spec.start_col} on in row {spec.header_row}")
-    return header, delimiter
+    return header, delimiter, table[0]
+
+
+def _numbered_lines(spark: SparkSession, path: str, spec: TextSpec, header: str) -> DataFrame:
+    """Lines below the headers of one file or many, in name order, as file number, offset among all files and line."""
+    out, start = None, 0
+    for number, file in enumerate(sorted(spark.read.text(path).inputFiles())):
+        at = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(file))
+        size = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).getLen()
+        if not size:
+            continue
+        lines = spark.sparkContext.newAPIHadoopFile(at.toString(), _OFFSETS, _LONG, _TEXT)
+        top = lines.take(spec.header_row)
+        if len(top) < spec.header_row or top[-1][1].removeprefix("\ufeff").rstrip("\r") != header:
+            raise ValueError(f"{file} has another header in row {spec.header_row} than the first file")
+        frame = spark.createDataFrame(lines, "at long, line string", verifySchema=False)
+        frame = frame.filter(F.col("at") > top[-1][0]).select(
+            F.lit(number).alias("_file"), (F.col("at") + F.lit(start)).alias("at"), "line"
+        )
+        out = frame if out is None else out.unionAll(frame)
+        start += size
+    return out
 
 
 def read_delimited(
@@ -68,15 +104,16 @@ def read_delimited(
 ) -> DataFrame:
     """Ledger of text columns named from the header, with rows numbered from 0 in file order.
 
-    A header on the first line and no row id (``row_id=None``) reads straight through the CSV
-    source, one file or many alike. Otherwise the lines of one file come with their byte offset:
-    the lines up to the header are left out by position and rows keep their order. ``dense=False``
-    uses the offset itself as row id, which orders rows the same way and saves a shuffle. In both
-    cases the fields are parsed inside the JVM.
+    A header on the first line and no row id (``row_id=None``) reads lines straight through the CSV
+    source, in any encoding. Otherwise the lines of each file come with their byte offset: the lines
+    up to the header are left out by position and rows keep their order, files in name order.
+    ``dense=False`` uses the offset itself as row id, which orders rows the same way and saves a
+    shuffle. In both cases the fields are parsed inside the JVM, and one file or many alike.
 
-    Short rows are filled with NULL. Longer rows and line breaks inside quotes are errors.
+    Short rows are filled with NULL. Longer rows, line breaks inside quotes and a file whose header
+    line is not that of the first file are errors.
     """
-    header, delimiter = _top(spark, path, spec)
+    header, delimiter, header_line = _top(spark, path, spec)
     raw = [f"_c{i}" for i in range(len(header))]
     # One field more than the header has, to notice rows that are too long.
     schema = ", ".join(f"`{c}` string" for c in [*raw, "_extra"])
@@ -86,33 +123,30 @@ def read_delimited(
         F.raise_error(F.lit(f"{path}: a row has more fields than the header")).cast("boolean")
     )
 
-    if spec.header_row == 1 and row_id is None:
-        parsed = spark.read.options(header=True, enforceSchema=True, **options)
-        body = parsed.schema(schema).csv(path).filter(fits).select(*kept)
-        return named_columns(body, header[spec.start_col - 1 :], spec.start_col)
-
-    if spec.encoding.upper().replace("-", "") != "UTF8":
-        raise ValueError("row ids and a header below row 1 need a file in UTF-8")
-    if len(spark.read.text(path).inputFiles()) != 1:
-        raise ValueError(f"{path} is several files: load each, or use row_id=None")
-    lines = spark.sparkContext.newAPIHadoopFile(path, _OFFSETS, _LONG, _TEXT)
-    header_at = lines.take(spec.header_row)[-1][0]
-    numbered = spark.createDataFrame(lines, "at long, line string", verifySchema=False)
+    plain = spec.header_row == 1 and row_id is None
+    if plain:
+        numbered = _whole_lines(spark, path, spec, header_line).select(F.lit(0).alias("_file"), F.lit(0).alias("at"), "line")
+    elif _is_utf8(spec):
+        numbered = _numbered_lines(spark, path, spec, header_line)
+    else:
+        raise ValueError("row ids and a header below row 1 need files in UTF-8")
     text = F.regexp_replace("line", "\r$", "")
     quotes = F.length("line") - F.length(F.replace(F.col("line"), F.lit('"'), F.lit("")))
     closed = F.when(quotes % 2 == 0, True).otherwise(
         F.raise_error(F.lit(f"{path}: line break inside quotes")).cast("boolean")
     )
     body = (
-        numbered.filter((F.col("at") > header_at) & (F.length(text) > 0))
+        numbered.filter(F.length(text) > 0)
         .filter(closed)
-        .select("at", F.from_csv(text, schema, options).alias("r"))
-        .select("at", "r.*")
+        .select("_file", "at", F.from_csv(text, schema, options).alias("r"))
+        .select("_file", "at", "r.*")
         .filter(fits)
     )
+    if plain:
+        return named_columns(body.select(*kept), header[spec.start_col - 1 :], spec.start_col)
     if dense:
-        # The file is one group; its ranges of a megabyte are ranked apart and then offset.
-        ranked = rank_in_group(body.withColumn("_file", F.lit(0)), ["_file"], [], "at", "_place")
+        # All files are one group; their ranges of a megabyte are ranked apart and then offset.
+        ranked = rank_in_group(body.withColumn("_all", F.lit(0)), ["_all"], [], "at", "_place")
         body = ranked.withColumn("at", F.col("_place") - 1)
     named = named_columns(body.select(*kept), header[spec.start_col - 1 :], spec.start_col)
     place = [F.col("at").alias(row_id)] if row_id else []

@@ -20,11 +20,13 @@ def load_base(
     start_col: int = 1,
     sheet: str | None = None,
     row_id: str = ROW_ID,
+    delimiter: str | None = None,
+    encoding: str = "UTF-8",
 ) -> DataFrame:
     """Ledger with a row id and text columns from .csv, .txt, .xlsx or Parquet."""
     kind = os.path.splitext(path.rstrip("/"))[1].lower()
     if kind in (".csv", ".txt"):
-        return read_delimited(spark, path, TextSpec(header_row, start_col), row_id)
+        return read_delimited(spark, path, TextSpec(header_row, start_col, delimiter, encoding), row_id)
     if kind == ".xlsx":
         return read_workbooks(spark, path, SheetSpec(header_row, start_col, sheet), row_id)
     if kind == ".parquet":

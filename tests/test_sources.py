@@ -108,6 +108,35 @@ def test_broken_quotes_and_missing_headers_are_refused(spark, tmp_path):
         read_delimited(spark, str(path), TextSpec(start_col=5))
 
 
+def test_folders_of_text_are_checked_on_every_path(spark, tmp_path):
+    def folder(name, *texts, encoding="utf-8"):
+        (tmp_path / name).mkdir()
+        for n, text in enumerate(texts):
+            (tmp_path / name / f"f{n}.csv").write_text(text, encoding=encoding)
+        return str(tmp_path / name)
+
+    two = folder("two", "x\na;b\n1;2\n", "y\na;b\n3;4\n5;6\n")
+    for dense in (True, False):
+        got = read_delimited(spark, two, TextSpec(2), dense=dense).orderBy("row_id").collect()
+        assert [(r["a"], r["b"]) for r in got] == [("1", "2"), ("3", "4"), ("5", "6")]
+    assert [r["row_id"] for r in read_delimited(spark, two, TextSpec(2)).orderBy("row_id").collect()] == [0, 1, 2]
+    for row_id in ("row_id", None):
+        with pytest.raises(Exception, match="inside quotes"):
+            read_delimited(spark, folder(f"q{row_id}", 'a,b\n1,"x\ny"\n'), row_id=row_id).collect()
+        with pytest.raises(Exception, match="(?i)header"):
+            read_delimited(spark, folder(f"h{row_id}", "a,b\n1,2\n", "b,a\n4,3\n"), row_id=row_id).collect()
+    latin = folder("latin", "ação;b\né;1\n", encoding="latin-1")
+    got = read_delimited(spark, latin, TextSpec(encoding="ISO-8859-1"), row_id=None)
+    assert [f.metadata["source_name"] for f in got.schema.fields] == ["ação", "b"]
+    assert [tuple(r) for r in got.collect()] == [("é", "1")]
+
+
+def test_load_base_passes_the_delimiter(spark, tmp_path):
+    path = tmp_path / "d.csv"
+    path.write_text("a;b,c\n1;2,3\n4;5,6\n")
+    assert load_base(spark, str(path), delimiter=";").columns == ["row_id", "a", "b_c"]
+
+
 def test_unknown_format_is_refused(spark):
     with pytest.raises(ValueError, match="unsupported"):
         load_base(spark, "/tmp/x.pdf")
