@@ -266,6 +266,14 @@ def test_blocks_of_a_large_group(spark, save, monkeypatch):
     assert sorted(jaccard.op5_jaccard(spark, save(documents=rows)).collect()) == sorted(whole)
 
 
+def test_sets_are_verified_on_whole_hashes():
+    tokens = jaccard.Sets(["one two three four five six seven eight nine ten eleven twelve"]).token
+    others = tokens ^ np.uint64(1)
+    a, b = (jaccard.tokens_of(jaccard.packed(np.sort(t))) for t in (tokens, others))
+    assert a.tolist() == np.sort(tokens).tolist()
+    assert not set(a.tolist()) & set(b.tolist())
+
+
 def test_tree_loses_no_similar_pair():
     draw = np.random.default_rng(2)
     points = draw.integers(0, 6, (300, 16))
