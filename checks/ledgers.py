@@ -72,6 +72,25 @@ select row_id, case when l_returnflag = 'R' then '' else cast(l_suppkey as strin
             else cast(cast(l_extendedprice as decimal(18,2)) as string) end as valor
 from lineitem_rows"""
 
+# Every order is document and reference of its customer's group at once, with amounts within the
+# tolerance of each other and around zero, so that many rows could meet themselves.
+LEDGER_DUAL = """
+select o_orderkey as row_id, cast(o_custkey % 200 as string) as doc,
+       case when o_orderstatus = 'O' then '' else cast(o_custkey % 200 as string) end as ref,
+       cast(cast(((o_orderkey % 5) - 2) * 0.1 as decimal(18,2)) as string) as valor
+from orders"""
+
+# One document key holds two thirds of all orders with a few dozen amounts, each within the tolerance
+# of the next ones; the other keys are small ledgers of the same kind.
+_HOT_KEY = "case when o_orderstatus = 'O' then 'C' || cast(o_custkey % 50 as string) else 'LOTE' end"
+_IS_A = "o_orderpriority in ('1-URGENT', '2-HIGH', '3-MEDIUM')"
+LEDGER_HOT = f"""
+select o_orderkey as row_id, case when {_IS_A} then {_HOT_KEY} else '' end as doc,
+       case when {_IS_A} then '' else {_HOT_KEY} end as ref,
+       cast(cast(case when {_IS_A} then 1 else -1 end * (cast(floor(o_totalprice) as bigint) % 60) * 0.25
+            as decimal(18,2)) as string) as valor
+from orders"""
+
 ORIGIN = """
 select c_custkey as row_id, cast(c_custkey as string) as cust, c_mktsegment as seg,
        ' ' || c_name || ' ' as nome,

@@ -48,6 +48,8 @@ from .ledgers import (
     LEDGER_A,
     LEDGER_B,
     LEDGER_B_NEGATIVE,
+    LEDGER_DUAL,
+    LEDGER_HOT,
     LEDGER_LINES,
     LEDGER_R,
     ORIGIN,
@@ -125,10 +127,20 @@ def _reversal(s: SparkSession, d: str, limit: float) -> DataFrame:
     return reversal_marks(ledger(s, d, LEDGER_R), ReversalConfig("doc", "ref", "valor", limit))
 
 
-def reversal_chains(s: SparkSession, d: str) -> DataFrame:
+def reversal_chains(s: SparkSession, d: str, **options: int) -> DataFrame:
     lines = parquet_with_row_id(s, f"{d}/lineitem.parquet")
     lines.createOrReplaceTempView("lineitem_rows")
-    return reversal_marks(s.sql(LEDGER_LINES), ReversalConfig("doc", "ref", "valor", 25.0))
+    return reversal_marks(s.sql(LEDGER_LINES), ReversalConfig("doc", "ref", "valor", 25.0), **options)
+
+
+def reversal_dual(s: SparkSession, d: str) -> DataFrame:
+    return reversal_marks(ledger(s, d, LEDGER_DUAL), ReversalConfig("doc", "ref", "valor", 0.5))
+
+
+def reversal_hot_cell(s: SparkSession, d: str) -> DataFrame:
+    """One key with most rows and few amounts; the size from which counts are taken is set low."""
+    cfg = ReversalConfig("doc", "ref", "valor", 1.0)
+    return reversal_marks(ledger(s, d, LEDGER_HOT), cfg, max_component=1000)
 
 
 def _flow_groups(s: SparkSession, d: str):
@@ -254,6 +266,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "reversal_exact": lambda s, d: _reversal(s, d, 0.0),
         "reversal_tolerant": lambda s, d: _reversal(s, d, 0.5),
         "reversal_chains": reversal_chains,
+        "reversal_chunked": lambda s, d: reversal_chains(s, d, max_component=10),
+        "reversal_cells": lambda s, d: reversal_chains(s, d, max_amounts=100),
+        "reversal_dual": reversal_dual,
+        "reversal_hot_cell": reversal_hot_cell,
         "flow_groups": lambda s, d: _flow_groups(s, d).result,
         "flow_rows": lambda s, d: _flow_rows(s, d).result.select(*OUTCOME),
         "flow_counters": lambda s, d: _flow_rows(s, d).counters,

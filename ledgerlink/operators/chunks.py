@@ -6,10 +6,12 @@ gives the same pairs. In the second reading an entry of B only looks at amounts
 tolerance, which makes the work local: the amount axis is cut into chunks, and a chunk depends on
 the chunk before it through the entries of A that both can reach, nothing else.
 
-All chunks are paired at once, at first as if no shared entry had been taken. A chunk whose
-predecessor took shared entries is paired again without them, until nothing changes. The first
-chunk of a component is right from the start and each round settles at least the next one, so the
-result is exact; in practice an influence dies out after a few chunks.
+All chunks are paired at once, at first as if no shared entry had been taken. Where a chunk took
+shared entries, the next one is paired again without them. Round by round chunks are merged into runs
+of twice the length, and a run is paired again as a whole if what it shares with the run before has
+changed. Inside a run nothing is left to be told, so after as many rounds as the number of chunks has
+binary digits a component is one run at most, and the result is exact; in practice an influence dies out
+after a few chunks. Only runs that are paired again are written.
 """
 
 from __future__ import annotations
@@ -138,40 +140,42 @@ def _copies(entries: DataFrame, reach: int, chunk_rows: int, cell_bits: int) ->
         .withColumn("chunk", F.explode(F.array_distinct(F.array("first_chunk", "last_chunk"))))
         .withColumn("shared", F.col("first_chunk") < F.col("last_chunk"))
         .withColumn("later", F.col("shared") & (F.col("chunk") == F.col("last_chunk")))
-        .drop("first_chunk", "last_chunk")
+        .withColumnRenamed("first_chunk", "first")
+        .drop("last_chunk")
     )
 
 
 _STATE = (
-    f"key string, comp double, chunk long, role string, m double, cents long, {ROW_ID} long, "
+    f"key string, comp double, first long, chunk long, role string, m double, cents long, {ROW_ID} long, "
     "shared boolean, later boolean, taken boolean, paired boolean"
 )
-_CHUNK = ("key", "comp", "chunk")
+_RUN = ("key", "comp", "run")
 
 
-class _OpenChunk:
-    """The chunk that a task is reading: entries of B first, then entries of A in row order."""
+class _OpenRun:
+    """The run of chunks that a task is reading: entries of B first, then entries of A in row order."""
 
     def __init__(self, place: tuple, limit: float) -> None:
         self.place = place
         self.limit = limit
-        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.parts: list[tuple[np.ndarray, ...]] = []
         self.queues: Queues | None = None
 
     def add(self, b: pd.DataFrame) -> None:
-        self.parts.append((b[ROW_ID].to_numpy(), b["m"].to_numpy(), b["cents"].to_numpy()))
+        self.parts.append(tuple(b[c].to_numpy() for c in (ROW_ID, "m", "cents", "chunk")))  # B is never shared
 
     def _open(self) -> Queues:
         if self.queues is None:
-            empty = [(np.array([], np.int64), np.array([], float), np.array([], np.int64))]
-            self.ids, self.m, self.cents = map(np.concatenate, zip(*(self.parts or empty)))
+            empty = [tuple(np.array([], t) for t in (np.int64, float, np.int64, np.int64))]
+            self.ids, self.m, self.cents, self.chunk = map(np.concatenate, zip(*(self.parts or empty)))
             self.parts = []
             group = np.zeros(len(self.ids), dtype=np.int8)
             self.queues = Queues(group, self.ids, self.m, self.cents, self.limit)
         return self.queues
 
     def serve(self, a: pd.DataFrame) -> pd.DataFrame:
-        free = ~a["taken"].to_numpy(dtype=bool)
+        # The later copy of an entry that the run holds twice stands aside.
+        free = ~(a["taken"].to_numpy(dtype=bool) | a["inside"].to_numpy(dtype=bool))
         paired = np.zeros(len(a), dtype=bool)
         ids, m = a[ROW_ID].to_numpy()[free], a["m"].to_numpy()[free]
         paired[free] = self._open().serve(np.zeros(len(ids), dtype=np.int8), ids, m)
@@ -180,48 +184,54 @@ class _OpenChunk:
     def close(self) -> pd.DataFrame:
         queues = self._open()
         rows = pd.DataFrame(
-            {"role": "B", "m": self.m, "cents": self.cents, ROW_ID: self.ids, "paired": queues.paired}
+            {"first": self.chunk, "chunk": self.chunk, "role": "B", "m": self.m, "cents": self.cents, ROW_ID: self.ids, "paired": queues.paired}
         )
         never = dict.fromkeys(("shared", "later", "taken"), False)
-        return rows.assign(**dict(zip(_CHUNK, self.place)), **never)
+        return rows.assign(key=self.place[0], comp=self.place[1], **never)
 
 
-def _pair_chunks(state: DataFrame, limit: float) -> DataFrame:
-    """Pair every chunk of ``state`` on its own.
+def _run(level: int, chunk: str = "chunk") -> Column:
+    """Runs of ``2 ** level`` chunks."""
+    return F.shiftright(chunk, level)
 
-    A chunk streams through its task in batches. The task keeps two numbers per entry of B and
-    nothing of A, so that a chunk may be much larger than what fits a data frame.
+
+def _pair_runs(state: DataFrame, limit: float, level: int) -> DataFrame:
+    """Pair every run of ``state`` on its own.
+
+    A run streams through its task in batches. The task keeps a few numbers per entry of B and nothing
+    of A, so that a run may be much larger than what fits a data frame.
     """
     names = [f.split()[0] for f in _STATE.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chunk: _OpenChunk | None = None
+        held: _OpenRun | None = None
         for pdf in batches:
             if not len(pdf):
                 continue
             out = []
-            cuts = np.flatnonzero(_starts(pdf, _CHUNK)).tolist()
+            cuts = np.flatnonzero(_starts(pdf, _RUN)).tolist()
             for begin, end in zip(cuts, [*cuts[1:], len(pdf)]):
                 piece = pdf.iloc[begin:end]
-                place = tuple(piece.iloc[0][list(_CHUNK)])
-                if chunk is None or chunk.place != place:
-                    if chunk is not None:
-                        out.append(chunk.close())
-                    chunk = _OpenChunk(place, limit)
+                place = tuple(piece.iloc[0][list(_RUN)])
+                if held is None or held.place != place:
+                    if held is not None:
+                        out.append(held.close())
+                    held = _OpenRun(place, limit)
                 is_a = (piece["role"] == "A").to_numpy()
                 if not is_a.all():
-                    chunk.add(piece[~is_a])
+                    held.add(piece[~is_a])
                 if is_a.any():
-                    out.append(chunk.serve(piece[is_a]))
+                    out.append(held.serve(piece[is_a]))
             if out:
                 yield pd.concat(out)[names]
-        if chunk is not None:
-            yield chunk.close()[names]
+        if held is not None:
+            yield held.close()[names]
 
+    inside = F.col("later") & (_run(level, "first") == _run(level))
     return (
-        state.select(*names)
-        .repartition(*_CHUNK)
-        .sortWithinPartitions(*_CHUNK, F.desc("role"), ROW_ID)
+        state.select(*names, _run(level).alias("run"), inside.alias("inside"))
+        .repartition(*_RUN)
+        .sortWithinPartitions(*_RUN, F.desc("role"), ROW_ID, "later")
         .mapInPandas(run, _STATE)
     )
 
@@ -233,26 +243,29 @@ def pair_by_chunks(
     copies = _copies(entries, reach, chunk_rows, cell_bits).withColumns(
         {"taken": F.lit(False), "paired": F.lit(None).cast("boolean")}
     )
-    state = materialize(_pair_chunks(copies, limit), "reversal-chunks")
+    state, level = materialize(_pair_runs(copies, limit, 0), "reversal-chunks"), 0
     while True:
-        first = state.filter("shared AND NOT later").select(
+        # What neighbouring runs share; what a run shares with itself is settled.
+        apart = _run(level, "first") < _run(level)
+        early = state.filter("shared AND NOT later").select(
             "key", "comp", ROW_ID, F.col("paired").alias("told")
         )
-        news = join_lookup(state.filter("later"), first, ["key", "comp", ROW_ID], how="inner")
+        news = join_lookup(state.filter("later").filter(apart), early, ["key", "comp", ROW_ID], how="inner")
         news = materialize(
-            news.filter("told <> taken").select(*_CHUNK, ROW_ID, "later", "told"), "reversal-news"
+            news.filter("told <> taken").select("key", "comp", "chunk", ROW_ID, "later", "told"), "reversal-news"
         )
         if news.isEmpty():
             break
-        stale = news.select(*_CHUNK).distinct().withColumn("stale", F.lit(True))
-        known = join_lookup(state, stale, list(_CHUNK))
+        level += 1
+        stale = news.select("key", "comp", _run(level).alias("run")).distinct().withColumn("stale", F.lit(True))
+        known = join_lookup(state.withColumn("run", _run(level)), stale, list(_RUN)).drop("run")
         again = join_lookup(
             known.filter("stale"),
             news.select("key", "comp", ROW_ID, "later", "told"),
             ["key", "comp", ROW_ID, "later"],
         ).withColumn("taken", F.coalesce("told", "taken"))
         kept = known.filter("stale IS NULL").drop("stale")
-        state = materialize(kept.unionByName(_pair_chunks(again, limit)), "reversal-chunks")
+        state = kept.unionByName(materialize(_pair_runs(again, limit, level), "reversal-chunks"))
     # Entries that were left out of the chunks never pair.
     settled = state.select(ROW_ID, "paired")
     return settled.unionByName(entries.select(ROW_ID, F.lit(False).alias("paired")))

@@ -12,8 +12,10 @@ key falls into independent *components*:
 * a component no wider than the tolerance (with tolerance zero: every component) lets every A pair
   with every B. Which entries pair follows from counts and ranks alone, so hot keys with hot
   amounts need no task that sees the whole group;
-* the others are paired in row order by a grouped map, one component at a time. A component too
-  large for one task goes through :mod:`.chunks`.
+* the others are paired in row order by a grouped map, one component at a time;
+* of those too large for one task, one with many entries of few amounts is settled from counts per
+  amount and block of rows (:mod:`.tallies`), the rest chunk by chunk (:mod:`.chunks`). All ways give
+  the same pairs.
 """
 
 from __future__ import annotations
@@ -36,10 +38,18 @@ from ..scratch import materialize
 from .chunks import pair_by_chunks, pair_whole_components
 from .joins import join_lookup
 from .ranks import CELL_BITS, rank_in_group
+from .tallies import pair_by_counts
 
 # Entries of a component that one task may pair, and amounts of a key that one task may sort.
 MAX_COMPONENT = 500_000
 MAX_AMOUNTS = 1_000_000
+# Entries per amount from which counts are much smaller than the entries themselves.
+DENSE = 16
+
+
+def _cents(m: Column) -> Column:
+    """Cents of the entries of B with this ``m``."""
+    return cents_index(F.lit(0.0) - m)
 
 
 def _entries(a: DataFrame, cfg: ReversalConfig, row_id: str) -> DataFrame:
@@ -99,9 +109,14 @@ def _components_in_key(amounts: DataFrame, limit: float) -> DataFrame:
     """Components of keys with a bounded number of amounts: one layout by key serves all steps."""
     along = Window.partitionBy("key").orderBy("m")
     whole = Window.partitionBy("key", "comp")
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    of_b = F.when(F.col("nb") > 0, _cents(F.col("m")))
+    clash = F.coalesce(of_b == F.last(of_b, ignorenulls=True).over(before), F.lit(False))
     gap = F.coalesce(F.col("m") - F.lag("m").over(along) > limit, F.lit(True))
-    named = amounts.withColumn("_start", F.when(gap, F.col("m"))).withColumn(
-        "comp", F.last("_start", ignorenulls=True).over(along)
+    named = (
+        amounts.withColumn("_start", F.when(gap, F.col("m")))
+        .withColumn("_clash", clash)
+        .withColumn("comp", F.last("_start", ignorenulls=True).over(along))
     )
     return named.select(
         "key",
@@ -110,6 +125,8 @@ def _components_in_key(amounts: DataFrame, limit: float) -> DataFrame:
         F.sum("na").over(whole).alias("na"),
         F.sum("nb").over(whole).alias("nb"),
         F.sum("nd").over(whole).alias("nd"),
+        F.count(F.lit(1)).over(whole).alias("amounts"),
+        F.max("_clash").over(whole).alias("clash"),
         (F.max("m").over(whole) - F.min("m").over(whole) <= limit).alias("narrow"),
     )
 
@@ -151,6 +168,8 @@ def _components_in_cells(amounts: DataFrame, limit: float) -> DataFrame:
         F.sum("na").alias("na"),
         F.sum("nb").alias("nb"),
         F.sum("nd").alias("nd"),
+        F.count(F.lit(1)).alias("amounts"),
+        (F.count_if(F.col("nb") > 0) > F.count_distinct(F.when(F.col("nb") > 0, _cents(F.col("m"))))).alias("clash"),
         (F.max("m") - F.min("m") <= limit).alias("narrow"),
     )
     return join_lookup(named.select("key", "m", "comp"), totals, ["key", "comp"], how="inner")
@@ -164,7 +183,8 @@ def _component_counts(entries: DataFrame, limit: float, max_amounts: int) -> Dat
     counts, keys = _amounts(entries)
     if limit == 0:
         amounts = join_lookup(counts, keys.select("key"), ["key"], how="left_semi")
-        return amounts.withColumns({"comp": F.col("m"), "narrow": F.lit(True)})
+        alone = {"amounts": F.lit(1).cast("long"), "clash": F.lit(False), "narrow": F.lit(True)}
+        return amounts.withColumns({"comp": F.col("m"), **alone})
     if counts.count() <= max_amounts:  # from the file footers; no key can have more
         return _components_in_key(counts.join(keys.select("key"), "key", "left_semi"), limit)
     many = F.col("_amounts") > max_amounts
@@ -178,8 +198,9 @@ def _component_counts(entries: DataFrame, limit: float, max_amounts: int) -> Dat
     return few.unionByName(_components_in_cells(large, limit))
 
 
-def _route(max_component: int) -> Column:
-    """How the entry is settled: by counts, by ranks, in one task, or chunk by chunk."""
+def _route(max_component: int, dense: int) -> Column:
+    """How the entry is settled: by its component's totals or ranks, in one task, by counts per amount
+    and block, or chunk by chunk."""
     own = F.when(F.col("role") == "A", F.col("na")).otherwise(F.col("nb"))
     other = F.when(F.col("role") == "A", F.col("nb")).otherwise(F.col("na"))
     return (
@@ -188,6 +209,7 @@ def _route(max_component: int) -> Column:
         .when(F.col("narrow") & (F.col("nd") == 0), "rank")
         .when(F.col("narrow"), "dual")
         .when(F.col("na") + F.col("nb") <= max_component, "whole")
+        .when((F.col("nd") == 0) & ~F.col("clash") & (F.col("na") + F.col("nb") >= dense * F.col("amounts")), "counts")
         .otherwise("chunk")
     )
 
@@ -243,6 +265,7 @@ def reversal_marks(
     max_component: int = MAX_COMPONENT,
     max_amounts: int = MAX_AMOUNTS,
     cell_bits: int = CELL_BITS,
+    dense: int = DENSE,
 ) -> DataFrame:
     """(row_id, status, grupo) of the rows that take part in a reversal.
 
@@ -255,17 +278,18 @@ def reversal_marks(
         join_lookup(
             entries, _component_counts(entries, limit, max_amounts), ["key", "m"], how="inner"
         )
-        .withColumn("route", _route(max_component))
-        .drop("narrow", "dual")
+        .withColumn("route", _route(max_component, dense))
+        .drop("narrow", "dual", "amounts", "clash")
     )
     # Several routes read this frame; each reads its own folder of the copy.
     settled = materialize(settled, "reversal-entries", ["route"])
-    used = {r["route"] for r in settled.select("route").distinct().collect()}  # six at most
+    used = {r["route"] for r in settled.select("route").distinct().collect()}  # seven at most
     reach = math.ceil(limit * 100) + 1
     routes = {
         "rank": lambda e: _pair_by_rank(e, cell_bits),
         "dual": lambda e: _pair_by_rank_apart(e, cell_bits),
         "whole": lambda e: pair_whole_components(e, limit),
+        "counts": lambda e: pair_by_counts(e, limit, cell_bits),
         "chunk": lambda e: pair_by_chunks(e, limit, reach, max_component, cell_bits),
     }
     flags = settled.filter(F.col("route").isin("paired", "unpaired")).select(

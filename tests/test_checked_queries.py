@@ -31,13 +31,14 @@ def test_query_equals_its_sql(spark, sql, name):
     assert found is None
 
 
-def test_reversal_chains_follow_the_rule(spark):
-    """No SQL for this one: every line is compared with the rule applied row by row."""
-    from checks.ledgers import LEDGER_LINES
+@pytest.mark.parametrize("name, ledger, limit", [("reversal_chains", "LEDGER_LINES", 25.0), ("reversal_hot_cell", "LEDGER_HOT", 1.0), ("reversal_dual", "LEDGER_DUAL", 0.5)])
+def test_reversals_follow_the_rule(spark, name, ledger, limit):
+    """Every row against the rule applied row by row, beside the SQL."""
+    from checks import ledgers
     from tests.test_reversal import expected_marks
 
-    marks = driver.queries()["reversal_chains"](spark, FOLDER).collect()
-    rows = spark.sql(LEDGER_LINES).orderBy("row_id").collect()
-    ledger = [(r["row_id"], r["doc"], r["ref"], float(r["valor"])) for r in rows]
+    marks = driver.queries()[name](spark, FOLDER).collect()
+    rows = spark.sql(getattr(ledgers, ledger)).orderBy("row_id").collect()
+    plain = [(r["row_id"], r["doc"], r["ref"], float(r["valor"])) for r in rows]
     got = {r["row_id"]: (r["status"], r["grupo"]) for r in marks}
-    assert got == expected_marks(ledger, 25.0)
+    assert got == expected_marks(plain, limit)

@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 
 from ledgerlink.model import ReversalConfig
+from ledgerlink.operators import chunks, reversal, tallies
 from ledgerlink.operators.pairing import pair_in_row_order
 from ledgerlink.operators.reversal import reversal_marks
 
@@ -136,6 +137,88 @@ def test_random_ledgers(spark, limit, step, spread, size, max_component):
     assert got == expected_marks(rows, limit)
 
 
+def wide_ledger(rng, keys, size, amounts, step, start=0):
+    """Keys whose few amounts follow one another closer than the tolerance, each with many rows."""
+    rows = []
+    for k in range(keys):
+        for _ in range(size):
+            doc, ref = (f"w{k}", "") if rng.random() < 0.55 else ("", f"w{k}")
+            rows.append((start + 7 * len(rows) + rng.randint(0, 6), doc, ref, (rng.randint(0, amounts) * step) * (1 if doc else -1)))
+    return rows
+
+
+def ledger_of(spark, rows):
+    return spark.createDataFrame(
+        [(r, d, k, repr(v)) for r, d, k, v in rows], "row_id long, doc string, ref string, valor string"
+    )
+
+
+@pytest.mark.parametrize("first_bits, step_bits, limit, step", [(2, 1, 0.5, 0.25), (3, 3, 1.0, 0.5), (4, 2, 0.3, 0.25), (10, 6, 2.5, 0.5)])
+def test_counts_per_amount_and_block(spark, monkeypatch, first_bits, step_bits, limit, step):
+    monkeypatch.setattr(tallies, "FIRST_BITS", first_bits)
+    monkeypatch.setattr(tallies, "STEP_BITS", step_bits)
+    taken = []
+    plain = tallies.pair_by_counts
+    monkeypatch.setattr(reversal, "pair_by_counts", lambda *a: taken.append(a) or plain(*a))
+    rows = wide_ledger(random.Random(f"{first_bits}{limit}"), 12, 150, 9, step, start=-700)
+    got = marks_of(ledger_of(spark, rows), ReversalConfig("doc", "ref", "valor", limit), max_component=4, dense=1, cell_bits=3)
+    assert taken and got == expected_marks(rows, limit)
+
+
+def test_blocks_of_rows_settle_a_component_as_the_rows_do():
+    rng = random.Random(8)
+    for _ in range(300):
+        limit, step, amounts = rng.choice([0.3, 0.5, 1.0, 2.0]), rng.choice([0.25, 0.5]), rng.randint(1, 8)
+        b = sorted(rng.randint(0, amounts) * step for _ in range(rng.randint(0, 30)))
+        a = [(r, -rng.randint(0, amounts) * step) for r in sorted(rng.sample(range(256), 40))]
+        free, want = list(b), {}
+        for r, m in a:
+            spot = next((v for v in free if abs(v + m) <= limit), None)
+            want[r] = spot is not None
+            if spot is not None:
+                free.remove(spot)
+        size = dict.fromkeys({r >> 6 << 6 for r, _ in a}, 6)
+        while True:
+            values = sorted(set(b))
+            spots = tallies.Spots(values, [b.count(v) for v in values], limit)
+            for start in sorted(size):
+                inside = [m for r, m in a if r >> size[start] << size[start] == start]
+                spots.block(start, size[start] == 0, [(m, inside.count(m)) for m in set(inside)])
+            if not spots.doubtful:
+                break
+            for start in spots.doubtful:
+                bits = size.pop(start)
+                size |= {r >> bits - 2 << bits - 2: bits - 2 for r, _ in a if r >> bits << bits == start}
+        assert {r: m not in spots.silent or r < spots.silent[m] for r, m in a} == want
+        assert spots.taken() == [b.count(v) - free.count(v) for v in values]
+
+
+def test_no_task_reads_a_hot_amount_range_whole(spark, monkeypatch):
+    """A task sees counts per amount and block only: far fewer rows than entries."""
+    seen = []
+    plain = tallies._walk
+    monkeypatch.setattr(tallies, "_walk", lambda spots, counted, limit: seen.append(spots.count() + counted.count()) or plain(spots, counted, limit))
+    rng = random.Random(4)
+    rows = [(i, "H", "", float(rng.randint(0, 3))) if i % 2 else (i, "", "H", -float(rng.randint(0, 3))) for i in range(40_000)]
+    rows = [(i, d, r, v * 0.5) for i, d, r, v in rows]
+    monkeypatch.setattr(tallies, "FIRST_BITS", 6)
+    out = marks_of(ledger_of(spark, rows), ReversalConfig("doc", "ref", "valor", 1.0), max_component=1000)
+    assert len(out) == 40_000 and max(seen) < 4000
+
+
+def test_influence_runs_through_500_chunks_in_few_rounds(spark, monkeypatch):
+    """Each entry of A takes the partner of the next one, so the first one decides about the last."""
+    n, rounds = 1000, []
+    plain = chunks._pair_runs
+    monkeypatch.setattr(chunks, "_pair_runs", lambda state, limit, level: rounds.append(level) or plain(state, limit, level))
+    rows = [(i, "K", "", float(i)) for i in range(n)] + [(n + i, "", "K", -float(i) - 0.5) for i in range(n)]
+    rows.append((-1, "K", "", 0.25))
+    rows.sort()
+    got = marks_of(ledger_of(spark, rows), ReversalConfig("doc", "ref", "valor", 0.5), max_component=4, dense=10**6, cell_bits=6)
+    assert got == expected_marks(rows, 0.5)
+    assert len(rounds) <= 12
+
+
 def test_one_key_holds_most_rows(spark):
     """A hot document key with few amounts, settled from ranks over many cells."""
     rng = random.Random(11)
