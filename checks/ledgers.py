@@ -109,6 +109,14 @@ select o_orderkey as row_id,
        o_orderstatus as situacao
 from orders"""
 
+# Remarks over several lines, with quotes and commas in them.
+REMARKS = f"""
+select o_orderkey as row_id, {_DOC} as doc,
+       case when o_orderstatus = 'F' then 'linha 1' || chr(10) || chr(10) || '"' || {_DOC} || '", fim' || chr(10)
+            when o_orderstatus = 'O' then '5" cano' else 'uma linha, ' || {_DOC} end as nota,
+       cast({_AMOUNT} as string) as valor
+from orders"""
+
 # Texts as found in hand-kept sheets: comma and point decimals, blanks, marks, thousands points.
 TEXTS = f"""
 select o_orderkey as row_id,

@@ -53,6 +53,7 @@ from .ledgers import (
     LEDGER_LINES,
     LEDGER_R,
     ORIGIN,
+    REMARKS,
     TEXTS,
 )
 
@@ -249,6 +250,23 @@ def delimited_ledger(s: SparkSession, d: str) -> DataFrame:
     return read.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in read.columns])
 
 
+def _delimited(s: SparkSession, d: str, sql: str, name: str) -> DataFrame:
+    """A ledger written as several delimited files in row order, and read back with row ids."""
+    df = ledger(s, d, sql)
+    path = f"{shared_folder(s).rstrip('/')}/ledgerlink-{s.sparkContext.applicationId}/{name}"
+    laid = df.repartitionByRange(4, "row_id").sortWithinPartitions("row_id").drop("row_id")
+    laid.write.mode("overwrite").options(header=True, escape='"').csv(path)
+    return read_delimited(s, path)
+
+
+def delimited_row_ids(s: SparkSession, d: str) -> DataFrame:
+    return _delimited(s, d, LEDGER_A, "ledger-a-rows").select("row_id", "doc", "valor")
+
+
+def delimited_quoted(s: SparkSession, d: str) -> DataFrame:
+    return _delimited(s, d, REMARKS, "remarks")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "recon_orders_lineitem": recon_orders_lineitem,
@@ -295,4 +313,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "export_comparison": lambda s, d: export.comparison(_pair_groups(s, d)),
         "parquet_row_ids": parquet_row_ids,
         "delimited_ledger": delimited_ledger,
+        "delimited_row_ids": delimited_row_ids,
+        "delimited_quoted": delimited_quoted,
     }

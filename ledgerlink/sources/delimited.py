@@ -10,14 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..model import ROW_ID
-from ..operators.ranks import rank_in_group
 from .catalog import named_columns
+from .records import numbered_records, quote_states
 
 _DELIMITERS = ",;|\t"
 _SNIFFED_LINES = 20
-_OFFSETS = "org.apache.hadoop.mapreduce.lib.input.TextInputFormat"
-_LONG = "org.apache.hadoop.io.LongWritable"
-_TEXT = "org.apache.hadoop.io.Text"
 
 
 @dataclass(frozen=True)
@@ -74,43 +71,20 @@ def _top(spark: SparkSession, path: str, spec: TextSpec) -> tuple[list[str], str
     return header, delimiter, table[0]
 
 
-def _numbered_lines(spark: SparkSession, path: str, spec: TextSpec, header: str) -> DataFrame:
-    """Lines below the headers of one file or many, in name order, as file number, offset among all files and line."""
-    out, start = None, 0
-    for number, file in enumerate(sorted(spark.read.text(path).inputFiles())):
-        at = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(file))
-        size = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).getLen()
-        if not size:
-            continue
-        lines = spark.sparkContext.newAPIHadoopFile(at.toString(), _OFFSETS, _LONG, _TEXT)
-        top = lines.take(spec.header_row)
-        if len(top) < spec.header_row or top[-1][1].removeprefix("\ufeff").rstrip("\r") != header:
-            raise ValueError(f"{file} has another header in row {spec.header_row} than the first file")
-        frame = spark.createDataFrame(lines, "at long, line string", verifySchema=False)
-        frame = frame.filter(F.col("at") > top[-1][0]).select(
-            F.lit(number).alias("_file"), (F.col("at") + F.lit(start)).alias("at"), "line"
-        )
-        out = frame if out is None else out.unionAll(frame)
-        start += size
-    return out
-
-
 def read_delimited(
     spark: SparkSession,
     path: str,
     spec: TextSpec = TextSpec(),
     row_id: str | None = ROW_ID,
-    dense: bool = True,
 ) -> DataFrame:
     """Ledger of text columns named from the header, with rows numbered from 0 in file order.
 
-    A header on the first line and no row id (``row_id=None``) reads lines straight through the CSV
-    source, in any encoding. Otherwise the lines of each file come with their byte offset: the lines
-    up to the header are left out by position and rows keep their order, files in name order.
-    ``dense=False`` uses the offset itself as row id, which orders rows the same way and saves a
-    shuffle. In both cases the fields are parsed inside the JVM, and one file or many alike.
+    Files in UTF-8, one or many, are read in splits; rows keep their order, files in name order, and a
+    quoted field may go on over several lines (see :mod:`.records`). Other encodings are read line by
+    line: they need a header on the first line, have no row ids (``row_id=None``), and a line break inside
+    quotes is an error there.
 
-    Short rows are filled with NULL. Longer rows, line breaks inside quotes and a file whose header
+    Short rows are filled with NULL. Longer rows, a quote that is never closed and a file whose header
     line is not that of the first file are errors.
     """
     header, delimiter, header_line = _top(spark, path, spec)
@@ -119,35 +93,27 @@ def read_delimited(
     schema = ", ".join(f"`{c}` string" for c in [*raw, "_extra"])
     options = {"sep": delimiter, "encoding": spec.encoding, "escape": '"', "mode": "PERMISSIVE"}
     kept = raw[spec.start_col - 1 :]
-    fits = F.when(F.col("_extra").isNull(), True).otherwise(
+    # The number of the row takes part, so that no line is judged before it is known to be a record.
+    fits = F.when(F.col("_extra").isNull() | F.col("at").isNull(), True).otherwise(
         F.raise_error(F.lit(f"{path}: a row has more fields than the header")).cast("boolean")
     )
 
-    plain = spec.header_row == 1 and row_id is None
-    if plain:
-        numbered = _whole_lines(spark, path, spec, header_line).select(F.lit(0).alias("_file"), F.lit(0).alias("at"), "line")
-    elif _is_utf8(spec):
-        numbered = _numbered_lines(spark, path, spec, header_line)
+    if _is_utf8(spec):
+        records = numbered_records(spark, path, delimiter, spec.header_row, header_line)
+    elif spec.header_row == 1 and row_id is None:
+        lines = _whole_lines(spark, path, spec, header_line).select(F.lit(0).alias("at"), "line")
+        records = lines.filter(
+            F.when(~quote_states(F.col("line"), delimiter)[0], True).otherwise(
+                F.raise_error(F.lit(f"{path}: line break inside quotes")).cast("boolean")
+            )
+        )
     else:
         raise ValueError("row ids and a header below row 1 need files in UTF-8")
-    text = F.regexp_replace("line", "\r$", "")
-    quotes = F.length("line") - F.length(F.replace(F.col("line"), F.lit('"'), F.lit("")))
-    closed = F.when(quotes % 2 == 0, True).otherwise(
-        F.raise_error(F.lit(f"{path}: line break inside quotes")).cast("boolean")
-    )
     body = (
-        numbered.filter(F.length(text) > 0)
-        .filter(closed)
-        .select("_file", "at", F.from_csv(text, schema, options).alias("r"))
-        .select("_file", "at", "r.*")
+        records.select("at", F.from_csv("line", schema, options).alias("r"))
+        .select("at", "r.*")
         .filter(fits)
     )
-    if plain:
-        return named_columns(body.select(*kept), header[spec.start_col - 1 :], spec.start_col)
-    if dense:
-        # All files are one group; their ranges of a megabyte are ranked apart and then offset.
-        ranked = rank_in_group(body.withColumn("_all", F.lit(0)), ["_all"], [], "at", "_place")
-        body = ranked.withColumn("at", F.col("_place") - 1)
     named = named_columns(body.select(*kept), header[spec.start_col - 1 :], spec.start_col)
     place = [F.col("at").alias(row_id)] if row_id else []
     return body.select(

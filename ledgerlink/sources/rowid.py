@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from ..model import ROW_ID
 from ..scratch import materialize
+from .spread import broadcast_if_small
 
 
 def parquet_with_row_id(spark: SparkSession, path: str | list[str], out: str = ROW_ID) -> DataFrame:
     """Parquet rows numbered from 0, files in name order and rows in file order.
 
     The position inside a file comes from the reader. Files are offset by the row counts of those
-    before them: a table with one row per file, counted from the footers' row positions alone.
+    before them: a table with one row per file, counted from the footers' row positions alone. That
+    table is broadcast unless there are very many files, so the rows of the table are not moved.
     """
     paths = [path] if isinstance(path, str) else path
     df = spark.read.parquet(*paths)
@@ -28,13 +30,12 @@ def parquet_with_row_id(spark: SparkSession, path: str | list[str], out: str = R
         .agg(F.count(F.lit(1)).alias("_n"))
     )
     earlier = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-    # Written, so that the join knows how small it is and broadcasts it only if it is small.
     starts = materialize(
         files.select("_file", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start")),
         "file-starts",
     )
     return (
-        located.join(starts, "_file")
+        located.join(broadcast_if_small(starts), "_file")
         .withColumn(out, F.col("_start") + F.col("_at"))
         .select(out, *df.columns)
     )

@@ -1,8 +1,9 @@
-"""Layout helper: how many partitions a shuffle should have."""
+"""Layout helpers: how many partitions a shuffle should have, and what may be broadcast."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def size_shuffles(*ledgers: DataFrame, target_bytes: int = 128 * 1024 * 1024) -> int:
@@ -22,3 +23,15 @@ def size_shuffles(*ledgers: DataFrame, target_bytes: int = 128 * 1024 * 1024) ->
     wanted = max(cores, -(-3 * estimated // target_bytes))
     spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
     return wanted
+
+
+# Rows of a table that is broadcast: some hundred megabytes of paths and numbers at most.
+MOST_BROADCAST = 500_000
+
+
+def broadcast_if_small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """``df``, to be broadcast if it has at most ``most`` rows; a larger one is joined by a shuffle.
+
+    The rows are counted, so ``df`` should be a written table or a cheap step on one.
+    """
+    return F.broadcast(df) if df.count() <= most else df

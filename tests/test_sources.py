@@ -1,3 +1,4 @@
+import random
 import zipfile
 
 import pytest
@@ -81,7 +82,7 @@ def test_text_file_without_row_id(spark, tmp_path):
 
 def test_offset_row_ids_keep_the_order(spark, tmp_path):
     path = write_csv(tmp_path / "s.csv", 2)
-    df = read_delimited(spark, path, TextSpec(3), dense=False).orderBy("row_id")
+    df = read_delimited(spark, path, TextSpec(3)).orderBy("row_id")
     assert [r["nota_fiscal"] for r in df.collect()] == ["1001", "1002", "1003"]
 
 
@@ -99,7 +100,7 @@ def test_short_rows_are_filled_and_long_rows_refused(spark, tmp_path, row_id):
 
 def test_broken_quotes_and_missing_headers_are_refused(spark, tmp_path):
     path = tmp_path / "q.csv"
-    path.write_text('a,b\n1,"x\ny"\n')
+    path.write_text('a,b\n1,"x\ny\n')
     with pytest.raises(Exception, match="inside quotes"):
         read_delimited(spark, str(path)).collect()
     with pytest.raises(ValueError):
@@ -116,13 +117,12 @@ def test_folders_of_text_are_checked_on_every_path(spark, tmp_path):
         return str(tmp_path / name)
 
     two = folder("two", "x\na;b\n1;2\n", "y\na;b\n3;4\n5;6\n")
-    for dense in (True, False):
-        got = read_delimited(spark, two, TextSpec(2), dense=dense).orderBy("row_id").collect()
-        assert [(r["a"], r["b"]) for r in got] == [("1", "2"), ("3", "4"), ("5", "6")]
+    got = read_delimited(spark, two, TextSpec(2)).orderBy("row_id").collect()
+    assert [(r["a"], r["b"]) for r in got] == [("1", "2"), ("3", "4"), ("5", "6")]
     assert [r["row_id"] for r in read_delimited(spark, two, TextSpec(2)).orderBy("row_id").collect()] == [0, 1, 2]
     for row_id in ("row_id", None):
         with pytest.raises(Exception, match="inside quotes"):
-            read_delimited(spark, folder(f"q{row_id}", 'a,b\n1,"x\ny"\n'), row_id=row_id).collect()
+            read_delimited(spark, folder(f"q{row_id}", 'a,b\n1,"x\ny\n'), row_id=row_id).collect()
         with pytest.raises(Exception, match="(?i)header"):
             read_delimited(spark, folder(f"h{row_id}", "a,b\n1,2\n", "b,a\n4,3\n"), row_id=row_id).collect()
     latin = folder("latin", "ação;b\né;1\n", encoding="latin-1")
@@ -131,6 +131,62 @@ def test_folders_of_text_are_checked_on_every_path(spark, tmp_path):
     assert [tuple(r) for r in got.collect()] == [("é", "1")]
 
 
+def awkward_text(rng, rows):
+    """A text file with quoted breaks, doubled quotes, blank lines and quotes inside plain fields."""
+    cells = ["1", "", 'x"y', '5" pipe', "two\nlines", "a,b", 'say ""hi""', "\n\n", '"', ",", 'end"\n,"', "plain"]
+    out, want = [], []
+    for _ in range(rows):
+        row = [rng.choice(cells) for _ in range(3)]
+        if not any(row):
+            continue
+        text = []
+        for cell in row:
+            quoted = any(c in cell for c in ",\n") or cell.startswith('"') or rng.random() < 0.2
+            text.append('"' + cell.replace('"', '""') + '"' if quoted else cell)
+        want.append(tuple(c or None for c in row))
+        out.append(",".join(text))
+        out += [""] * (rng.random() < 0.1)
+    return "a,b,c\n" + "\n".join(out) + "\n", want
+
+
+@pytest.mark.parametrize("split, blank", [("40b", True), ("150b", True), ("1m", True), ("60b", False)])
+def test_quoted_breaks_are_read_in_splits(spark, tmp_path, request, split, blank):
+    """Files cut into splits of a few lines: the same rows, in the same order, as from whole files."""
+    rng = random.Random(split)
+    (tmp_path / "t").mkdir()
+    want = []
+    for n in range(3):
+        text, rows = awkward_text(rng, 60)
+        if not blank:
+            text, rows = "a,b,c\n" + "".join(f'{i},"{i}\n{i}",z\n' if i == 30 else f"{i},p,\n" for i in range(60)), [
+                (str(i), f"{i}\n{i}" if i == 30 else "p", "z" if i == 30 else None) for i in range(60)
+            ]
+        (tmp_path / "t" / f"f{n}.csv").write_text(text, newline="")
+        want += rows
+    for name, value in {"spark.sql.files.maxPartitionBytes": split, "spark.sql.files.openCostInBytes": "1b", "spark.sql.files.minPartitionNum": "1"}.items():
+        spark.conf.set(name, value)
+        request.addfinalizer(lambda name=name: spark.conf.unset(name))
+    df = read_delimited(spark, str(tmp_path / "t"), TextSpec(delimiter=","))
+    got = df.orderBy("row_id").collect()
+    assert [(r["a"], r["b"], r["c"]) for r in got] == want
+    assert [r["row_id"] for r in got] == list(range(len(want)))
+    whole = spark.read.options(header=True, multiLine=True, escape='"').csv(str(tmp_path / "t")).collect()
+    assert sorted(map(str, map(tuple, whole))) == sorted(map(str, want))
+
+
+def test_rows_of_plain_text_are_not_moved(spark, tmp_path, request):
+    (tmp_path / "t").mkdir()
+    for n in range(4):
+        (tmp_path / "t" / f"f{n}.csv").write_text("a,b\n" + f"{n},x\n" * 50)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.autoBroadcastJoinThreshold"))
+    for df in (read_delimited(spark, str(tmp_path / "t")), parquet_with_row_id(spark, "/root/testdata/sf0.001/orders.parquet")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan and "Python" not in plan
+    rows = read_delimited(spark, str(tmp_path / "t")).orderBy("row_id").collect()
+    assert [(r["row_id"], r["a"]) for r in rows] == [(i, str(i // 50)) for i in range(200)]
+
+
 def test_load_base_passes_the_delimiter(spark, tmp_path):
     path = tmp_path / "d.csv"
     path.write_text("a;b,c\n1;2,3\n4;5,6\n")
