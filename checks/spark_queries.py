@@ -255,7 +255,7 @@ def _delimited(s: SparkSession, d: str, sql: str, name: str) -> DataFrame:
     df = ledger(s, d, sql)
     path = f"{shared_folder(s).rstrip('/')}/ledgerlink-{s.sparkContext.applicationId}/{name}"
     laid = df.repartitionByRange(4, "row_id").sortWithinPartitions("row_id").drop("row_id")
-    laid.write.mode("overwrite").options(header=True, escape='"').csv(path)
+    laid.write.mode("overwrite").options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     return read_delimited(s, path)
 
 

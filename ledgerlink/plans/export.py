@@ -48,7 +48,9 @@ def export(
     if compression:
         writer = writer.option("compression", compression)
     if fmt == "csv":
-        writer = writer.option("header", True).option("emptyValue", "").option("nullValue", "")
+        # Quotes are doubled and white space stays, so that the file reads back as it was.
+        writer = writer.options(header=True, emptyValue="", nullValue="", escape='"')
+        writer = writer.options(ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     writer.format(fmt).save(path)
 
 
