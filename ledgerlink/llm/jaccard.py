@@ -7,12 +7,14 @@ common, for any k; k grows with n here, and classes with fewer prefix tokens tha
 are out. All links lie within groups of classes that share a prefix token. A group is searched with
 an R-tree of count vectors (see ``rtree``); surviving pairs are verified on the sets.
 
-Large groups of copies would have every pair linked, and components need no more than a spanning set
-of links. So in a few rounds each class is paired with one class of another component, drawn from its
-groups, and the verified links give larger components. Afterwards only tokens whose classes still lie
-in different components form groups, and only such pairs are looked at. No link between components
-is missed: two linked classes share a prefix token, and its group compares them unless they are
-already connected. Groups of more than BLOCK classes are compared block by block.
+In a large group of near copies every pair would survive, but components need no more than a spanning
+set of links. So where a group has far more surviving pairs than classes, only some spanning forests of
+them are verified, those of the highest bounds first. The group is searched again, with more forests
+and in the end all pairs, as long as its classes lie in different components; only pairs between
+components are looked at then. Groups of more than BLOCK classes are first searched in blocks drawn
+anew for each round; what then still lies in different components is compared block by block with
+each other block. No link between components is missed: two linked classes share a prefix token, and the
+last round of its group compares them unless they are already connected.
 
 Passes over the text emit one row per document, tokens added up in each task, and the sets of those
 classes that share a prefix token with another one.
@@ -44,8 +46,9 @@ OFTEN = 8
 BLOCK = 2048
 #: Groups that a class names to tell where a pair was seen.
 HEAD = 8
-#: Rounds in which classes are linked to one class of their groups each.
-STAR_ROUNDS = 2
+#: Spanning forests that a group with many surviving pairs yields in each round; all pairs in the last.
+#: In the first round, a class is only in its largest group.
+FORESTS = (1, 1, 8, 64, None)
 
 
 class Sets:
@@ -252,19 +255,6 @@ def points(docs: DataFrame, frequent, known: Filter) -> DataFrame:
     return docs.select("text").mapInArrow(run, POINT)
 
 
-def bounded(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Those pairs (a, b) whose fine count vectors leave the similarity open."""
-
-    @F.arrow_udf("boolean")
-    def open_pair(m: pa.Array, n: pa.Array, x: pa.Array, y: pa.Array) -> pa.Array:
-        rows = zip(m.to_pylist(), n.to_pylist(), x.to_pylist(), y.to_pylist())
-        return pa.array([bool(enough(common_bound(counts_of(a, k), counts_of(b, l)), k, l)) for k, l, a, b in rows], pa.bool_())
-
-    left = vectors.select(F.col("key").alias("a"), F.col("n").alias("m"), F.col("counts").alias("x"))
-    right = vectors.select(F.col("key").alias("b"), "n", F.col("counts").alias("y"))
-    return pairs.join(left, "a").join(right, "b").where(open_pair("m", "n", "x", "y")).select("a", "b")
-
-
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those pairs (a, b) of keys whose sets are similar enough; ``pairs`` is a written table.
 
@@ -304,13 +294,43 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.select("a", "kind", "key", "shingles").mapInArrow(run, "a long, b long")
 
 
-def searched(rows: DataFrame) -> DataFrame:
-    """Pairs of classes that an R-tree search leaves: (a, b), a < b.
-
-    ``rows`` has (token, one, other, block, key, root, n, counts, tokens); the classes with the same
-    token, one and other are a group of one block (one = other) or a pair of blocks. ``tokens`` are
-    the first groups of the class; a pair that shares an earlier one of them comes from there. A pair
-    may come from several groups.
+def forests(a: np.ndarray, b: np.ndarray, n: int, most: int) -> np.ndarray:
+    """Places of the links (a, b) between ``n`` nodes that make up ``most`` spanning forests, each of the
+    first links that the forests before have left."""
+    chosen: list[int] = []
+    left = list(zip(range(len(a)), a.tolist(), b.tolist()))
+    for _ in range(most):
+        above, rest, joined = list(range(n)), [], 0
+        for at, link in enumerate(left):
+            x, y = link[1:]
+            while above[x] != x:
+                above[x] = x = above[above[x]]
+            while above[y] != y:
+                above[y] = y = above[above[y]]
+            if x == y:
+                rest.append(link)
+                continue
+            above[x] = y
+            chosen.append(link[0])
+            joined += 1
+            if joined == n - 1:
+                rest += left[at + 1 :]
+                break
+        left = rest
+        if not joined:
+            break
+    return np.array(sorted(chosen), np.int64)
+
+
+def searched(rows: DataFrame, most: int | None, whole_groups: bool = True) -> DataFrame:
+    """Pairs of classes that an R-tree search leaves (a, b, a < b), and the tokens (cut) whose group has
+    more.
+
+    ``rows`` has (token, one, other, whole, block, key, root, n, counts, tokens); the classes with the
+    same token, one and other are a group of one block (one = other) or a pair of blocks. ``tokens`` are
+    the first groups of the class; with ``whole_groups``, a pair that shares an earlier one of them comes
+    from there. A pair may come from several groups. With ``most``, a group that leaves more than that many pairs per class
+    gives as many spanning forests of its components; it is cut, as is one that is not whole here.
     """
 
     def run(batches):
@@ -329,20 +349,27 @@ def searched(rows: DataFrame) -> DataFrame:
             yield result(out)
 
     def result(out):
-        a, b = (np.concatenate([p[i] for p in out]) for i in (0, 1))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        a, b, cut = (np.concatenate([p[i] for p in out]) for i in (0, 1, 2))
+        is_pair = a != b
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.minimum(a, b), mask=~is_pair), pa.array(np.maximum(a, b), mask=~is_pair), pa.array(cut, mask=is_pair)], names=["a", "b", "cut"]
+        )
 
     def of_group(held, group):
         if len(held) < 2:
             return []
-        block, key, root, n, counts, tokens = zip(*held)
+        whole, block, key, root, n, counts, tokens = zip(*held)
         block, key, root, n = (np.array(x, np.int64) for x in (block, key, root, n))
+        out = []
+        none = np.zeros(1, np.int64)
+        if most is not None and not whole[0]:
+            out.append((none, none, none + group[0]))
         fine = [counts_of(c, m) for c, m in zip(counts, n.tolist())]
         vectors = np.stack([fold(f, GROUPS) for f in fine]).astype(np.int32)
         left = np.flatnonzero(block == group[1])
         right = left if group[1] == group[2] else np.flatnonzero(block == group[2])
         if not len(left) or not len(right):
-            return []
+            return out
         q, p = Tree(vectors[right], n[right]).search(vectors[left], n[left])
         q, p = left[q], right[p]
         apart = (root[q] != root[p]) & ((q < p) if group[1] == group[2] else True)
@@ -350,12 +377,24 @@ def searched(rows: DataFrame) -> DataFrame:
         bound = np.array([common_bound(fine[i], fine[j]) for i, j in zip(q.tolist(), p.tolist())], np.int64)
         open_pair = enough(bound, n[q], n[p])
         sets = {i: frozenset(tokens[i]) for i in {*q[open_pair].tolist(), *p[open_pair].tolist()}}
-        for k in np.flatnonzero(open_pair).tolist():
+        for k in np.flatnonzero(open_pair).tolist() if whole_groups else ():
             open_pair[k] = min(sets[q[k]] & sets[p[k]], default=group[0]) >= group[0]
-        return [(key[q[open_pair]], key[p[open_pair]])] if open_pair.any() else []
-
-    ordered = rows.repartition(tasks(rows.sparkSession), "token", "one", "other").sortWithinPartitions("token", "one", "other")
-    return ordered.select("token", "one", "other", "block", "key", "root", "n", "counts", "tokens").mapInArrow(run, "a long, b long").distinct()
+        q, p, bound = q[open_pair], p[open_pair], bound[open_pair]
+        if most is not None and len(q) > most * len(held):
+            likeness = bound / (n[q] + n[p] - bound)
+            by = np.lexsort((key[p], key[q], -likeness))
+            q, p = q[by], p[by]
+            nodes, of = np.unique(root, return_inverse=True)
+            chosen = forests(of[q], of[p], len(nodes), most)
+            q, p = q[chosen], p[chosen]
+            out.append((none, none, none + group[0]))
+        if len(q):
+            out.append((key[q], key[p], np.zeros(len(q), np.int64)))
+        return out
+
+    ordered = rows.repartition(tasks(rows.sparkSession), "token", "one", "other").sortWithinPartitions("token", "one", "other", "key")
+    wide = ordered.select("token", "one", "other", "whole", "block", "key", "root", "n", "counts", "tokens")
+    return wide.mapInArrow(run, "a long, b long, cut long").distinct()
 
 
 def links(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -370,48 +409,48 @@ def links(docs: DataFrame, found: DataFrame) -> DataFrame:
     # A class is in it once for each task that has a document of it.
     sets = written(points(docs, frequent, known))
     vectors = written(sets.select("key", "n", "counts", "tokens").dropDuplicates(["key"]))
-    # A class can only be similar to those of its own size band or the next one; a group is the classes
-    # of one token.
-    member = vectors.select("key", F.floor(F.log("n") / float(np.log(1.25))).cast("int").alias("band"), F.explode("tokens").alias("token"))
-    member = written(member.join(shared, "token", "left_semi"))
-    # Tokens with the same classes are one group, of weight w.
+    # A group is the classes of one token; tokens with the same classes are one group.
+    member = written(vectors.select("key", F.explode("tokens").alias("token")).join(shared, "token", "left_semi"))
     twins = member.groupBy("token").agg(
         F.count("*").alias("m"), F.bit_xor(F.xxhash64(F.lit("x"), "key")).alias("x"), F.bit_xor(F.xxhash64(F.lit("y"), "key")).alias("y")
     )
-    chosen = twins.where("m > 1").groupBy("m", "x", "y").agg(F.min("token").alias("token"), F.count("*").alias("w")).select("token", "w")
+    chosen = written(twins.where("m > 1").groupBy("m", "x", "y").agg(F.min("token").alias("token")).select("token", "m"))
     member = written(member.join(chosen, "token"))
-    found_links, roots = None, None
-    for nth in range(STAR_ROUNDS):
-        placed = with_roots(member, roots)
-        centre = F.xxhash64(F.lit(nth), F.col("key"))
-        groups = placed.groupBy("token", "band").agg(
-            F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("key", centre).alias("centre"), F.min_by("root", centre).alias("its_root")
-        )
-        near = placed.join(groups.where("low <> high"), ["token", "band"]).where("root <> its_root")
-        best = near.groupBy("key", "centre").agg(F.sum("w").alias("m")).groupBy("key").agg(F.max_by("centre", F.struct("m", "centre")).alias("centre"))
-        pairs = written(bounded(best.select(F.col("centre").alias("a"), F.col("key").alias("b")), vectors))
-        more = verified(pairs, sets)
-        found_links = written(more.distinct() if found_links is None else found_links.unionByName(more.distinct()))
-        roots = written(components(found_links))
-    placed = written(with_roots(member, roots))
-    groups = placed.groupBy("token").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high"))
-    groups = groups.where("low <> high").select(F.col("token").alias("chosen"), F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    rows = written(placed.join(groups, placed["token"] == groups["chosen"]).select("token", "key", "root", "blocks"))
+    home = member.groupBy("key").agg(F.max_by("token", F.struct("m", "token")).alias("token"))
     # The first of its groups tell most pairs of classes in which of their groups they were seen.
-    own = rows.groupBy(F.col("key").alias("of")).agg(F.slice(F.sort_array(F.collect_list("token")), 1, HEAD).alias("tokens"))
+    own = member.groupBy(F.col("key").alias("of")).agg(F.slice(F.sort_array(F.collect_list("token")), 1, HEAD).alias("tokens"))
     own = own.join(vectors.select("key", "n", "counts"), F.col("of") == vectors["key"]).select("of", "tokens", "n", "counts")
-    rows = rows.join(own, rows["key"] == own["of"]).drop("of")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
-    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumns({"one": F.least("block", "with"), "other": F.greatest("block", "with")})
-    return found_links.unionByName(verified(written(searched(rows)), sets))
+    own = written(own)
+    found_links, roots, todo = None, None, None
+    for nth, most in enumerate(FORESTS):
+        placed = home if nth == 0 else member
+        if todo is not None:
+            placed = placed.join(todo, F.col("token") == F.col("cut"), "left_semi")
+        placed = with_roots(placed, roots)
+        groups = placed.groupBy("token").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high"))
+        groups = groups.where("low <> high").select(F.col("token").alias("chosen"), F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+        rows = placed.join(groups, placed["token"] == groups["chosen"]).select("token", "key", "root", "blocks")
+        rows = rows.join(own, rows["key"] == own["of"]).drop("of")
+        rows = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(nth), F.col("key")), "blocks").cast("int"))
+        mine = F.array(F.col("block")) if most is not None else F.sequence(F.lit(0), F.col("blocks") - 1)
+        rows = rows.withColumn("with", F.explode(mine)).withColumn("whole", F.col("blocks") == 1)
+        rows = rows.withColumns({"one": F.least("block", "with"), "other": F.greatest("block", "with")})
+        left = written(searched(rows, most, nth > 0))
+        more = verified(written(left.where("cut is null").select("a", "b")), sets).distinct()
+        found_links = written(more if found_links is None else found_links.unionByName(more))
+        if nth > 0:
+            todo = left.where("cut is not null").select("cut").distinct()
+            if not todo.take(1):
+                break
+        roots = written(components(found_links))
+    return found_links
 
 
 def with_roots(member: DataFrame, roots: DataFrame | None) -> DataFrame:
     """``member`` with the component that each class has so far."""
     if roots is None:
         return member.withColumn("root", F.col("key"))
-    return member.join(roots, F.col("key") == F.col("node"), "left").select("token", "w", "key", "band", F.coalesce("root", "key").alias("root"))
+    return member.join(roots, F.col("key") == F.col("node"), "left").select("token", "key", F.coalesce("root", "key").alias("root"))
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -262,7 +262,7 @@ def test_blocks_of_a_large_group(spark, save, monkeypatch):
     rows = near_copies()
     whole = jaccard.op5_jaccard(spark, save(documents=rows)).collect()
     monkeypatch.setattr(jaccard, "BLOCK", 7)
-    monkeypatch.setattr(jaccard, "STAR_ROUNDS", 1)
+    monkeypatch.setattr(jaccard, "FORESTS", (1, 1, None))
     assert sorted(jaccard.op5_jaccard(spark, save(documents=rows)).collect()) == sorted(whole)
 
 
