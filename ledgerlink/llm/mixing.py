@@ -8,6 +8,9 @@ integral up to t. Documents of a source follow one another in an order drawn fro
 and again; a document that starts at token x of that stream gets the time at which the delivered
 tokens reach x, its training position.
 
+What a document gives is read off its positions: those of its copies that come before the end of
+training, and of the last one the words that do. The result is sorted by position in ranges.
+
 Only one row per source reaches the driver. The place of a document in its source's stream comes
 from sums over CELLS cells of the drawn order and a running sum within the cell, so a source with
 any share of the rows is spread over that many groups.
@@ -88,18 +91,20 @@ def time_at(done: Column, schedule: Schedule) -> Column:
 def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, dict]:
     """``docs`` with what the mix needs, and the names of those columns."""
     own = dict(zip(("size", "order", "cell", "source"), fresh(docs, "size", "order", "cell", "mix_source")))
-    out = docs.withColumns(
-        {own["size"]: n_words(col(docs, text)), own["order"]: drawn(col(docs, doc_id)), own["source"]: col(docs, source)}
-    )
+    # Sources as text that is never NULL, so that windows and joins by it share one layout.
+    named = F.coalesce(F.concat(F.lit("="), col(docs, source)), F.lit(""))
+    out = docs.withColumns({own["size"]: n_words(col(docs, text)), own["order"]: drawn(col(docs, doc_id)), own["source"]: named})
     return out.withColumn(own["cell"], F.substring(own["order"], 1, 3)), own | {"doc_id": doc_id, "text": text}
 
 
 def mix(docs: DataFrame, own: dict, make: Callable[[int], list[Schedule]] = schedules, cap: float = CAP) -> tuple[DataFrame, dict]:
-    """``docs`` (as ``measured`` gives it) with source_size, target, begin, taken and schedule number.
+    """``docs`` (as ``measured`` gives it) with source_size, target, begin, taken, positions and position.
 
-    ``begin`` counts the source's words before the document in one round of its stream. ``taken``
-    counts the words of all rounds up to the target, so the sum over a source is its target in
-    whole words and no document gives more than ``cap`` (rounded up) times its size. The names of the
+    ``begin`` counts the source's words before the document in one round of its stream; ``positions`` are
+    the times at which the copies of the document begin, one for each round that begins in training,
+    and ``position`` is that of the first (1 if training ends before). ``taken`` counts the words of those
+    copies up to the target, so the sum over a source is its target in whole words and no document gives
+    more than ``cap`` (rounded up) times its size. The names of the
     new columns avoid those of ``docs`` and come with the result. Sources are
     taken in the order of their names, NULL last; a source without words has target 0. An empty
     table gives no rows. Rows of the same doc_id are ordered by size and text; equal rows are alike.
@@ -110,7 +115,7 @@ def mix(docs: DataFrame, own: dict, make: Callable[[int], list[Schedule]] = sche
     got = cells.groupBy(source).agg(F.sum("n").alias("n")).limit(MOST_SOURCES + 1).collect()
     if len(got) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
-    got = sorted(got, key=lambda r: (r[0] is None, r[0] or ""))
+    got = sorted(got, key=lambda r: (r[0] == "", r[0]))
     made = make(len(got))
     wanted = targets([r["n"] for r in got], [integral(s) for s in made], cap)
     kinds = list(dict.fromkeys(made))
@@ -123,30 +128,60 @@ def mix(docs: DataFrame, own: dict, make: Callable[[int], list[Schedule]] = sche
     starts = cells.select(
         F.col(source).alias(f"{names['s']}_"), F.col(cell).alias(names["c"]), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias(names["before"])
     )
-    starts = starts.join(plan, starts[f"{names['s']}_"].eqNullSafe(plan[names["s"]])).drop(names["s"])
+    starts = starts.join(plan, starts[f"{names['s']}_"] == plan[names["s"]]).drop(names["s"])
     ties = [c for c in (own["doc_id"], size, own["text"]) if c in docs.columns]
     within = Window.partitionBy(source, cell).orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1)
-    (running, begin, taken) = fresh(docs, "running", "begin", "taken")
+    (running, begin, taken, positions, position) = fresh(docs, "running", "begin", "taken", "positions", "position")
     out = docs.withColumn(running, F.coalesce(F.sum(size).over(within), F.lit(0)))
-    out = out.join(starts, out[source].eqNullSafe(starts[f"{names['s']}_"]) & (out[cell] == starts[names["c"]]))
+    out = out.join(starts, (out[source] == starts[f"{names['s']}_"]) & (out[cell] == starts[names["c"]]))
     out = out.withColumn(begin, F.col(running) + F.col(names["before"]))
+
+    def begins_at(nth: Column) -> Column:
+        """Time of the first word of the document in a round of its source's stream."""
+        done = F.least(F.coalesce((nth * F.col(names["source_size"]) + F.col(begin)) / F.col(names["target"]), F.lit(0.0)), F.lit(1.0))
+        at = F.lit(None).cast("double")
+        for i, kind in enumerate(kinds):
+            at = F.when(F.col(names["schedule"]) == i, time_at(done, kind)).otherwise(at)
+        return at
+
     whole = F.round(names["target"]).cast("long")
-    rounds = F.when(F.col(names["source_size"]) > 0, F.floor(whole / F.greatest(names["source_size"], F.lit(1)))).otherwise(0)
-    rest = whole - rounds * F.col(names["source_size"])
-    out = out.withColumn(taken, (rounds * F.col(size) + F.greatest(F.lit(0), F.least(F.col(size), rest - F.col(begin)))).cast("long"))
-    return out, {**names, "begin": begin, "taken": taken, "kinds": kinds}
+    last = F.when(F.col(names["source_size"]) > 0, F.floor(whole / F.greatest(names["source_size"], F.lit(1)))).otherwise(0)
+    # A handful of rounds, as the cap allows.
+    times = F.transform(F.sequence(F.lit(0).cast("long"), last.cast("long")), begins_at)
+    out = out.withColumn(positions, F.filter(times, lambda t: t < 1.0)).withColumn(position, begins_at(F.lit(0)))
+    place = F.col(begin) + (F.size(positions) - 1) * F.col(names["source_size"])  # where the last copy begins
+    some = F.greatest(F.lit(0), F.least(F.col(size), whole - place))
+    given = F.when(F.size(positions) == 0, 0).otherwise((F.size(positions) - 1) * F.col(size) + some)
+    out = out.withColumn(taken, given.cast("long"))
+    return out, {**names, "begin": begin, "taken": taken, "positions": positions, "position": position, "kinds": kinds}
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that the mix takes of every document."""
+    """Words that the mix takes of every document, and its training position; sorted by position.
+
+    Rows of the same id are ordered by size. A NULL id counts as the empty text in the drawn order.
+    """
     docs, own = measured(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     narrow = written(docs.drop("text"))
-    mixed, _ = mix(narrow, own)
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    mixed, n = mix(narrow, own)
+    mixed = mixed.repartitionByRange(F.col(n["position"]), F.col(own["order"])).sortWithinPartitions(n["position"], own["order"])
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.col(n["position"]).alias("position"))
+
+
+def time_sql(done: str, schedule: Schedule) -> str:
+    """The time by which a share of a schedule's integral is reached, piece by piece, in SQL."""
+    out, before = [], 0.0
+    for (t0, w0), (t1, w1) in zip(schedule, schedule[1:]):
+        slope, area = (w1 - w0) / (t1 - t0), (t1 - t0) * (w0 + w1) / 2
+        y = f"greatest({done} * {integral(schedule)}::double - {before}::double, 0::double)"
+        root = f"sqrt(greatest({w0 * w0}::double + 2 * {slope}::double * {y}, 0::double))"
+        out.append(f"when {done} * {integral(schedule)}::double < {before + area}::double then {t0}::double + 2 * {y} / ({w0}::double + {root})")
+        before += area
+    return f"case {' '.join(out)} else 1::double end"
 
 
 #: The same in SQL. Sources in the order of cap by weight are capped up to the first that stays below.
-OP7_SQL = r"""
+OP7_SQL = rf"""
 with sized as (
     select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
            md5('mix-' || coalesce(doc_id::varchar, '')) as place
@@ -166,18 +201,19 @@ with sized as (
 ), first_free as (
     select min(rank) as rank from levelled where (3 * n)::double > level * weight
 ), planned as (
-    select l.source, l.n, case when f.rank is null or l.rank < f.rank then (3 * l.n)::double
+    select l.source, l.n, l.weight, case when f.rank is null or l.rank < f.rank then (3 * l.n)::double
                                else (select level from levelled where rank = f.rank) * l.weight end as target
     from levelled l cross join first_free f
 ), placed as (
-    select s.doc_id, s.size, p.n as source_size, p.target, round(p.target)::bigint as whole,
+    select s.doc_id, s.size, p.weight, p.n as source_size, p.target, round(p.target)::bigint as whole,
            coalesce(sum(s.size) over (partition by s.source order by place, doc_id rows between unbounded preceding and 1 preceding), 0) as begin
     from sized s join planned p on s.source is not distinct from p.source
 )
 select doc_id, size, source_size, target,
        case when source_size = 0 then 0
-            else (whole // source_size) * size + greatest(0, least(size, whole % source_size - begin)) end::bigint as taken
-from placed
+            else (whole // source_size) * size + greatest(0, least(size, whole % source_size - begin)) end::bigint as taken,
+       case weight {" ".join(f"when {i + 1} then {time_sql('done', s)}" for i, s in enumerate(schedules(3)))} end as position
+from (select *, least(coalesce(begin::double / nullif(target, 0), 0::double), 1::double) as done from placed)
 """
 
 
@@ -190,16 +226,11 @@ def training_order(docs: DataFrame, make: Callable[[int], list[Schedule]] = sche
     """
     ready, own = measured(docs)
     mixed, n = mix(ready, own, make, cap)
-    kinds = n["kinds"]
-    size, begin, total = F.col(own["size"]), F.col(n["begin"]), F.col(n["source_size"])
-    rounds = F.when(size > 0, F.floor((F.col(n["taken"]) + size / 2) / F.greatest(size, F.lit(1)))).otherwise(1).cast("int")
-    (nth, position) = fresh(mixed, "nth", "position")
-    copies = mixed.where(rounds > 0).withColumn(nth, F.explode(F.sequence(F.lit(0), rounds - 1)))
-    done = F.least(F.coalesce((F.col(nth) * total + begin) / F.col(n["target"]), F.lit(0.0)), F.lit(1.0))
-    at = F.lit(None).cast("double")
-    for i, kind in enumerate(kinds):
-        at = F.when(F.col(n["schedule"]) == i, time_at(done, kind)).otherwise(at)
-    placed = copies.select(*[col(copies, c) for c in docs.columns], at.alias(position), F.col(own["order"]))
-    return placed.repartitionByRange(F.col(position), F.col(own["order"])).sortWithinPartitions(position, own["order"]).select(
-        *[col(placed, c) for c in docs.columns]
-    )
+    size = F.col(own["size"])
+    # Copies of which training takes at least half; they are the first ones.
+    many = F.when(size > 0, F.floor((F.col(n["taken"]) + size / 2) / F.greatest(size, F.lit(1)))).otherwise(1).cast("int")
+    times = F.slice(F.when(F.size(n["positions"]) > 0, F.col(n["positions"])).otherwise(F.array(F.col(n["position"]))), 1, many)
+    (at,) = fresh(mixed, "at")
+    copies = mixed.where(many > 0).select(*[col(mixed, c) for c in docs.columns], F.explode(times).alias(at), F.col(own["order"]))
+    placed = copies.repartitionByRange(F.col(at), F.col(own["order"])).sortWithinPartitions(at, own["order"])
+    return placed.select(*[col(placed, c) for c in docs.columns])
