@@ -217,6 +217,15 @@ def result_deep_page(s: SparkSession, d: str) -> DataFrame:
     return results.page(_pair_rows(s, d), 40, 50).select(*OUTCOME)
 
 
+def result_page_by_text(s: SparkSession, d: str) -> DataFrame:
+    """A page in the order of a text column with many equal values, then of row ids."""
+    return results.page(_pair_rows(s, d), 25, 40, ("grupo", "row_id", "origem")).select(*OUTCOME)
+
+
+def attrib_page(s: SparkSession, d: str) -> DataFrame:
+    return results.page(_attribute(s, d, OVERWRITE), 9, 60, ("dest_row_id",))
+
+
 def result_search(s: SparkSession, d: str) -> DataFrame:
     found = results.filter_result(_pair_rows(s, d), FOUND, "7_1", "chave_valor")
     return found.select(*OUTCOME)
@@ -243,17 +252,21 @@ def parquet_row_ids(s: SparkSession, d: str) -> DataFrame:
 def delimited_ledger(s: SparkSession, d: str) -> DataFrame:
     """Side A written as delimited files with headers and read back."""
     df = ledger(s, d, LEDGER_A).select("doc", "cust", "dia", "valor")
-    path = f"{shared_folder(s).rstrip('/')}/ledgerlink-{s.sparkContext.applicationId}/ledger-a-csv"
+    path = _folder(s, "ledger-a-csv")
     export.export(df, path, "csv", money=())
     read = read_delimited(s, path, row_id=None)
     # Blank fields come back as NULL; the ledger has no NULL of its own.
     return read.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in read.columns])
 
 
+def _folder(s: SparkSession, name: str) -> str:
+    return f"{shared_folder(s).rstrip('/')}/ledgerlink-{s.sparkContext.applicationId}/{name}"
+
+
 def _delimited(s: SparkSession, d: str, sql: str, name: str) -> DataFrame:
     """A ledger written as several delimited files in row order, and read back with row ids."""
     df = ledger(s, d, sql)
-    path = f"{shared_folder(s).rstrip('/')}/ledgerlink-{s.sparkContext.applicationId}/{name}"
+    path = _folder(s, name)
     laid = df.repartitionByRange(4, "row_id").sortWithinPartitions("row_id").drop("row_id")
     laid.write.mode("overwrite").options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     return read_delimited(s, path)
@@ -290,8 +303,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "reversal_hot_cell": reversal_hot_cell,
         "flow_groups": lambda s, d: _flow_groups(s, d).result,
         "flow_rows": lambda s, d: _flow_rows(s, d).result.select(*OUTCOME),
-        "flow_counters": lambda s, d: _flow_rows(s, d).counters,
-        "flow_distribution": lambda s, d: _flow_groups(s, d).distribution,
+        "flow_counters": lambda s, d: _flow_rows(s, d).save(_folder(s, "flow-rows")).counters,
+        "flow_distribution": lambda s, d: _flow_groups(s, d).save(_folder(s, "flow-groups")).distribution,
         "attrib_overwrite": lambda s, d: _attribute(s, d, OVERWRITE),
         "attrib_only_empty": lambda s, d: _attribute(s, d, ONLY_EMPTY),
         "attrib_counts": attrib_counts,
@@ -305,6 +318,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "cents_index": cents,
         "result_page": result_page,
         "result_deep_page": result_deep_page,
+        "result_page_by_text": result_page_by_text,
+        "attrib_page": attrib_page,
         "result_page_info": lambda s, d: results.page_info(_pair_rows(s, d)),
         "result_search": result_search,
         "result_diff": result_diff,

@@ -6,17 +6,17 @@ import re
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegralType
 
 from ..model import ROW_ID
+from ..scratch import materialize
 
 NULL_STATUS = "__NULL__"
 
-# Not read any more: pages of all depths are located in the same way.
-SHALLOW_ROWS = 0
-PAGE_CELL_BITS = 20
+# Rows that are sorted to find a page, and ranges in which more of them are counted at a time.
+LEAF_ROWS = 100_000
+RANGES = 64
 
 
 def counts_by(result: DataFrame, column: str) -> DataFrame:
@@ -74,37 +74,70 @@ def page(
     size: int = 50,
     order: Sequence[str] = (ROW_ID, "origem"),
 ) -> DataFrame:
-    """The ``number``-th page (from 1) in the given order, NULLs first.
+    """The ``number``-th page (from 1) in the order of any columns, NULLs first.
 
-    Where the first order column is a whole number, a page is found without sorting what lies before
-    it: counts per cell of neighbouring ids, NULLs in a cell of their own, tell which cells hold the
-    page, and only their rows are ranked. Any other column is sorted up to the end of the page.
+    The result is written once. While more than LEAF_ROWS rows may hold the page, they are counted in
+    ranges between sampled values of the order columns, and only the ranges of the page are looked
+    at further; so no rows but the last few are sorted, however deep the page lies. The sample only
+    places the bounds, the counts are exact. Rows that are equal in the order columns follow a hash of
+    the whole row, so pages of one result never overlap unless rows are equal in every column.
     """
     if number < 1 or size < 1:
         raise ValueError("page number and size start at 1")
-    skip = (number - 1) * size
-    first = F.col(order[0])
-    if not isinstance(result.select(first).schema[0].dataType, IntegralType):
-        return result.orderBy(*order).offset(skip).limit(size)
-    cell = F.coalesce(F.shiftright(first.cast("long"), PAGE_CELL_BITS), F.lit(0))
-    celled = result.withColumn("_valued", first.isNotNull()).withColumn("_cell", cell)
-    at = ["_valued", "_cell"]
-    earlier = Window.orderBy(*at).rowsBetween(Window.unboundedPreceding, -1)
-    # The running sum sees one row per 2**20 ids. At most ``size`` cells, none empty, hold the page.
-    cells = (
-        celled.groupBy(*at)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-        .filter((F.col("_before") < skip + size) & (F.col("_before") + F.col("_n") > skip))
-        .drop("_n")
-    )
-    place = F.col("_before") + F.row_number().over(Window.partitionBy(*at).orderBy(*order))
-    return (
-        celled.join(cells, at)
-        .withColumn("_place", place)
-        .filter((F.col("_place") > skip) & (F.col("_place") <= skip + size))
-        .orderBy("_place")
-        .select(*result.columns)
+    (tie,) = _unused(result, "_tie")
+    rows = materialize(result.withColumn(tie, F.xxhash64(*[F.col(f"`{c}`") for c in result.columns])), "result-page")
+    by = [*order, tie]
+    key = F.struct(*[F.col(f"`{c}`") for c in by])
+    skip, n = (number - 1) * size, rows.count()
+    inside = F.lit(True)
+    while n > max(LEAF_ROWS, size) and skip < n:
+        part = rows.filter(inside)
+        bounds = _bounds(part, key, n)
+        counts = {r["range"]: r["n"] for r in part.groupBy(_range_of(key, bounds).alias("range")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        first, before = 0, 0
+        while before + counts.get(first, 0) <= skip:
+            before += counts.get(first, 0)
+            first += 1
+        last, held = first, counts[first]
+        while before + held < min(skip + size, n):
+            last += 1
+            held += counts.get(last, 0)
+        if held == n:  # equal rows, or a page as long as they
+            break
+        if first:
+            inside = inside & (key >= bounds[first - 1])
+        if last < len(bounds):
+            inside = inside & (key < bounds[last])
+        skip, n = skip - before, held
+    return rows.filter(inside).orderBy(*[F.col(f"`{c}`") for c in by]).offset(skip).limit(size).select(*[F.col(f"`{c}`") for c in result.columns])
+
+
+def _unused(df: DataFrame, *names: str) -> list[str]:
+    taken = {c.lower() for c in df.columns}
+    return [next(n for n in (f"{name}{'_' * k}" for k in range(len(taken) + 1)) if n not in taken) for name in names]
+
+
+def _bounds(part: DataFrame, key: Column, n: int) -> list[Column]:
+    """At most RANGES - 1 rising values of the order columns, from a sample of a bounded size."""
+    kind = part.select(key.alias("k")).schema[0].dataType
+    drawn = F.pmod(F.xxhash64(F.lit(n), key), F.lit(max(1, n // (RANGES * 32)))) == 0
+    seen = part.filter(drawn).select(key.alias("k")).limit(RANGES * 256).distinct().orderBy("k").collect()
+    chosen = [seen[i * len(seen) // RANGES]["k"] for i in range(1, RANGES)] if seen else []
+    values = list(dict.fromkeys(chosen))
+
+    def literal(row) -> Column:
+        return F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, kind.fields)])
+
+    return [literal(v) for v in values]
+
+
+def _range_of(key: Column, bounds: list[Column], offset: int = 0) -> Column:
+    """Number of bounds at or below the key, by halving."""
+    if not bounds:
+        return F.lit(offset)
+    half = len(bounds) // 2
+    return F.when(key < bounds[half], _range_of(key, bounds[:half], offset)).otherwise(
+        _range_of(key, bounds[half + 1 :], offset + half + 1)
     )
 
 

@@ -10,14 +10,20 @@ from pyspark.sql import functions as F
 from ..functions.scalars import money_text
 from ..model import ROW_ID
 from ..operators.results import key_columns
+from ..versions import publish
 
 MONEY_COLUMNS = ("value_a", "value_b", "difference")
 FORMATS = ("csv", "json", "parquet")
 
 
 def save_result(df: DataFrame, path: str) -> None:
-    """Keep a result as Parquet, replacing an earlier one."""
-    df.write.mode("overwrite").parquet(path)
+    """Keep a result as Parquet, replacing an earlier one as a whole or not at all.
+
+    The result is written to a folder of its own below ``path`` and then published by one rename of the
+    file that names it, so a run that dies midway leaves the earlier result in place. That one is kept
+    until the next replacement, for those who are still reading it. Read with ``published``.
+    """
+    publish(df.write.parquet, df.sparkSession, path)
 
 
 def with_money_text(df: DataFrame, money: Sequence[str] = MONEY_COLUMNS) -> DataFrame:

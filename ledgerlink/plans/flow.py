@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..model import (
@@ -12,7 +12,10 @@ from ..model import (
     GROUP_REVERSED,
     GROUP_REVERSED_DOCS,
     ROW_ID,
+    STATUS_DIFFERENT,
     STATUS_NOT_EVALUATED,
+    STATUS_NOT_FOUND,
+    STATUS_RECONCILED,
     CancelConfig,
     GroupConfig,
     ReversalConfig,
@@ -21,23 +24,62 @@ from ..model import (
 from ..operators.cancel import cancel_marks, is_cancelled, is_kept
 from ..operators.groups import reconcile_groups
 from ..operators.multikey import reconcile_rows
+from ..operators.results import counts_by
 from ..operators.reversal import reversal_marks
 from ..scratch import materialize
+from ..versions import publish
 
+_STATUSES = (STATUS_RECONCILED, STATUS_DIFFERENT, STATUS_NOT_FOUND, STATUS_NOT_EVALUATED)
+_COUNTED = {"estorno_pares": GROUP_REVERSED, "estorno_docs": GROUP_REVERSED_DOCS, "canceladas": GROUP_CANCELLED}
 _MARKS = f"{ROW_ID} long, status string, grupo string"
 
 
+@dataclass(frozen=True)
+class SavedRun:
+    """A written result with its counts."""
+
+    result: DataFrame
+    distribution: DataFrame
+    counters: DataFrame
+
+
 @dataclass(frozen=True)
 class Run:
-    """Lazy results of a run. ``counters`` and ``distribution`` are computed when read."""
+    """Lazy results of a run. ``counters`` and ``distribution`` are computed when read; ``save`` gets
+    them while it writes the result."""
 
     result: DataFrame
     marks_a: DataFrame
     marks_b: DataFrame
+    #: Whether the result holds the marked rows, too.
+    keeps_marks: bool = False
 
     @property
     def distribution(self) -> DataFrame:
-        return self.result.groupBy("status").agg(F.count(F.lit(1)).alias("total"))
+        """Rows per status, most frequent first."""
+        return counts_by(self.result, "status")
+
+    def save(self, path: str) -> SavedRun:
+        """Write the result to ``path`` (see ``publish``); counters come from the rows on their way."""
+        spark = self.result.sparkSession
+        seen = Observation()
+        metrics = [F.count(F.lit(1)).alias("linhas"), F.count_if(F.col("status").isNull()).alias("none")]
+        metrics += [F.count_if(F.col("status") == s).alias(f"s{i}") for i, s in enumerate(_STATUSES)]
+        if self.keeps_marks:
+            metrics += [F.count_if(F.col("grupo") == g).alias(c) for c, g in _COUNTED.items()]
+        where = publish(self.result.observe(seen, *metrics).write.parquet, spark, path)
+        got = seen.get
+        if not self.keeps_marks:  # the marks are a table of their own
+            for side, names in ((self.marks_a, ("estorno_pares", "estorno_docs")), (self.marks_b, ("canceladas",))):
+                got |= side.agg(*[F.count_if(F.col("grupo") == _COUNTED[c]).alias(c) for c in names]).first().asDict()
+        totals = [(s, got[f"s{i}"]) for i, s in enumerate(_STATUSES)] + [(None, got["none"])]
+        totals = sorted([t for t in totals if t[1]], key=lambda t: (-t[1], t[0] or ""))
+        names = [*_COUNTED, "linhas"]
+        return SavedRun(
+            spark.read.schema(self.result.schema).parquet(where),
+            spark.createDataFrame(totals, "status string, total long"),
+            spark.createDataFrame([tuple(got[c] for c in names)], ", ".join(f"{c} long" for c in names)),
+        )
 
     @property
     def counters(self) -> DataFrame:
@@ -110,4 +152,4 @@ def run_rows(
             F.when(hit, GROUP_CANCELLED).alias("grupo"),
         )
     result = reconcile_rows(a, b, cfg, marks_a if reversal else None, cancelled, row_id)
-    return Run(result, marks_a, marks_b)
+    return Run(result, marks_a, marks_b, keeps_marks=True)

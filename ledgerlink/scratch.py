@@ -46,6 +46,12 @@ def materialize(df: DataFrame, label: str, partition_by: Sequence[str] = ()) ->
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
+def remember(spark: SparkSession, path: str) -> str:
+    """Let ``release`` delete this folder, too."""
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def release(spark: SparkSession) -> int:
     """Delete the intermediate tables of this application; results not yet read become invalid."""
     paths = _written.pop(spark.sparkContext.applicationId, [])

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import ROW_ID
+from ..versions import published
 from .delimited import TextSpec, read_delimited
 from .rowid import parquet_with_row_id
 from .workbook import SheetSpec, read_workbooks
@@ -30,7 +31,7 @@ def load_base(
     if kind == ".xlsx":
         return read_workbooks(spark, path, SheetSpec(header_row, start_col, sheet), row_id)
     if kind == ".parquet":
-        df = parquet_with_row_id(spark, path, row_id)
+        df = parquet_with_row_id(spark, published(spark, path), row_id)
         return df.select(
             row_id, *[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns if c != row_id]
         )

@@ -8,6 +8,8 @@ from ledgerlink import scratch
 from ledgerlink.model import CancelConfig, GroupConfig, KeyDef, ReversalConfig, RowConfig
 from ledgerlink.operators import results
 from ledgerlink.plans import export
+from ledgerlink.sources.load import load_base
+from ledgerlink.versions import published
 from ledgerlink.plans.flow import run_groups, run_rows
 
 REVERSAL = ReversalConfig("doc", "ref", "valor")
@@ -77,29 +79,25 @@ def test_counts_filters_and_search(ledgers):
     assert results.preview(result, 3).count() == 3
 
 
-def test_pages_shallow_and_deep(spark, monkeypatch):
+@pytest.mark.parametrize("leaf, ranges", [(10**6, 64), (60, 4), (7, 16)])
+def test_pages_shallow_and_deep(spark, monkeypatch, leaf, ranges):
     rows = spark.range(0, 3000, 1, 6).select(
         F.expr("id * 1000 div 2").alias("row_id"), F.when(F.col("id") % 2 == 0, "A").otherwise("B").alias("origem")
     )
-    want = [(r["row_id"], r["origem"]) for r in rows.orderBy("row_id", "origem").collect()]
-    monkeypatch.setattr(results, "PAGE_CELL_BITS", 14)
-    for number, size in [(1, 50), (7, 50), (60, 50), (2, 2500), (99, 50)]:
-        expected = want[(number - 1) * size : number * size]
-        shallow = results.page(rows, number, size)
-        assert [tuple(r) for r in shallow.collect()] == expected
-        with monkeypatch.context() as m:
-            m.setattr(results, "SHALLOW_ROWS", 0)
-            deep = results.page(rows, number, size)
-            assert [tuple(r) for r in deep.collect()] == expected
+    want = sorted((i * 1000 // 2, "AB"[i % 2]) for i in range(3000))
+    monkeypatch.setattr(results, "LEAF_ROWS", leaf)
+    monkeypatch.setattr(results, "RANGES", ranges)
+    for number, size in [(1, 50), (60, 50), (2, 2500), (99, 50)]:
+        assert [tuple(r) for r in results.page(rows, number, size).collect()] == want[(number - 1) * size : number * size]
     assert results.page_info(rows, 50).first().asDict() == {"total": 3000, "total_pages": 60}
     with pytest.raises(ValueError):
         results.page(rows, 0)
 
 
-@pytest.mark.parametrize("kind", ["bigint", "int", "string"])
+@pytest.mark.parametrize("kind", ["bigint", "string", "double"])
 def test_pages_keep_rows_without_an_id(spark, monkeypatch, kind):
-    monkeypatch.setattr(results, "SHALLOW_ROWS", 0)
-    monkeypatch.setattr(results, "PAGE_CELL_BITS", 6)
+    monkeypatch.setattr(results, "LEAF_ROWS", 40)
+    monkeypatch.setattr(results, "RANGES", 8)
     rows = spark.range(0, 1000, 1, 6).select(
         F.when(F.col("id") % 10 > 0, F.col("id") - 500).cast(kind).alias("row_id"), F.col("id").cast("string").alias("origem")
     )
@@ -109,6 +107,38 @@ def test_pages_keep_rows_without_an_id(spark, monkeypatch, kind):
     assert [tuple(r) for p in pages for r in p] == want
 
 
+def test_pages_of_rows_that_are_alike(spark, monkeypatch):
+    """Ties in the order, and rows that are equal altogether: every row is on one page."""
+    monkeypatch.setattr(results, "LEAF_ROWS", 20)
+    monkeypatch.setattr(results, "RANGES", 8)
+    rows = spark.range(0, 300, 1, 4).select((F.col("id") % 3).cast("string").alias("t"), F.when(F.col("id") < 200, 7).otherwise(F.col("id")).alias("v"))
+    got = [tuple(r) for n in range(1, 8) for r in results.page(rows, n, 50, ["t"]).collect()]
+    assert sorted(got) == sorted(tuple(r) for r in rows.collect())
+    assert [t for t, _ in got] == sorted(t for t, _ in got)
+
+
+def test_saved_runs_count_rows_on_their_way(spark, ledgers, tmp_path):
+    for run in (run_rows(*ledgers, ROWS, REVERSAL, CANCEL), run_groups(*ledgers, BY_KEY, REVERSAL, CANCEL)):
+        saved = run.save(str(tmp_path / "kept"))
+        assert saved.counters.first().asDict() == run.counters.first().asDict()
+        assert [tuple(r) for r in saved.distribution.collect()] == [tuple(r) for r in run.distribution.collect()]
+        assert sorted(map(str, saved.result.collect())) == sorted(map(str, run.result.collect()))
+
+
+def test_a_run_that_dies_leaves_the_earlier_result(spark, ledgers, tmp_path):
+    path = str(tmp_path / "kept.parquet")
+    df = spark.range(100).select(F.col("id").cast("string").alias("a"))
+    export.save_result(df, path)
+    broken = df.select(F.when(F.col("a") != "77", F.col("a")).otherwise(F.raise_error(F.lit("lost"))).alias("a"))
+    with pytest.raises(Exception, match="lost"):
+        export.save_result(broken.repartition(8), path)
+    assert load_base(spark, path).count() == 100
+    export.save_result(df.limit(3), path)
+    export.save_result(df.limit(2), path)
+    assert load_base(spark, path).count() == 2
+    assert len(glob.glob(f"{path}/v-*")) == 2 and not glob.glob(f"{path}/_draft*")
+
+
 def test_comparison_of_two_results(spark):
     left = spark.createDataFrame([("a", "01"), ("b", "01"), ("c", None), ("d", None)], "k string, s string")
     right = spark.createDataFrame([("b", "02"), ("c", None), ("d", "01"), ("e", "03")], "k string, s string")
@@ -138,7 +168,7 @@ def test_exports(spark, ledgers, tmp_path):
     assert '"1,000.00"' in lines[1]
     export.save_result(result, str(tmp_path / "kept"))
     export.save_result(result.limit(2), str(tmp_path / "kept"))
-    assert spark.read.parquet(str(tmp_path / "kept")).count() == 2
+    assert spark.read.parquet(published(spark, str(tmp_path / "kept"))).count() == 2
     with pytest.raises(ValueError):
         export.export(result, str(tmp_path / "x"), "xlsx")
 
