@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import shared_folder
+from ..scratch import remember, shared_folder
 
 #: Characters of text that one step of a Python worker handles at a time; one longer text is a step.
 STEP_CHARS = 300_000
@@ -88,9 +88,10 @@ def tasks(spark: SparkSession) -> int:
 def folder(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where the setting is absent, only a local session may run, such as a test.
+    Where the setting is absent, only a local session may run, such as a test. ``scratch.release``
+    deletes what is still there.
     """
-    return f"{shared_folder(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
+    return remember(spark, f"{shared_folder(spark).rstrip('/')}/llm-{uuid.uuid4().hex}")
 
 
 def written(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
