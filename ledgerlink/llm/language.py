@@ -144,7 +144,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     prior[column[cell < 0]] = value[cell < 0]
     log_prob = np.log(n + SMOOTHING) - np.log(n.sum(0) + SMOOTHING * BUCKETS)
     log_prob = np.vstack([log_prob, np.zeros(len(languages))]).astype(np.float32)
-    return Model(languages, log_prob, np.log(prior + 1) - np.log(prior.sum() + len(languages)))
+    # Without languages the model is empty, and the sum is that of nothing.
+    return Model(languages, log_prob, np.log(prior + 1) - np.log(max(prior.sum() + len(languages), 1)))
 
 
 def scores(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -186,7 +187,11 @@ def predict(text: Column, model: Model) -> Column:
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language of every document, by a model of the documents that are not held out."""
+    """Language of every document, by a model of the documents that are not held out.
+
+    Repeated rows are predicted each; a NULL id is held out as its empty text says. An empty table gives
+    no rows.
+    """
     docs = table(spark, sf_dir, "documents")
     model = train(docs.where(~held_out(docs["doc_id"])))
     return docs.select("doc_id", held_out(docs["doc_id"]).alias("held_out"), predict(docs["text"], model).alias("p")).select(
