@@ -14,6 +14,19 @@ from .rowid import parquet_with_row_id
 from .workbook import SheetSpec, read_workbooks
 
 
+def _kind_of_folder(spark: SparkSession, path: str) -> str:
+    """The one extension of a folder's files; hidden files and markers do not count."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(folder):
+        raise ValueError(f"nothing at {path}")
+    names = [f.getPath().getName() for f in system.listStatus(folder) if f.isFile()]
+    kinds = {os.path.splitext(n)[1].lower() for n in names if n[0] not in "._"}
+    if len(kinds) != 1:
+        raise ValueError(f"{path} holds {', '.join(sorted(kinds)) or 'no files'}; one kind is needed")
+    return kinds.pop()
+
+
 def load_base(
     spark: SparkSession,
     path: str,
@@ -24,8 +37,8 @@ def load_base(
     delimiter: str | None = None,
     encoding: str = "UTF-8",
 ) -> DataFrame:
-    """Ledger with a row id and text columns from .csv, .txt, .xlsx or Parquet."""
-    kind = os.path.splitext(path.rstrip("/"))[1].lower()
+    """Ledger with a row id and text columns from .csv, .txt, .xlsx or Parquet, one file or a folder of one kind."""
+    kind = os.path.splitext(path.rstrip("/"))[1].lower() or _kind_of_folder(spark, path)
     if kind in (".csv", ".txt"):
         return read_delimited(spark, path, TextSpec(header_row, start_col, delimiter, encoding), row_id)
     if kind == ".xlsx":

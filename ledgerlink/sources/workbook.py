@@ -1,7 +1,12 @@
-"""Spreadsheet workbooks (.xlsx) as a Spark data source: one task per workbook sheet.
+"""Spreadsheet workbooks (.xlsx) as a Spark data source: one task per part of a sheet.
 
-A sheet holds at most 1,048,576 rows by the file format, which bounds the task. A folder of
-workbooks is read in parallel across its files.
+A folder of workbooks is read in parallel across its files. A large sheet is cut into ranges of its
+unpacked bytes: each task unpacks the sheet up to its range, noticing row numbers only, and parses the
+rows that start inside. Unpacking takes a small part of the time of parsing.
+
+The table of a sheet ends at its first empty row. A task returns the first run of rows without a gap in
+its part; runs that do not join on to those before are left out afterwards, by a table with one row
+per part.
 """
 
 from __future__ import annotations
@@ -12,14 +17,25 @@ import re
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import IO
 from xml.etree import ElementTree
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.names import unique_names
 from ..model import ROW_ID
+from ..scratch import materialize
+from .spread import broadcast_if_small
+
+# Unpacked bytes of a sheet for one task; files below a 32nd of it are not opened to find out.
+SPLIT_BYTES = 64 * 1024 * 1024
+CHUNK = 1024 * 1024
+
+_SHEET_DATA = re.compile(rb"<(?:\w+:)?sheetData\s*(/?)>")
+_ROW_TAG = re.compile(rb"<(?:\w+:)?row(?:\s[^>]*)?>")
+_ROW_NUMBER = re.compile(rb"\sr\s*=\s*[\"'](\d+)[\"']")
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL_ID = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
@@ -98,23 +114,77 @@ def _cell_value(cell: ElementTree.Element, shared: list[str]) -> object:
     return float(raw) if kind == "n" else raw
 
 
-def _rows(path: str, spec: SheetSpec) -> Iterator[tuple[int, dict[int, str]]]:
-    """(row number, {column number: text}) of the non-empty cells, streamed."""
+def _row_nodes(f: IO[bytes], lo: int, hi: int) -> Iterator[tuple[int, ElementTree.Element]]:
+    """(row number, node) of the rows whose tag starts at the bytes ``lo`` to ``hi`` of the sheet.
+
+    A row without a number follows the one before it, so the numbers before ``lo`` are noticed, too.
+    """
+    number, held, at, parser, head = 0, b"", 0, None, None
+    while True:
+        data = f.read(CHUNK)
+        held += data
+        if head is None:
+            found = _SHEET_DATA.search(held)
+            if found and not found[1]:
+                head = held[: found.end()]
+            elif found or not data:
+                return
+            else:
+                continue
+        # The last tag may go on in the next chunk.
+        end = max(held.rfind(b"<"), 0) if data else len(held)
+        start, stop = 0, end
+        for tag in _ROW_TAG.finditer(held, max(hi - at, 0) if parser else 0, end):
+            place = at + tag.start()
+            if place >= hi:
+                stop = tag.start()
+                break
+            if place >= lo:
+                parser, start = ElementTree.XMLPullParser(["end"]), tag.start()
+                parser.feed(head)
+                beyond = _ROW_TAG.search(held, max(hi - at, 0), end)
+                stop = beyond.start() if beyond else end
+                break
+            given = _ROW_NUMBER.search(tag[0])
+            number = int(given[1]) if given else number + 1
+        if parser:
+            parser.feed(held[start:stop])
+            for _, node in parser.read_events():
+                if node.tag == f"{_MAIN}row":
+                    number = int(node.get("r", number + 1))
+                    yield number, node
+                    node.clear()
+        if stop < end or not data:
+            return
+        held, at = held[end:], at + end
+
+
+def _sheet_nodes(f: IO[bytes], span: tuple[int, int] | None) -> Iterator[tuple[int, ElementTree.Element]]:
+    if span is None:
+        number = 0
+        for _, node in ElementTree.iterparse(f):
+            if node.tag == f"{_MAIN}row":
+                number = int(node.get("r", number + 1))
+                yield number, node
+                node.clear()
+    else:
+        yield from _row_nodes(f, *span)
+
+
+def _rows(
+    path: str, spec: SheetSpec, span: tuple[int, int] | None = None
+) -> Iterator[tuple[int, dict[int, str]]]:
+    """(row number, {column number: text}) of the non-empty cells, streamed; of one part or of all."""
     with zipfile.ZipFile(path) as book:
         shared = _shared_texts(book)
         with book.open(_sheet_member(book, spec.sheet)) as f:
-            number = 0
-            for _, node in ElementTree.iterparse(f):
-                if node.tag != f"{_MAIN}row":
-                    continue
-                number = int(node.get("r", number + 1))
+            for number, node in _sheet_nodes(f, span):
                 cells, at = {}, 0
                 for cell in node.findall(f"{_MAIN}c"):
                     at = _column_index(cell.get("r", "")) or at + 1
                     text = cell_text(_cell_value(cell, shared))
                     if text is not None and text != "":
                         cells[at] = text
-                node.clear()
                 yield number, cells
 
 
@@ -131,17 +201,22 @@ def read_sheet_header(path: str, spec: SheetSpec) -> list[str]:
     return [cells.get(c, "") for c in range(spec.start_col, max(filled) + 1)]
 
 
-def _data_rows(path: str, spec: SheetSpec, width: int) -> Iterator[list[str | None]]:
-    """Rows below the header, up to the first empty one."""
-    expected = spec.header_row + 1
-    for number, cells in _rows(path, spec):
-        if number < expected:
+def _data_rows(
+    path: str, spec: SheetSpec, width: int, span: tuple[int, int] | None = None
+) -> Iterator[tuple[int, list[str | None]]]:
+    """(place below the header, values) of a part's first run of rows without an empty one between."""
+    expected = spec.header_row + 1 if span is None else None
+    for number, cells in _rows(path, spec, span):
+        if number <= spec.header_row:
             continue
         values = [cells.get(c) for c in range(spec.start_col, spec.start_col + width)]
-        if number > expected or not any(v is not None for v in values):
+        filled = any(v is not None for v in values)
+        if expected is None and not filled:
+            continue
+        if number != (expected or number) or not filled:
             return
-        yield values
-        expected += 1
+        yield number - spec.header_row - 1, values
+        expected = number + 1
 
 
 def _workbooks(path: str) -> list[str]:
@@ -153,32 +228,58 @@ def _workbooks(path: str) -> list[str]:
     return found
 
 
-class _Sheet(InputPartition):
-    def __init__(self, order: int, path: str) -> None:
+def _spans(path: str, spec: SheetSpec, split_bytes: int) -> list[tuple[int, int] | None]:
+    """Byte ranges of the sheet for one task each; None for a whole sheet.
+
+    Sheets in other encodings than UTF-8 are not cut, since their tags cannot be found by bytes.
+    """
+    if os.path.getsize(path) * 32 <= split_bytes:
+        return [None]
+    with zipfile.ZipFile(path) as book:
+        member = book.getinfo(_sheet_member(book, spec.sheet))
+        if member.file_size <= split_bytes:
+            return [None]
+        with book.open(member) as f:
+            start = f.read(200)
+    named = re.match(rb"(?:\xef\xbb\xbf)?<\?xml[^>]*encoding\s*=\s*[\"']([^\"']*)", start)
+    if start[:2] in (b"\xff\xfe", b"\xfe\xff") or named and named[1].lower() not in (b"utf-8", b"us-ascii"):
+        return [None]
+    return [(lo, lo + split_bytes) for lo in range(0, member.file_size, split_bytes)]
+
+
+class _Part(InputPartition):
+    def __init__(self, order: int, part: int, path: str, span: tuple[int, int] | None) -> None:
         self.order = order
+        self.part = part
         self.path = path
+        self.span = span
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, paths: list[str], spec: SheetSpec, headers: list[str]) -> None:
+    def __init__(self, paths: list[str], spec: SheetSpec, headers: list[str], split_bytes: int) -> None:
         self.paths = paths
         self.spec = spec
         self.headers = headers
+        self.split_bytes = split_bytes
 
-    def partitions(self) -> list[_Sheet]:
-        return [_Sheet(i, p) for i, p in enumerate(self.paths)]
+    def partitions(self) -> list[_Part]:
+        return [
+            _Part(order, part, path, span)
+            for order, path in enumerate(self.paths)
+            for part, span in enumerate(_spans(path, self.spec, self.split_bytes))
+        ]
 
-    def read(self, partition: _Sheet) -> Iterator[tuple]:
+    def read(self, partition: _Part) -> Iterator[tuple]:
         # A workbook with another header would put values under the wrong names.
-        if read_sheet_header(partition.path, self.spec) != self.headers:
+        if partition.part == 0 and read_sheet_header(partition.path, self.spec) != self.headers:
             raise ValueError(f"{partition.path} has another header than {self.paths[0]}")
-        rows = _data_rows(partition.path, self.spec, len(self.headers))
-        for i, values in enumerate(rows):
-            yield (partition.order, i, *values)
+        rows = _data_rows(partition.path, self.spec, len(self.headers), partition.span)
+        for place, values in rows:
+            yield (partition.order, partition.part, place, *values)
 
 
 class WorkbookSource(DataSource):
-    """``spark.read.format("ledger_workbook")``; all columns text, plus sheet order and row."""
+    """``spark.read.format("ledger_workbook")``; all columns text, plus sheet order, part and row."""
 
     @classmethod
     def name(cls) -> str:
@@ -194,28 +295,50 @@ class WorkbookSource(DataSource):
         headers = read_sheet_header(_workbooks(self.options["path"])[0], self._spec())
         names = unique_names(headers, self._spec().start_col - 1)
         return ", ".join(
-            ["`_sheet` long", "`_row` long", *[f"`{n}` string" for n in names]]
+            ["`_sheet` long", "`_part` long", "`_row` long", *[f"`{n}` string" for n in names]]
         )
 
     def reader(self, schema) -> _Reader:
         paths = _workbooks(self.options["path"])
-        return _Reader(paths, self._spec(), read_sheet_header(paths[0], self._spec()))
+        split_bytes = int(self.options.get("split_bytes", SPLIT_BYTES))
+        return _Reader(paths, self._spec(), read_sheet_header(paths[0], self._spec()), split_bytes)
+
+
+def _joined_runs(rows: DataFrame) -> DataFrame:
+    """Rows of the parts whose run joins on to the header through all runs before it."""
+    rows = materialize(rows, "sheet-rows")
+    runs = rows.groupBy("_sheet", "_part").agg(F.min("_row").alias("_from"), F.count(F.lit(1)).alias("_n"))
+    along = Window.partitionBy("_sheet").orderBy("_part")
+    before = F.coalesce(F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    upto = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = F.min(F.col("_from") == F.col("_before")).over(upto)
+    kept = runs.withColumn("_before", before).withColumn("_joined", joined).filter("_joined")
+    kept = materialize(kept.select("_sheet", "_part"), "sheet-runs")
+    return rows.join(broadcast_if_small(kept), ["_sheet", "_part"], "left_semi")
 
 
 def read_workbooks(
-    spark: SparkSession, path: str, spec: SheetSpec = SheetSpec(), row_id: str = ROW_ID
+    spark: SparkSession,
+    path: str,
+    spec: SheetSpec = SheetSpec(),
+    row_id: str = ROW_ID,
+    split_bytes: int = SPLIT_BYTES,
 ) -> DataFrame:
     """One workbook, a folder of workbooks or a glob, as a ledger of text columns.
 
     Row ids number the rows of all sheets in file-name order. A sheet is shorter than 2**20 rows,
-    so its place in the order leads the id.
+    so its place in the order leads the id. Rows of sheets that are read in several parts are written
+    once, to find where each table ends.
     """
-    headers = read_sheet_header(_workbooks(path)[0], spec)
+    paths = _workbooks(path)
+    headers = read_sheet_header(paths[0], spec)
     spark.dataSource.register(WorkbookSource)
     reader = spark.read.format(WorkbookSource.name()).options(
-        header_row=spec.header_row, start_col=spec.start_col, sheet=spec.sheet or ""
+        header_row=spec.header_row, start_col=spec.start_col, sheet=spec.sheet or "", split_bytes=split_bytes
     )
     df = reader.load(path)
+    if any(_spans(p, spec, split_bytes) != [None] for p in paths):
+        df = _joined_runs(df)
     return df.select(
         (F.shiftleft("_sheet", 20) + F.col("_row")).alias(row_id),
         *[

@@ -17,7 +17,8 @@ from ledgerlink.sources.catalog import (
 from ledgerlink.sources.delimited import TextSpec, read_delimited
 from ledgerlink.sources.load import load_base
 from ledgerlink.sources.rowid import parquet_with_row_id, with_row_id
-from ledgerlink.sources.workbook import SheetSpec, cell_text, read_workbooks
+from ledgerlink.sources import workbook
+from ledgerlink.sources.workbook import SheetSpec, _spans, cell_text, read_workbooks
 
 HEADER = ["Empresa", "Nota Fiscal", "Valor Contábil"]
 ROWS = [("TBRA", "1001", "1000,50"), ("TBRA", "1002", "250.00"), ("ACME", "1003", "999,99")]
@@ -282,6 +283,60 @@ def test_folder_of_workbooks(spark, tmp_path):
         read_workbooks(spark, str(tmp_path), SheetSpec(sheet="none"))
 
 
+def test_one_sheet_over_many_tasks(spark, tmp_path):
+    rows = [["a", "b"], *[[f"k{n}", n / 4] for n in range(900)], None, ["after", "gap"]]
+    path = write_xlsx(tmp_path / "huge.xlsx", rows, first_row=2)
+    whole = read_workbooks(spark, path, SheetSpec(2)).orderBy("row_id").collect()
+    assert len(whole) == 900
+    for split in (8000, 30000):
+        cut = read_workbooks(spark, path, SheetSpec(2), split_bytes=split)
+        assert cut.orderBy("row_id").collect() == whole
+    paths = _spans(path, SheetSpec(2), 5000)
+    assert len(paths) > 5
+
+
+@pytest.mark.parametrize("gap", [1, 2, 40, 41, 79])
+@pytest.mark.parametrize("numbered", [True, False])
+def test_parts_of_a_sheet_end_at_its_first_empty_row(tmp_path, gap, numbered):
+    """Runs of all parts, put together, against the sheet read whole; rows with a prefix of their own."""
+    name = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    body = ""
+    for n in range(1, 81):
+        number = f' r="{n}"' if numbered else ""
+        value = "" if n - 1 == gap else f'<x:c t="str"><x:v>v{n} &lt;row></x:v></x:c>'
+        body += f'<x:row{number} y:h="1">{value}</x:row>\n'
+    sheet = f'<x:worksheet xmlns:x="{name}" xmlns:y="urn:y"><x:sheetData>{body}</x:sheetData><x:rowBreaks/></x:worksheet>'
+    path = write_xlsx(tmp_path / "p.xlsx", [["a"]])
+    with zipfile.ZipFile(path) as z:
+        others = {m: z.read(m) for m in z.namelist() if "sheet1" not in m}
+    with zipfile.ZipFile(path, "w") as z:
+        for member, data in others.items():
+            z.writestr(member, data)
+        z.writestr("xl/worksheets/sheet1.xml", sheet)
+    whole = list(workbook._data_rows(path, SheetSpec(), 1))
+    assert len(whole) == gap - 1 if gap > 0 else 79
+    for split in (1, 37, 500, len(sheet)):
+        parts = [(lo, lo + split) for lo in range(0, len(sheet), split)]
+        nodes = [r for span in parts for r in workbook._rows(path, SheetSpec(), span)]
+        assert nodes == list(workbook._rows(path, SheetSpec()))
+        if split > 1:
+            kept, open_ = [], True
+            for span in parts:
+                run = list(workbook._data_rows(path, SheetSpec(), 1, span))
+                open_ = open_ and (not run or run[0][0] == len(kept))
+                kept += run if open_ else []
+            assert kept == whole
+
+
+def test_folder_of_workbooks_by_load_base(spark, tmp_path):
+    for n in range(2):
+        write_xlsx(tmp_path / f"f{n}.xlsx", [["a"], [f"{n}x"]])
+    assert [r["a"] for r in load_base(spark, str(tmp_path)).orderBy("row_id").collect()] == ["0x", "1x"]
+    (tmp_path / "b.csv").write_text("a\n1\n")
+    with pytest.raises(ValueError, match="one kind"):
+        load_base(spark, str(tmp_path))
+
+
 def test_parquet_rows_are_numbered_across_files(spark, tmp_path):
     path = str(tmp_path / "t.parquet")
     spark.range(0, 100, 1, 5).selectExpr("id", "id * 2 AS v").write.parquet(path)
