@@ -102,12 +102,17 @@ class RowConfig:
 
 @dataclass(frozen=True)
 class ReversalConfig:
-    """Document column, reference column, amount column and tolerance of a reversal."""
+    """Document column, reference column, amount column and tolerance of a reversal.
+
+    By default rows reverse each other in pairs; ``zero_sum_groups`` reverses all rows of a key whose
+    amounts sum to zero.
+    """
 
     col_a: str
     col_b: str
     value: str
     limit: float = 0.0
+    zero_sum_groups: bool = False
 
     def __post_init__(self) -> None:
         if not self.limit >= 0:

@@ -39,6 +39,7 @@ from .chunks import pair_by_chunks, pair_whole_components
 from .joins import join_lookup
 from .ranks import CELL_BITS, rank_in_group
 from .tallies import pair_by_counts
+from .zero_sum import zero_sum_flags
 
 # Entries of a component that one task may pair, and amounts of a key that one task may sort.
 MAX_COMPONENT = 500_000
@@ -258,6 +259,15 @@ def _pair_by_rank_apart(entries: DataFrame, cell_bits: int) -> DataFrame:
     )
 
 
+def _marks(flags: DataFrame) -> DataFrame:
+    hit = F.col("paired")
+    return flags.select(
+        ROW_ID,
+        F.when(hit, STATUS_RECONCILED).otherwise(STATUS_NOT_EVALUATED).alias("status"),
+        F.when(hit, GROUP_REVERSED).otherwise(GROUP_REVERSED_DOCS).alias("grupo"),
+    )
+
+
 def reversal_marks(
     a: DataFrame,
     cfg: ReversalConfig,
@@ -270,8 +280,11 @@ def reversal_marks(
     """(row_id, status, grupo) of the rows that take part in a reversal.
 
     A row paired under any key is reconciled; a row left over in a key that holds both roles is a
-    reversed document to look at. Other rows get no mark.
+    reversed document to look at. Other rows get no mark. With ``zero_sum_groups`` the sum of a key
+    decides (:mod:`.zero_sum`).
     """
+    if cfg.zero_sum_groups:
+        return _marks(zero_sum_flags(a, cfg, row_id))
     limit = float(cfg.limit)
     entries = _entries(a, cfg, row_id)
     settled = (
@@ -299,13 +312,4 @@ def reversal_marks(
         if route in used:
             flags = flags.unionByName(settle(settled.filter(F.col("route") == route)))
 
-    hit = F.col("paired")
-    return (
-        flags.groupBy(ROW_ID)
-        .agg(F.max("paired").alias("paired"))
-        .select(
-            ROW_ID,
-            F.when(hit, STATUS_RECONCILED).otherwise(STATUS_NOT_EVALUATED).alias("status"),
-            F.when(hit, GROUP_REVERSED).otherwise(GROUP_REVERSED_DOCS).alias("grupo"),
-        )
-    )
+    return _marks(flags.groupBy(ROW_ID).agg(F.max("paired").alias("paired")))

@@ -239,3 +239,36 @@ def test_one_key_holds_most_rows(spark):
 def test_negative_limit_is_refused():
     with pytest.raises(ValueError):
         ReversalConfig("a", "b", "v", -1)
+
+
+def zero_sum_plain(rows, limit):
+    groups = {}
+    for row, doc, ref, amount in rows:
+        for key, role in ((doc, "doc"), (ref, "ref")):
+            if key:
+                members, roles = groups.setdefault(key, ({}, set()))
+                members[row] = round(amount * 10**6)
+                roles.add(role)
+    good, bad = set(), set()
+    for members, roles in groups.values():
+        if len(roles) == 2 and len(members) > 1:
+            (good if abs(sum(members.values())) <= limit * 10**6 else bad).update(members)
+    return {**dict.fromkeys(bad, LEFT_OVER), **dict.fromkeys(good, PAIRED)}
+
+
+@pytest.mark.parametrize("limit", [0.0, 0.25])
+def test_zero_sum_groups(spark, limit):
+    rng = random.Random(7)
+    keys = [None, "", *"abcdefghijklmnop"]
+    rows = [
+        (i, rng.choice(keys), rng.choice(keys), rng.choice([-0.3, -0.1, 0.0, 0.1, 0.2, 0.25]))
+        for i in range(120)
+    ]
+    rows += [(200, "own", "own", 0.0), (201, "one", "two", 0.0), (202, "x", "x", 5.0), (203, "", "x", -5.0)]
+    rows += [(300 + i, "big", "", 0.1) for i in range(1000)] + [(2000, "", "big", -100.0)]
+    df = spark.createDataFrame(rows, "row_id long, doc string, ref string, valor double").repartition(4)
+    marks = reversal_marks(df, ReversalConfig("doc", "ref", "valor", limit, zero_sum_groups=True))
+    got = {r["row_id"]: (r["status"], r["grupo"]) for r in marks.collect()}
+    assert got == zero_sum_plain(rows, limit)
+    assert got[2000] == got[202] == PAIRED and 200 not in got
+    assert reversal_marks(df.limit(0), ReversalConfig("doc", "ref", "valor", zero_sum_groups=True)).count() == 0

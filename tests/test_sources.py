@@ -16,7 +16,7 @@ from ledgerlink.sources.catalog import (
 )
 from ledgerlink.sources.delimited import TextSpec, read_delimited
 from ledgerlink.sources.load import load_base
-from ledgerlink.sources.rowid import parquet_with_row_id, with_row_id
+from ledgerlink.sources.rowid import duplicate_row_ids, parquet_with_row_id, with_row_id
 from ledgerlink.sources import workbook
 from ledgerlink.sources.workbook import SheetSpec, _spans, cell_text, read_workbooks
 
@@ -347,6 +347,32 @@ def test_parquet_rows_are_numbered_across_files(spark, tmp_path):
     assert with_row_id(spark.read.parquet(path), "id").columns == ["row_id", "id", "v"]
 
 
+def test_row_ids_must_be_distinct(spark):
+    ids = [*range(-70, 300, 3), 2**40, -(2**63), 2**63 - 1, 2**62]
+    fine = spark.createDataFrame([(i,) for i in ids], "id long").repartition(5)
+    assert with_row_id(fine, "id").count() == len(ids)
+    assert duplicate_row_ids(fine, "id").count() == 0
+    twice = [*ids, -70, 2**40, -(2**63), -(2**63)]
+    double = spark.createDataFrame([(i,) for i in twice], "id long").repartition(5)
+    got = {tuple(r) for r in duplicate_row_ids(double, "id").collect()}
+    assert got == {(-70, 2), (2**40, 2), (-(2**63), 3)}
+    with pytest.raises(ValueError, match="is no row id: -9223372036854775808 .3 rows., -70 .2 rows."):
+        with_row_id(double, "id")
+    assert with_row_id(double, "id", check=False).count() == len(twice)
+    with pytest.raises(ValueError, match="None .1 rows."):
+        with_row_id(spark.createDataFrame([(None,), (1,)], "id long"), "id")
+    assert with_row_id(fine.limit(0), "id").count() == 0
+
+
+def test_ids_are_shuffled_by_cell_first(spark, tmp_path):
+    """Ids themselves move only after the cells without duplicates are left out."""
+    path = str(tmp_path / "ids")
+    spark.range(0, 64000, 1, 4).write.parquet(path)
+    text = duplicate_row_ids(spark.read.parquet(path), "id")._jdf.queryExecution().sparkPlan().toString()
+    assert text.index("HashAggregate") < text.index("BroadcastHashJoin") < text.index("FileScan")
+    assert text.count("HashAggregate") == 2 and "LeftSemi" in text
+
+
 def test_monetary_flags(spark, tmp_path):
     src = load_base(spark, write_csv(tmp_path / "s.csv"))
     src = set_monetary(src, ["valor_cont_bil"])
