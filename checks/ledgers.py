@@ -132,3 +132,10 @@ select o_orderkey as row_id,
        case when o_orderstatus = 'F' then '' when o_orderstatus = 'O' then ' ' else o_orderpriority
        end as nota
 from orders"""
+
+# Values of all kinds that a sheet holds, for workbooks.
+SHEET = """
+select o_orderkey as row_id, o_orderkey as doc, o_totalprice as valor, floor(o_totalprice) as inteiro,
+       o_orderstatus = 'F' as ativo, o_custkey as cliente,
+       case when o_orderstatus = 'P' then '' else o_orderpriority || ' <&> "' end as nota
+from orders"""

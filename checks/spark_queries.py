@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import lru_cache
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,9 +40,13 @@ from ledgerlink.operators.multikey import reconcile_rows
 from ledgerlink.operators.reversal import reversal_marks
 from ledgerlink.plans import export
 from ledgerlink.plans.flow import run_groups, run_rows
-from ledgerlink.scratch import shared_folder
+from ledgerlink.plans.workbooks import write_workbooks
+from ledgerlink.scratch import remember, shared_folder
+from ledgerlink.sources.catalog import copy_monetary, map_columns, mapped_pairs, monetary_columns, named_columns, set_monetary
 from ledgerlink.sources.delimited import read_delimited
-from ledgerlink.sources.rowid import parquet_with_row_id
+from ledgerlink.sources.rowid import duplicate_row_ids, parquet_with_row_id
+from ledgerlink.sources.workbook import SheetSpec, read_workbooks
+from ledgerlink.versions import published
 
 from .ledgers import (
     DESTINATION,
@@ -54,6 +59,7 @@ from .ledgers import (
     LEDGER_R,
     ORIGIN,
     REMARKS,
+    SHEET,
     TEXTS,
 )
 
@@ -280,6 +286,64 @@ def delimited_quoted(s: SparkSession, d: str) -> DataFrame:
     return _delimited(s, d, REMARKS, "remarks")
 
 
+def _zero_sum(s: SparkSession, d: str, sql: str) -> DataFrame:
+    return reversal_marks(ledger(s, d, sql), ReversalConfig("doc", "ref", "valor", 0.25, zero_sum_groups=True))
+
+
+def row_id_duplicates(s: SparkSession, d: str) -> DataFrame:
+    return duplicate_row_ids(_table(s, d, "lineitem"), "l_orderkey")
+
+
+def workbook_ledger(s: SparkSession, d: str) -> DataFrame:
+    """A ledger written as workbooks by the tasks and read back, each sheet in several parts."""
+    folder = remember(s, _folder(s, f"sheets-{uuid4().hex}"))
+    laid = ledger(s, d, SHEET).repartitionByRange(3, "row_id").sortWithinPartitions("row_id").drop("row_id")
+    headers = ["Nº Doc", "Valor", " valor ", "Ativo", "", "Nota"]
+    write_workbooks(laid, folder, headers, first_row=3, first_col=2)
+    return read_workbooks(s, folder, SheetSpec(3, 2), split_bytes=512 * 1024).drop("row_id")
+
+
+def money_of_flagged(s: SparkSession, d: str) -> DataFrame:
+    """Flags of side A go to the columns of side B with the same header, whose money is then shown."""
+    a = named_columns(ledger(s, d, LEDGER_A).select("row_id", "doc", "valor"), ["row_id", "Doc", "Valor"])
+    b = ledger(s, d, LEDGER_B).select("row_id", "doc", "valor", F.col("valor").alias("item"))
+    b = named_columns(b, ["row_id", "Nota", "Valor", "Valor do Item"])
+    flagged, _ = copy_monetary(set_monetary(a, ["valor"]), b, "source_name")
+    return export.with_money_text(flagged, monetary_columns(flagged))
+
+
+def recon_mapped(s: SparkSession, d: str) -> DataFrame:
+    """Key and amount of side B found by the column mapping."""
+    a = ledger(s, d, LEDGER_A)
+    b = ledger(s, d, LEDGER_B).withColumnsRenamed({"doc": "nota", "valor": "total"})
+    on_b = dict(mapped_pairs(map_columns(a.columns, b.columns, [("doc", "nota"), ("valor", "total")])))
+    keys = ["doc", "cust"]
+    return reconcile_groups(a, b, GroupConfig(keys, [on_b[c] for c in keys], "valor", on_b["valor"], limit=1.0))
+
+
+def result_unmarked(s: SparkSession, d: str) -> DataFrame:
+    """Rows that no reversal marked: those without a status."""
+    a = ledger(s, d, LEDGER_R)
+    marked = a.join(reversal_marks(a, REVERSAL), "row_id", "left")
+    return results.filter_result(marked, results.NULL_STATUS).select("row_id", "doc", "valor")
+
+
+def result_saved(s: SparkSession, d: str) -> DataFrame:
+    """A saved result replaces the one before it."""
+    path = remember(s, _folder(s, f"saved-{uuid4().hex}"))
+    for limit in (0.0, 1.0):
+        export.save_result(_pair_groups(s, d, limit), path)
+    return s.read.parquet(published(s, path))
+
+
+def preview_rows(s: SparkSession, d: str) -> DataFrame:
+    return results.preview(ledger(s, d, LEDGER_A).orderBy("row_id")).select("row_id", "doc", "valor")
+
+
+def export_base_b(s: SparkSession, d: str) -> DataFrame:
+    return export.base_with_result(ledger(s, d, LEDGER_B), _pair_rows(s, d), "B")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "recon_orders_lineitem": recon_orders_lineitem,
@@ -330,4 +394,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "delimited_ledger": delimited_ledger,
         "delimited_row_ids": delimited_row_ids,
         "delimited_quoted": delimited_quoted,
+        "reversal_zero_sum": lambda s, d: _zero_sum(s, d, LEDGER_R),
+        "reversal_zero_sum_dual": lambda s, d: _zero_sum(s, d, LEDGER_DUAL),
+        "row_id_duplicates": row_id_duplicates,
+        "workbook_ledger": workbook_ledger,
+        "monetary_columns": money_of_flagged,
+        "recon_mapped": recon_mapped,
+        "result_unmarked": result_unmarked,
+        "result_saved": result_saved,
+        "preview_rows": preview_rows,
+        "export_base_b": export_base_b,
     }

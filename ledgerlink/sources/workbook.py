@@ -37,9 +37,14 @@ _SHEET_DATA = re.compile(rb"<(?:\w+:)?sheetData\s*(/?)>")
 _ROW_TAG = re.compile(rb"<(?:\w+:)?row(?:\s[^>]*)?>")
 _ROW_NUMBER = re.compile(rb"\sr\s*=\s*[\"'](\d+)[\"']")
 
-_MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-_REL_ID = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
-_REL = "{http://schemas.openxmlformats.org/package/2006/relationships}"
+# Namespaces of the file format.
+MAIN_NAMESPACE = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+OFFICE_RELATIONS = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+PACKAGE_RELATIONS = "http://schemas.openxmlformats.org/package/2006/relationships"
+
+_MAIN = f"{{{MAIN_NAMESPACE}}}"
+_REL_ID = f"{{{OFFICE_RELATIONS}}}id"
+_REL = f"{{{PACKAGE_RELATIONS}}}"
 
 
 @dataclass(frozen=True)

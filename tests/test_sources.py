@@ -1,5 +1,6 @@
 import random
 import zipfile
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from ledgerlink.sources.catalog import (
 from ledgerlink.sources.delimited import TextSpec, read_delimited
 from ledgerlink.sources.load import load_base
 from ledgerlink.sources.rowid import duplicate_row_ids, parquet_with_row_id, with_row_id
+from ledgerlink.plans import workbooks
+from ledgerlink.plans.workbooks import write_workbooks
 from ledgerlink.sources import workbook
 from ledgerlink.sources.workbook import SheetSpec, _spans, cell_text, read_workbooks
 
@@ -328,6 +331,21 @@ def test_parts_of_a_sheet_end_at_its_first_empty_row(tmp_path, gap, numbered):
             assert kept == whole
 
 
+def test_written_workbooks_read_back(spark, tmp_path):
+    rows = [(n, f"t{n} <&>\r\n\"'  ", n / 2, n % 2 == 0, Decimal(n) / 4 if n % 3 else None) for n in range(23)]
+    df = spark.createDataFrame(rows, "n long, t string, f double, b boolean, d decimal(10, 2)").coalesce(1)
+    made = write_workbooks(df, str(tmp_path / "w"), ["N", "T", "F", "", "D"], first_row=2, first_col=27, last_row=6)
+    assert [r["rows"] for r in made.orderBy("path").collect()] == [4, 4, 4, 4, 4, 3]
+    got = load_base(spark, str(tmp_path / "w"), header_row=2, start_col=27).orderBy("row_id")
+    assert got.columns == ["row_id", "n", "t", "f", "col_29", "d"]
+    wanted = [tuple(cell_text(float(v) if isinstance(v, Decimal) else v) for v in r) for r in rows]
+    assert [tuple(r)[1:] for r in got.collect()] == wanted
+    with pytest.raises(ValueError, match="exists"):
+        write_workbooks(df, str(tmp_path / "w"))
+    assert write_workbooks(df.limit(0), str(tmp_path / "none")).count() == 0
+    assert [workbooks.column_letters(n) for n in (1, 26, 27, 702, 703)] == ["A", "Z", "AA", "ZZ", "AAA"]
+
+
 def test_folder_of_workbooks_by_load_base(spark, tmp_path):
     for n in range(2):
         write_xlsx(tmp_path / f"f{n}.xlsx", [["a"], [f"{n}x"]])
