@@ -6,9 +6,9 @@ attention (a tanh and a sigmoid layer, multiplied) weighs the passages of a docu
 is a logistic function of the weighted mean of their codes. All weights, those of the attention
 too, are learned from document labels alone, by full gradients with Adam.
 
-Training takes a bounded sample (SAMPLE labelled documents, with at most PASSAGES passages each,
-that cover the whole text) to the driver. Scoring sends the weights, a few thousand numbers, with
-the function and reads every text once, where it lies.
+Training takes a bounded sample to the driver: SAMPLE labelled documents, and of each at most
+FIT_PASSAGES passages, spread evenly over the whole text. Scoring sends the weights, a few thousand
+numbers, with the function and reads all passages of every text once, where it lies.
 """
 
 from __future__ import annotations
@@ -25,8 +25,10 @@ from .words import Words, mixed, split
 
 #: Labelled documents that the model is fitted on, at most.
 SAMPLE = 3000
-#: Words of a passage, and passages of a document at most: longer documents have longer passages.
-PASSAGE, PASSAGES = 64, 256
+#: Words of a passage.
+PASSAGE = 64
+#: Passages of a labelled document that the model is fitted on, at most: 85 MB for the whole sample.
+FIT_PASSAGES = 64
 #: Width of the code of a passage and of the attention.
 CODE, GATE = 24, 12
 PAIR_CELLS = 64
@@ -68,12 +70,11 @@ def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """
     w = split(texts)
     n = np.diff(w.first)
-    length = np.maximum(PASSAGE, -(-n // PASSAGES))
-    many = np.maximum(1, -(-n // length))
+    many = np.maximum(1, -(-n // PASSAGE))
     first = np.concatenate([[0], np.cumsum(many)])
     total = int(first[-1])
     nth = np.arange(len(w.code)) - w.first[w.doc]
-    of_word = first[w.doc] + nth // length[w.doc]
+    of_word = first[w.doc] + nth // PASSAGE
     # A passage begins at its first word; the first one of a text at the text's begin.
     opens = np.flatnonzero(np.append(True, of_word[1:] != of_word[:-1])) if len(of_word) else np.zeros(0, np.int64)
     begins = np.repeat(w.starts[:-1], many)
@@ -202,10 +203,17 @@ def fit(x: np.ndarray, first: np.ndarray, y: np.ndarray) -> Model:
     return Model(fixed | p)
 
 
+def spread(begin: int, end: int, most: int = FIT_PASSAGES) -> np.ndarray:
+    """The numbers from ``begin`` up to ``end``, or ``most`` of them, the first and last included."""
+    n = end - begin
+    return begin + (np.arange(n) if n <= most else np.arange(most) * (n - 1) // (most - 1))
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = SAMPLE) -> Model:
     """Fit on at most ``most`` labelled documents, drawn by a hash of their id.
 
-    Rows with a NULL label or id are not used; of several labels of one document the lowest counts.
+    Rows with a NULL label or id are not used; of several labels of one document the lowest counts, of
+    several texts the first in their order.
     """
     small_batches()
     chosen = (
@@ -223,13 +231,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
                 x, first = passages(part)
                 rows = batch.slice(at, len(part))
                 at += len(part)
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), rows.column(1), pa.array([x[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist())], pa.binary())],
-                    names=["doc_id", "label", "x"],
-                )
+                bags = [x[spread(a, b)].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(bags, pa.binary())], names=["doc_id", "label", "x"])
 
     # At most `most` rows of two integers are broadcast.
-    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
+    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    picked = picked.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     rows = picked.mapInArrow(describe, "doc_id long, label int, x binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], bytes(r["x"])))
     bags = [np.frombuffer(bytes(r["x"]), np.float32).reshape(-1, FEATURES) for r in rows]
@@ -253,7 +260,11 @@ def score(text: Column, model: Model) -> Column:
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality of every document, by a model of the labelled documents that are not held out."""
+    """Quality of every document, by a model of the labelled documents that are not held out.
+
+    Repeated rows are scored each; a NULL id is held out as its empty text says. An empty table gives
+    no rows.
+    """
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels")
     model = train(docs, labels.where(~held_out(labels["doc_id"])))

@@ -55,9 +55,9 @@ def cells(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ends = np.flatnonzero(points == 0)
     plain = np.where(is_letter, points, np.uint32(32))
     keep = is_letter.copy()
-    keep[0] = True
     keep[1:] |= is_letter[:-1]  # the first of a run of other characters
     keep[ends] = True
+    keep[np.append(0, ends[:-1] + 1)] = True  # such a run may open a text
     plain = plain[keep]
     where = np.cumsum(keep)
     starts = np.concatenate([[0], where[ends[:-1]]]) if len(ends) else np.zeros(0, np.int64)

@@ -16,6 +16,7 @@ where it lies, with all of its lines.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import held_out, small_batches, steps, table
 from .words import Words, repeated_windows, split
 
-#: Labelled documents that the field is fitted on at most, and the lines that such a document may have.
+#: Labelled documents that the field is fitted on at most, and the lines that each gives at most.
 SAMPLE, SAMPLE_LINES = 3000, 400
 #: Share of words in content lines from which a document is kept.
 CONTENT = 0.5
@@ -277,10 +278,21 @@ def fit(bags: list[np.ndarray], words: list[np.ndarray], labels: list[int]) -> F
     return maximize(batches, seen_x, seen_step, lines)
 
 
+def run_of_lines(doc_id: int, begin: int, end: int, most: int = SAMPLE_LINES) -> slice:
+    """All lines of a document, or ``most`` consecutive ones from a line drawn by its id."""
+    room = end - begin - most
+    if room <= 0:
+        return slice(begin, end)
+    start = begin + zlib.crc32(str(doc_id).encode()) % (room + 1)
+    return slice(start, start + most)
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = SAMPLE) -> Field:
-    """Fit on at most ``most`` labelled documents of at most SAMPLE_LINES lines, drawn by a hash of the id.
+    """Fit on at most ``most`` labelled documents, drawn by a hash of the id.
 
-    Rows with a NULL label or id are not used; of several labels of one document the lowest counts.
+    Of a document with more than SAMPLE_LINES lines a run of that many is used, which begins at a line
+    drawn by the id. Rows with a NULL label or id are not used; of several labels of one document the
+    lowest counts, of several texts the first in their order.
     """
     small_batches()
     chosen = (
@@ -298,12 +310,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
                 got = measure(part)
                 rows = batch.slice(at, len(part))
                 at += len(part)
-                ends = list(zip(got.first[:-1].tolist(), got.first[1:].tolist()))
-                cut = [pa.array([v[a:b].tobytes() if b - a <= SAMPLE_LINES else b"" for a, b in ends], pa.binary()) for v in (got.x, got.n_words.astype(np.int64))]
+                ends = zip(rows.column(0).to_pylist(), got.first[:-1].tolist(), got.first[1:].tolist())
+                runs = [run_of_lines(i, a, b) for i, a, b in ends]
+                cut = [pa.array([v[r].tobytes() for r in runs], pa.binary()) for v in (got.x, got.n_words.astype(np.int64))]
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *cut], names=["doc_id", "label", "x", "words"])
 
     # At most `most` rows of two integers are broadcast.
-    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
+    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    picked = picked.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     rows = picked.mapInArrow(describe, "doc_id long, label int, x binary, words binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], bytes(r["x"])))
     return fit(
