@@ -3,7 +3,7 @@
 A page is cut into blocks at block-level tags. The first pass decides on each block by itself:
 
 * blocks within navigation, header, footer, sidebar, form or hidden elements, or within elements
-  whose class or id says so (``HINTS``, whole names), are boilerplate, unless the element wraps the
+  whose class, id or role says so (``hinted``), are boilerplate, unless the element wraps the
   article or most of the page's long text (``wrappers``);
 * a share of link text above ``LINKS`` makes boilerplate;
 * of long blocks, those with enough stop words of one language are content and those with next to
@@ -25,6 +25,8 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -119,7 +121,7 @@ HINTS = frozenset(
 #: Of these, the ones that count on an article element, too: a reader's comment may be one.
 REMARKS = frozenset(["comment", "comments", "reply", "replies", "discussion", "disqus", "ad", "ads", "advert", "sponsored", "promo"])
 
-# Words that a name made of hints may have besides, as in "site-footer" or "ad-slot".
+# Words for a place or kind of box, which say nothing at the end of a name ("ad-slot").
 PLACES = frozenset(
     """
     area bar block bottom box col column container first form global inner item left link links list
@@ -127,7 +129,16 @@ PLACES = frozenset(
     """.split()
 )
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+# Words after which a name tells what an element has or is filed under, not what it is.
+STATES = frozenset(["has", "with", "without", "no", "is", "category", "tag", "topic"])
+
+#: A tag ends at the first > outside of quoted values. Where quotes don't pair (a value must end before
+#: white space, a slash or the end of the tag), at the first > of all.
+TAG = re.compile(
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"(?=[\s/>]|\Z)|'[^']*'(?=[\s/>]|\Z))*+(?=>|\Z)|[^>]*)(?:>|\Z)",
+    re.S,
+)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _raw_end = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in UNSEEN}
 
@@ -141,12 +152,33 @@ def attributes(source: str) -> dict[str, str]:
 ALWAYS, BY_TAG, BY_WRAP, BY_NAME, BY_REMARK = range(1, 6)
 
 
+HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
+
+
+def head(name: str) -> str:
+    """The word that says what a compound name names: its last one but for PLACES, before any of STATES."""
+    last = ""
+    for word in re.split(r"[^a-z]+", name):
+        if word in STATES:
+            break
+        if word and word not in PLACES:
+            last = word
+    return last
+
+
 def hinted(names: str, hints: frozenset[str]) -> bool:
-    """Whether one of these names is a hint, or made of hints and PLACES only."""
-    for name in names.split():
-        parts = [w for w in re.split(r"[^a-z]+", name) if w]
-        if not hints.isdisjoint(parts) and all(w in HINTS or w in PLACES for w in parts):
-            return True
+    """Whether one of these names has a hint for its head, or is made of hints and PLACES only.
+
+    Of ``block__element--modifier``, the block and the element count, each by its head.
+    """
+    for raw in names.split():
+        for name in {raw.lower(), HUMP.sub("-", raw).lower()}:
+            plain = name.split("--")[0]
+            if head(plain) in hints or head(plain.split("__")[0]) in hints:
+                return True
+            parts = [w for w in re.split(r"[^a-z]+", name) if w]
+            if not hints.isdisjoint(parts) and all(w in HINTS or w in PLACES for w in parts):
+                return True
     return False
 
 
@@ -158,7 +190,7 @@ def set_aside(name: str, source: str, in_article: bool) -> int:
         if "hidden" in has or has.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", has.get("style", "")):
             return ALWAYS
         if not by_tag or name in WRAPS:
-            named = " ".join(has.get(k, "") for k in ("class", "id", "role")).lower()
+            named = " ".join(has.get(k, "") for k in ("class", "id", "role"))
             if hinted(named, REMARKS):
                 return BY_REMARK
             if name not in ARTICLE and hinted(named, HINTS):
@@ -181,6 +213,8 @@ def blocks(page: str) -> list[tuple[str, Block]]:
     """Blocks of a page in order, as (text with single spaces, block)."""
     out: list[tuple[str, Block]] = []
     open_ones: list[tuple[str, int, int]] = []  # element, number of the innermost one set aside or 0, of its article or 0
+    n_open: Counter[str] = Counter()  # of open_ones by element, so that stray end tags need no search
+    unclosed: set[str] = set()  # elements of UNSEEN without an end tag in the rest of the page
     asides = [(0, 0, 0)]  # of each element set aside: the one around it, why, the article around it
     articles = 0
     linked = False
@@ -188,7 +222,7 @@ def blocks(page: str) -> list[tuple[str, Block]]:
 
     def end(heading: bool = False) -> None:
         nonlocal block
-        text = " ".join(entities.unescape("".join(block.parts)).split())
+        text = " ".join(entities.unescape("".join(block.parts)).split()) if block.parts else ""
         if text:
             out.append((text, block))
         top = open_ones[-1] if open_ones else ("", 0, 0)
@@ -215,15 +249,18 @@ def blocks(page: str) -> list[tuple[str, Block]]:
             if name == "a":
                 linked = False
             elif name in BLOCKS:
-                for k in range(len(open_ones) - 1, -1, -1):
-                    if open_ones[k][0] == name:
-                        del open_ones[k:]
-                        linked = False
-                        break
+                if n_open[name]:
+                    closed = ""
+                    while closed != name:
+                        closed = open_ones.pop()[0]
+                        n_open[closed] -= 1
+                    linked = False
                 end()
             continue
         if name in _raw_end and not tag[0].endswith("/>"):
-            close = _raw_end[name].search(page, at)
+            close = None if name in unclosed else _raw_end[name].search(page, at)
+            if close is None:
+                unclosed.add(name)
             if close is None and name in ("svg", "math", "object"):
                 continue
             at = close.start() if close else n
@@ -241,6 +278,7 @@ def blocks(page: str) -> list[tuple[str, Block]]:
                 up_aside, up_article = (open_ones[-1][1], open_ones[-1][2]) if open_ones else (0, 0)
                 if name == "li" and open_ones and open_ones[-1][0] == "li":
                     open_ones.pop()  # its end tag may be left out
+                    n_open[name] -= 1
                     up_aside, up_article = (open_ones[-1][1], open_ones[-1][2]) if open_ones else (0, 0)
                 off, why = up_aside, set_aside(name, tag[3], bool(up_article))
                 if why:
@@ -252,6 +290,7 @@ def blocks(page: str) -> list[tuple[str, Block]]:
                         articles += 1
                         own = articles
                 open_ones.append((name, off, own))
+                n_open[name] += 1
                 block.aside, block.article = off, own
             elif name == "p" or name in HEADINGS:
                 if tag[3] and set_aside(name, tag[3], block.article > 0):
@@ -303,6 +342,11 @@ def wrappers(found: list[tuple[str, Block]], asides: list[tuple[int, int, int]])
     plain = [i for i, (_, b) in enumerate(found) if not b.aside]
     article = any(found[i][1].article for i in plain)
     long_article = some_long and any(found[i][1].article and weights[i] for i in plain)
+
+    @cache
+    def content_outside() -> bool:
+        return any(weights[i] and (stop_share(found[i][0]) or 0) >= STOP_WORDS for i in plain)
+
     for k in range(n - 1, 0, -1):
         around, why, up_article = asides[k]
         if why == ALWAYS or 2 * held[k] <= total or not (some_long or with_article[k]):
@@ -312,7 +356,7 @@ def wrappers(found: list[tuple[str, Block]], asides: list[tuple[int, int, int]])
         if (
             with_article[k] and why != BY_REMARK
             or why == BY_WRAP
-            or why != BY_TAG and not any(weights[i] and (stop_share(found[i][0]) or 0) >= STOP_WORDS for i in plain)
+            or why != BY_TAG and not content_outside()
         ):
             off[k] = False
             held[around] += held[k]
@@ -431,7 +475,11 @@ def extract(page: Column) -> Column:
 
 
 def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Main text of every page."""
+    """Main text of every page.
+
+    Every row gives one row, on its own: repeated pages and NULL ids or addresses come back as they
+    are, a NULL or empty html gives an empty text, and other columns of the table play no part.
+    """
     pages = table(spark, sf_dir, "pages")
     return pages.select("page_id", "url", extract(pages["html"]).alias("text")).select(
         "page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars")

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -419,6 +420,46 @@ def test_long_asides_are_no_wrappers(short, aside):
     assert pages.main_text(page) == pages.main_text(short) != ""
 
 
+@pytest.mark.parametrize(
+    "name",
+    ["user-comments", "userComments", "article-sidebar", "story-related", "c-ad-banner__inner", "c-ad-banner__text",
+     "card__comments--open", "sidebar--left", "site-footer-links", "post_reply"],
+)
+def test_compound_names_count_by_their_head(name):
+    article = f"<article><p>{PROSE * 2}</p></article><div><p>{PROSE * 3}</p></div>"
+    assert pages.main_text(f"{article}<div class='x {name}'><p>{PROSE}</p></div>") == pages.main_text(article)
+
+
+@pytest.mark.parametrize("name", ["has-sidebar", "no-ads", "content-with-sidebar", "cookie-recipes", "search-results", "category-social", "page--with-menu"])
+def test_names_that_only_mention_a_hint(name):
+    article = f"<article><p>{PROSE * 2}</p></article><div class={name}><p>{PROSE * 3}</p></div>"
+    assert pages.main_text(article).split("\n") == [(PROSE * 2).strip(), (PROSE * 3).strip()]
+
+
+@pytest.mark.parametrize(
+    "tag", ['<p title="x>', "<p title='x>", '<p title="x" ">', "<p title=it's>", '<p title="a > b">', "<p data-x='<b>'>", '<p title="x"class="y">']
+)
+def test_unclosed_quotes_leave_no_markup(tag):
+    page = f'<div>{tag}{PROSE * 2}</p><p class="y">{PROSE}</p><p title="z">{PROSE}</p></div>'
+    assert pages.main_text(page).split("\n") == [(PROSE * 2).strip(), PROSE.strip(), PROSE.strip()]
+
+
+@pytest.mark.parametrize("piece", ["<div></p>", "<svg>", "<li>", '<p title="x>a ', "<div class=sidebar><p>", "<div><b>x</span>", '<p "'])
+def test_broken_pages_take_time_in_proportion(piece):
+    began = time.process_time()
+    pages.main_text(piece * (1_000_000 // len(piece)))
+    assert time.process_time() - began < 10  # quadratic ways take minutes
+
+
+def test_pages_come_back_row_by_row(spark, save):
+    html = f"<article><p>{PROSE}</p></article>"
+    rows = [(1, "u", html, "e", 1, 2), (1, "u", html, "e", 1, 2), (None, None, html, None, None, None), (2, "v", None, None, 3, 4), (3, None, "", "", 5, 6)]
+    sf = save({"pages": "page_id long, url string, html string, text string, n_chars long, parts long"}, pages=rows)
+    got = sorted(map(tuple, pages.op8_main_text(spark, sf).collect()), key=str)
+    text = PROSE.strip()
+    assert got == sorted([(1, "u", text, len(text))] * 2 + [(None, None, text, len(text)), (2, "v", "", 0), (3, None, "", 0)], key=str)
+
+
 # --- 10 ------------------------------------------------------------------------------------
 
 
