@@ -406,7 +406,7 @@ def find(docs: DataFrame, columns: list[str] | None = None) -> tuple[DataFrame,
     parts = max(tasks(spark), confirmed.count() // PATTERNS + 1)
     drop(confirmed)
     shards = dealt(pattern, stretches(affected, known), anchors, parts)
-    spans = locate(shards).groupBy("d", "key").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    spans = locate(shards).groupBy("d", "key").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
     s_d, s_key, s_spans = fresh(kept, "span_d", "span_key", "spans")
     spans = spans.select(F.col("d").alias(s_d), F.col("key").alias(s_key), F.col("spans").alias(s_spans))
     found = kept.join(spans, (kept[d] == spans[s_d]) & (kept[key] == spans[s_key]), "left")
