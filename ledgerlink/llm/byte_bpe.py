@@ -283,44 +283,74 @@ def encode(text: Column, path: str, pattern: str) -> Column:
         enc = encoder(path, pattern)
         try:
             for texts in batches:
-                bodies, sizes = [], [0]
-                for part in steps(texts, PART_CHARS):
-                    coded = enc.texts(part)
-                    sizes += [len(b) // 4 for b in coded]
-                    bodies.append(b"".join(coded))
-                values = pa.array(np.frombuffer(b"".join(bodies), np.int32))
-                yield pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), values)
+                yield coded_lists(enc, texts)
         finally:
             enc.known.clear()  # the worker goes on to other stages
 
     return ids_of(text)
 
 
+def coded_lists(enc: Encoder, texts: pa.Array) -> pa.ListArray:
+    """Ids of each text of an array."""
+    bodies, sizes = [], [0]
+    for part in steps(texts, PART_CHARS):
+        coded = enc.texts(part)
+        sizes += [len(b) // 4 for b in coded]
+        bodies.append(b"".join(coded))
+    values = pa.array(np.frombuffer(b"".join(bodies), np.int32))
+    return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), values)
+
+
+def decoded_lists(path: str, lists: pa.Array) -> pa.Array:
+    """Bytes of each list of ids."""
+    blob, start, length = vocabulary(path)
+    values = np.asarray(lists.flatten())
+    if len(values) and (values.min() < 0 or values.max() >= len(length) or (length[values] < 0).any()):
+        raise ValueError("an id is outside the vocabulary")
+    sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0))
+    out, at = [], 0
+    for n, known in zip(sizes.tolist(), lists.is_valid().to_pylist()):
+        part = values[at : at + n]
+        at += n
+        many = length[part]
+        ends = np.cumsum(many)
+        total = int(ends[-1]) if n else 0
+        where = np.repeat(start[part] - (ends - many), many) + np.arange(total)
+        out.append(blob[where].tobytes() if known else None)
+    return pa.array(out, pa.binary())
+
+
 def decode(ids: Column, path: str) -> Column:
     """Bytes of an id column; NULL gives NULL, an id outside the vocabulary is an error."""
     small_batches()
 
     @F.arrow_udf("binary")
     def bytes_of(lists: pa.Array) -> pa.Array:
-        blob, start, length = vocabulary(path)
-        values = np.asarray(lists.flatten())
-        if len(values) and (values.min() < 0 or values.max() >= len(length) or (length[values] < 0).any()):
-            raise ValueError("an id is outside the vocabulary")
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0))
-        out, at = [], 0
-        for n, known in zip(sizes.tolist(), lists.is_valid().to_pylist()):
-            part = values[at : at + n]
-            at += n
-            many = length[part]
-            ends = np.cumsum(many)
-            total = int(ends[-1]) if n else 0
-            where = np.repeat(start[part] - (ends - many), many) + np.arange(total)
-            out.append(blob[where].tobytes() if known else None)
-        return pa.array(out, pa.binary())
+        return decoded_lists(path, lists)
 
     return bytes_of(ids)
 
 
+def round_trip(text: Column, path: str, pattern: str) -> Column:
+    """A struct of ``encode``'s ids and the bytes that ``decode`` makes of them.
+
+    Both are done by one worker of a task, so a task holds one vocabulary and one set of buffers.
+    """
+    small_batches()
+
+    @F.arrow_udf("struct<ids: array<int>, decoded: binary>")
+    def both_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        enc = encoder(path, pattern)
+        try:
+            for texts in batches:
+                ids = coded_lists(enc, texts)
+                yield pa.StructArray.from_arrays([ids, decoded_lists(path, ids)], ["ids", "decoded"])
+        finally:
+            enc.known.clear()
+
+    return both_of(text)
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text of ``documents`` and the bytes that they decode to, as digests."""
     import public_tokenizers as vocabularies

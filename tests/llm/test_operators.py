@@ -477,3 +477,14 @@ def test_byte_bpe_is_that_of_the_library(spark, odd, samples):
     encoder = byte_bpe.Encoder(path, vocabularies.PATTERN)
     texts = [r["text"] for r in samples("documents")]
     assert [np.frombuffer(b, np.int32).tolist() for b in encoder.texts(texts)] == library.encode_ordinary_batch(texts)
+
+
+def test_round_trip_is_encoding_then_decoding(spark, odd):
+    path = vocabularies.path("byte_bpe_50k.tiktoken")
+    docs = spark.read.parquet(f"{odd}/documents.parquet")
+    both = byte_bpe.round_trip(docs["text"], path, vocabularies.PATTERN)
+    rows = docs.select("text", both.alias("b"), byte_bpe.encode(docs["text"], path, vocabularies.PATTERN).alias("ids")).collect()
+    assert len(rows) == len(odd_rows())
+    for r in rows:
+        assert r["b"]["ids"] == r["ids"]
+        assert bytes(r["b"]["decoded"]) == (r["text"] or "").encode()
