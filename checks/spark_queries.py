@@ -75,6 +75,8 @@ ATTRIBUTION_KEYS = (
     AttributionKey("CHAVE_2", ["seg"], ["seg"]),
 )
 REVERSAL = ReversalConfig("doc", "ref", "valor", 0.5)
+# Rows of a workbook, about.
+SHEET_ROWS = 50_000
 CANCEL = CancelConfig("indicador", "S")
 
 
@@ -297,7 +299,9 @@ def row_id_duplicates(s: SparkSession, d: str) -> DataFrame:
 def workbook_ledger(s: SparkSession, d: str) -> DataFrame:
     """A ledger written as workbooks by the tasks and read back, each sheet in several parts."""
     folder = remember(s, _folder(s, f"sheets-{uuid4().hex}"))
-    laid = ledger(s, d, SHEET).repartitionByRange(3, "row_id").sortWithinPartitions("row_id").drop("row_id")
+    rows = ledger(s, d, SHEET)
+    books = max(3, -(-rows.count() // SHEET_ROWS))  # one task writes a workbook
+    laid = rows.repartitionByRange(books, "row_id").sortWithinPartitions("row_id").drop("row_id")
     headers = ["Nº Doc", "Valor", " valor ", "Ativo", "", "Nota"]
     write_workbooks(laid, folder, headers, first_row=3, first_col=2)
     return read_workbooks(s, folder, SheetSpec(3, 2), split_bytes=512 * 1024).drop("row_id")

@@ -2,7 +2,8 @@
 
 A folder of workbooks is read in parallel across its files. A large sheet is cut into ranges of its
 unpacked bytes: each task unpacks the sheet up to its range, noticing row numbers only, and parses the
-rows that start inside. Unpacking takes a small part of the time of parsing.
+rows that start inside. Unpacking takes a small part of the time of parsing, and a sheet has MOST_PARTS
+ranges at most, so the work grows with the sheet and not with its square.
 
 The table of a sheet ends at its first empty row. A task returns the first run of rows without a gap in
 its part; runs that do not join on to those before are left out afterwards, by a table with one row
@@ -17,6 +18,7 @@ import re
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from typing import IO
 from xml.etree import ElementTree
 
@@ -31,6 +33,8 @@ from .spread import broadcast_if_small
 
 # Unpacked bytes of a sheet for one task; files below a 32nd of it are not opened to find out.
 SPLIT_BYTES = 64 * 1024 * 1024
+# Ranges of one sheet; those of a larger sheet are longer. Tasks stream their range.
+MOST_PARTS = 16
 CHUNK = 1024 * 1024
 
 _SHEET_DATA = re.compile(rb"<(?:\w+:)?sheetData\s*(/?)>")
@@ -67,6 +71,7 @@ def cell_text(value: object) -> str | None:
     return str(value)
 
 
+@lru_cache(maxsize=20_000)  # a sheet has 16,384 columns
 def _column_index(reference: str) -> int:
     n = 0
     for letter in re.match("[A-Z]*", reference).group():
@@ -186,7 +191,7 @@ def _rows(
             for number, node in _sheet_nodes(f, span):
                 cells, at = {}, 0
                 for cell in node.findall(f"{_MAIN}c"):
-                    at = _column_index(cell.get("r", "")) or at + 1
+                    at = _column_index(cell.get("r", "").rstrip("0123456789")) or at + 1
                     text = cell_text(_cell_value(cell, shared))
                     if text is not None and text != "":
                         cells[at] = text
@@ -234,7 +239,7 @@ def _workbooks(path: str) -> list[str]:
 
 
 def _spans(path: str, spec: SheetSpec, split_bytes: int) -> list[tuple[int, int] | None]:
-    """Byte ranges of the sheet for one task each; None for a whole sheet.
+    """Byte ranges of the sheet for one task each, MOST_PARTS at most; None for a whole sheet.
 
     Sheets in other encodings than UTF-8 are not cut, since their tags cannot be found by bytes.
     """
@@ -249,7 +254,8 @@ def _spans(path: str, spec: SheetSpec, split_bytes: int) -> list[tuple[int, int]
     named = re.match(rb"(?:\xef\xbb\xbf)?<\?xml[^>]*encoding\s*=\s*[\"']([^\"']*)", start)
     if start[:2] in (b"\xff\xfe", b"\xfe\xff") or named and named[1].lower() not in (b"utf-8", b"us-ascii"):
         return [None]
-    return [(lo, lo + split_bytes) for lo in range(0, member.file_size, split_bytes)]
+    width = max(split_bytes, -(-member.file_size // MOST_PARTS))
+    return [(lo, lo + width) for lo in range(0, member.file_size, width)]
 
 
 class _Part(InputPartition):

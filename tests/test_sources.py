@@ -5,6 +5,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from checks import spark_queries
 from ledgerlink.functions.names import sanitize_name, unique_names
 from ledgerlink.functions.scalars import number_or_null
 from ledgerlink.sources.catalog import (
@@ -21,7 +22,7 @@ from ledgerlink.sources.rowid import duplicate_row_ids, parquet_with_row_id, wit
 from ledgerlink.plans import workbooks
 from ledgerlink.plans.workbooks import write_workbooks
 from ledgerlink.sources import workbook
-from ledgerlink.sources.workbook import SheetSpec, _spans, cell_text, read_workbooks
+from ledgerlink.sources.workbook import MOST_PARTS, SheetSpec, _spans, cell_text, read_workbooks
 
 HEADER = ["Empresa", "Nota Fiscal", "Valor Contábil"]
 ROWS = [("TBRA", "1001", "1000,50"), ("TBRA", "1002", "250.00"), ("ACME", "1003", "999,99")]
@@ -298,6 +299,31 @@ def test_one_sheet_over_many_tasks(spark, tmp_path):
     assert len(paths) > 5
 
 
+def test_parts_of_a_sheet_do_not_grow_with_it(spark, tmp_path):
+    """Each part unpacks the sheet up to its own, so more and more parts would take the square of the sheet."""
+    rows = [["a"], *[[f"k{n}"] for n in range(3000)]]
+    path = write_xlsx(tmp_path / "long.xlsx", rows)
+    spans = _spans(path, SheetSpec(), 1000)
+    assert 8 < len(spans) <= MOST_PARTS
+    cut = read_workbooks(spark, path, SheetSpec(), split_bytes=1000).orderBy("row_id").collect()
+    assert [r["a"] for r in cut] == [f"k{n}" for n in range(3000)]
+
+
+def test_more_rows_make_more_workbooks(spark, tmp_path, monkeypatch):
+    """A workbook is written by one task, so the query gives each a bounded number of rows."""
+    orders = spark.createDataFrame([(n, n % 7, "F", n / 4, "1-URGENT") for n in range(1000)], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string")
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    written = []
+
+    def write(df, folder, *args, **options):
+        written.append(write_workbooks(df, folder, *args, **options))
+
+    monkeypatch.setattr(spark_queries, "write_workbooks", write)
+    monkeypatch.setattr(spark_queries, "SHEET_ROWS", 100)
+    assert spark_queries.workbook_ledger(spark, str(tmp_path)).count() == 1000
+    assert written[0].count() == 10
+
+
 @pytest.mark.parametrize("gap", [1, 2, 40, 41, 79])
 @pytest.mark.parametrize("numbered", [True, False])
 def test_parts_of_a_sheet_end_at_its_first_empty_row(tmp_path, gap, numbered):
