@@ -136,19 +136,28 @@ def _components_in_cells(amounts: DataFrame, limit: float) -> DataFrame:
     """Components of keys with any number of amounts; no task sees all amounts of a key.
 
     Amounts are compared with their neighbour inside cells of the amount axis, then cells with
-    their neighbour; the second step sees one row per cell of a key.
+    their neighbour; the second step sees one row per cell of a key. The piece of a component that
+    lies in one cell is added up there. Only components that go on in another cell are added up by a
+    shuffle of their pieces, and only their amounts are joined with the sums.
     """
     cell_width = max(64.0 * limit, 1000.0)
     cells_of = amounts.withColumn("_cell", F.floor(F.col("m") / cell_width).cast("double"))
     inside = Window.partitionBy("key", "_cell").orderBy("m")
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     gap = F.col("m") - F.lag("m").over(inside) > limit
-    started = cells_of.withColumn("_start", F.when(gap, F.col("m")))
+    of_b = F.when(F.col("nb") > 0, _cents(F.col("m")))
+    started = cells_of.withColumn("_start", F.when(gap, F.col("m"))).withColumn("_b", of_b)
 
     along = Window.partitionBy("key").orderBy("_cell")
     earlier = along.rowsBetween(Window.unboundedPreceding, -1)
     cells = (
         started.groupBy("key", "_cell")
-        .agg(F.min("m").alias("_lo"), F.max("m").alias("_hi"), F.max("_start").alias("_in"))
+        .agg(
+            F.min("m").alias("_lo"),
+            F.max("m").alias("_hi"),
+            F.max("_start").alias("_in"),
+            F.min("_b").alias("_last_b"),  # cents of B fall where ``m`` rises
+        )
         .withColumn("_prev", F.lag("_hi").over(along))
         .withColumn(
             "_fresh",
@@ -156,24 +165,44 @@ def _components_in_cells(amounts: DataFrame, limit: float) -> DataFrame:
         )
         .withColumn("_own", F.coalesce("_in", "_fresh"))
         .withColumn("_open", F.coalesce("_fresh", F.last("_own", ignorenulls=True).over(earlier)))
-        .select("key", "_cell", "_open")
+        .withColumn("_goes_on", F.coalesce(F.lead("_lo").over(along) - F.col("_hi") <= limit, F.lit(False)))
+        .withColumn("_b_before", F.last("_last_b", ignorenulls=True).over(earlier))
+        .select("key", "_cell", "_open", F.col("_fresh").isNull().alias("_came"), "_goes_on", "_in", "_b_before")
     )
-    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    named = materialize(
+    piece = Window.partitionBy("key", "_cell", "_latest")
+    last_b = F.last("_b", ignorenulls=True).over(piece.orderBy("m").rowsBetween(Window.unboundedPreceding, -1))
+    first, last = F.col("_latest").isNull(), F.col("_latest").eqNullSafe(F.col("_in"))
+    sums = {c: F.sum(c).over(piece) for c in ("na", "nb", "nd")}
+    named = (
         started.withColumn("_latest", F.max("_start").over(upto))
+        .withColumn("_clash", F.coalesce(F.col("_b") == last_b, F.lit(False)))
+        .withColumns({**sums, "amounts": F.count(F.lit(1)).over(piece), "clash": F.max("_clash").over(piece)})
+        .withColumns({"_from": F.min("m").over(piece), "_to": F.max("m").over(piece), "_b": F.max("_b").over(piece)})
         .join(cells, ["key", "_cell"])
-        .select("key", "m", F.coalesce("_latest", "_open").alias("comp"), "na", "nb", "nd"),
+        .withColumn("_apart", (first & F.col("_came")) | (last & F.col("_goes_on")))
+        .withColumn("clash", F.col("clash") | (first & F.col("_came") & F.coalesce(F.col("_b") == F.col("_b_before"), F.lit(False))))
+    )
+    # The sums of a piece stand at its first amount, for those that are added up.
+    at_first = F.col("_apart") & (F.col("m") == F.col("_from"))
+    named = materialize(
+        named.select(
+            "key", "m", F.coalesce("_latest", "_open").alias("comp"), "na", "nb", "nd", "amounts", "clash",
+            (F.col("_to") - F.col("_from") <= limit).alias("narrow"), "_apart", F.when(at_first, F.col("_to")).alias("_to"),
+        ),
         "reversal-components",
     )
-    totals = named.groupBy("key", "comp").agg(
-        F.sum("na").alias("na"),
-        F.sum("nb").alias("nb"),
-        F.sum("nd").alias("nd"),
-        F.count(F.lit(1)).alias("amounts"),
-        (F.count_if(F.col("nb") > 0) > F.count_distinct(F.when(F.col("nb") > 0, _cents(F.col("m"))))).alias("clash"),
-        (F.max("m") - F.min("m") <= limit).alias("narrow"),
+    whole = named.filter(~F.col("_apart")).drop("_apart", "_to")
+    totals = (
+        named.filter("_to IS NOT NULL")
+        .groupBy("key", "comp")
+        .agg(
+            *[F.sum(c).alias(c) for c in ("na", "nb", "nd", "amounts")],
+            F.max("clash").alias("clash"),
+            (F.max("_to") - F.min("m") <= limit).alias("narrow"),
+        )
     )
-    return join_lookup(named.select("key", "m", "comp"), totals, ["key", "comp"], how="inner")
+    spread = named.filter("_apart").select("key", "m", "comp")
+    return whole.unionByName(join_lookup(spread, totals, ["key", "comp"], how="inner"))
 
 
 def _component_counts(entries: DataFrame, limit: float, max_amounts: int) -> DataFrame:
@@ -189,6 +218,7 @@ def _component_counts(entries: DataFrame, limit: float, max_amounts: int) -> Dat
     if counts.count() <= max_amounts:  # from the file footers; no key can have more
         return _components_in_key(counts.join(keys.select("key"), "key", "left_semi"), limit)
     many = F.col("_amounts") > max_amounts
+    keys = materialize(keys, "reversal-keys")
     few_keys, many_keys = keys.filter(~many).select("key"), keys.filter(many).select("key")
     few = _components_in_key(counts.join(few_keys, "key", "left_semi"), limit)
     if many_keys.isEmpty():
@@ -196,7 +226,8 @@ def _component_counts(entries: DataFrame, limit: float, max_amounts: int) -> Dat
     large = materialize(
         join_lookup(counts, many_keys, ["key"], how="left_semi"), "reversal-large-keys"
     )
-    return few.unionByName(_components_in_cells(large, limit))
+    cells = _components_in_cells(large, limit)
+    return cells if few_keys.isEmpty() else few.unionByName(cells)
 
 
 def _route(max_component: int, dense: int) -> Column:

@@ -7,6 +7,7 @@ import pytest
 
 from ledgerlink.model import ReversalConfig
 from ledgerlink.operators import chunks, reversal, tallies
+from ledgerlink.operators.joins import join_lookup
 from ledgerlink.operators.pairing import pair_in_row_order
 from ledgerlink.operators.reversal import reversal_marks
 
@@ -272,3 +273,26 @@ def test_zero_sum_groups(spark, limit):
     assert got == zero_sum_plain(rows, limit)
     assert got[2000] == got[202] == PAIRED and 200 not in got
     assert reversal_marks(df.limit(0), ReversalConfig("doc", "ref", "valor", zero_sum_groups=True)).count() == 0
+
+
+def test_only_components_over_several_cells_are_joined(spark, monkeypatch):
+    """Cells are 1000 wide here; what lies in one cell is added up there and not dealt out again."""
+    joined = []
+
+    def join(rows, *args, **options):
+        joined.append(rows.count())
+        return join_lookup(rows, *args, **options)
+
+    monkeypatch.setattr(reversal, "join_lookup", join)
+    rows = [
+        ("K", 0.0, 1, 1, 0), ("K", 500.0, 2, 0, 1), ("K", 505.0, 0, 3, 0), ("K", 512.0, 1, 0, 0),
+        ("K", 999.999, 1, 1, 0), ("K", 1000.001, 2, 2, 1), ("K", 1008.0, 4, 0, 0), ("K", 1500.0, 0, 1, 0),
+        ("K", 2999.0, 1, 0, 0), ("K", 3001.0, 0, 1, 0), ("L", -1.0, 1, 0, 0), ("L", 1.0, 0, 1, 0), ("L", 2100.0, 1, 1, 0),
+    ]
+    amounts = spark.createDataFrame(rows, "key string, m double, na long, nb long, nd long").repartition(5)
+    got = reversal._components_in_cells(amounts, 10.0)
+    assert joined == [7]
+    asked = ["key", "m", "comp", "na", "nb", "nd", "amounts", "clash", "narrow"]
+    cells = {tuple(r) for r in got.select(asked).collect()}
+    assert cells == {tuple(r) for r in reversal._components_in_key(amounts, 10.0).select(asked).collect()}
+    assert ("K", 1008.0, 999.999, 7, 3, 1, 3, True, True) in cells and ("K", 500.0, 500.0, 3, 3, 1, 3, False, False) in cells
