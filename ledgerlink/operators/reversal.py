@@ -35,6 +35,7 @@ from ..model import (
     ReversalConfig,
 )
 from ..scratch import materialize
+from ..sources.spread import narrow_tasks
 from .chunks import pair_by_chunks, pair_whole_components
 from .joins import join_lookup
 from .ranks import CELL_BITS, rank_in_group
@@ -44,6 +45,8 @@ from .zero_sum import zero_sum_flags
 # Entries of a component that one task may pair, and amounts of a key that one task may sort.
 MAX_COMPONENT = 500_000
 MAX_AMOUNTS = 1_000_000
+# Bytes of an entry with its component in a shuffle, about.
+ENTRY_BYTES = 40
 # Entries per amount from which counts are much smaller than the entries themselves.
 DENSE = 16
 
@@ -97,6 +100,8 @@ def _amounts(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
         ),
         "reversal-amounts",
     )
+    n = counts.agg(F.sum(F.col("na") + F.col("nb"))).first()[0] or 0
+    narrow_tasks(entries.sparkSession, n * ENTRY_BYTES)
     keys = (
         counts.groupBy("key")
         .agg(F.sum("na").alias("_a"), F.sum("nb").alias("_b"), F.count(F.lit(1)).alias("_amounts"))
@@ -317,6 +322,7 @@ def reversal_marks(
     if cfg.zero_sum_groups:
         return _marks(zero_sum_flags(a, cfg, row_id))
     limit = float(cfg.limit)
+    narrow_tasks(a.sparkSession)
     entries = _entries(a, cfg, row_id)
     settled = (
         join_lookup(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -25,6 +25,23 @@ def size_shuffles(*ledgers: DataFrame, target_bytes: int = 128 * 1024 * 1024) ->
     return wanted
 
 
+# What a task reads of a shuffle of narrow rows. They compress about fifteenfold against their size in
+# sorts and joins, so Spark's 64 MB would take a gigabyte of a task's memory.
+NARROW_BYTES = 16 * 1024 * 1024
+
+
+def narrow_tasks(spark: SparkSession, shuffled: int = 0) -> None:
+    """Let tasks of this session read NARROW_BYTES of a shuffle at most, where ``shuffled`` bytes are dealt out.
+
+    Adaptive execution merges small partitions up to the advisory size, and splits large ones for skew
+    only; so there must be enough of them. A size that the session was given stays.
+    """
+    size, count = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.shuffle.partitions"
+    if spark.conf.get(size, None) is None:
+        spark.conf.set(size, str(NARROW_BYTES))
+    spark.conf.set(count, str(max(int(spark.conf.get(count)), -(-shuffled // NARROW_BYTES))))
+
+
 # Rows of a table that is broadcast: some hundred megabytes of paths and numbers at most.
 MOST_BROADCAST = 500_000
 

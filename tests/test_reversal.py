@@ -10,6 +10,7 @@ from ledgerlink.operators import chunks, reversal, tallies
 from ledgerlink.operators.joins import join_lookup
 from ledgerlink.operators.pairing import pair_in_row_order
 from ledgerlink.operators.reversal import reversal_marks
+from ledgerlink.sources import spread
 
 PAIRED = ("01_Conciliado", "Conciliado_Estorno")
 LEFT_OVER = ("04_Não Avaliado", "Documentos estornados")
@@ -296,3 +297,27 @@ def test_only_components_over_several_cells_are_joined(spark, monkeypatch):
     cells = {tuple(r) for r in got.select(asked).collect()}
     assert cells == {tuple(r) for r in reversal._components_in_key(amounts, 10.0).select(asked).collect()}
     assert ("K", 1008.0, 999.999, 7, 3, 1, 3, True, True) in cells and ("K", 500.0, 500.0, 3, 3, 1, 3, False, False) in cells
+
+
+def test_tasks_do_not_grow_with_the_ledger(spark, monkeypatch):
+    """Rows of a task are bounded by the bytes it reads, and there are partitions enough for that."""
+    size, count = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.shuffle.partitions"
+    before = {k: spark.conf.get(k, None) for k in (size, count)}
+    monkeypatch.setattr(spread, "NARROW_BYTES", 4000)
+    try:
+        spark.conf.unset(size)
+        spark.conf.set(count, "4")
+        rows = [(n, f"D{n % 50}" if n % 2 else "", "" if n % 2 else f"D{n % 50 + 1}", str(n * 7 % 90 if n % 2 else -(n * 7 % 90))) for n in range(2000)]
+        df = spark.createDataFrame(rows, "row_id long, doc string, ref string, valor string")
+        assert reversal_marks(df, ReversalConfig("doc", "ref", "valor", 3.0)).count() == 2000
+        assert (spark.conf.get(size), spark.conf.get(count)) == ("4000", "20")
+        spark.conf.set(size, "64MB")
+        spark.conf.set(count, "30")
+        spread.narrow_tasks(spark, 8000)
+        assert (spark.conf.get(size), spark.conf.get(count)) == ("64MB", "30")  # larger numbers and given sizes stay
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
