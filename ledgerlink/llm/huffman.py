@@ -18,7 +18,9 @@ decoder looks up the next LIMIT bits in one table and decodes all blocks of a se
 from __future__ import annotations
 
 import gc
+import json
 import os
+import re
 from collections.abc import Callable
 from itertools import chain
 
@@ -40,6 +42,16 @@ BLOCK = 512
 CACHE_WORDS = 1_500_000
 CACHE_LENGTH = 48
 
+#: Words that the library encodes as one text, and what stands between them: a control character.
+JOINED = 500
+MARK = b"\x01"
+SEPARATOR = b" " + MARK + b" "
+#: Words of ASCII letters with stops behind them, and how a vocabulary has to treat them to split there:
+#: it lowers letters and never joins them with stops.
+PLAIN = re.compile(rb"([A-Za-z]+)([.,;:!?]*)")
+LOWERED = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+LETTERS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
 IDS_SCHEMA = "bucket int, before long, doc_id long, n_tokens long, ids binary"
 SEGMENT_SCHEMA = (
     "start long, n_tokens long, bits binary, checkpoints array<long>, "
@@ -162,7 +174,9 @@ class WordTokenizer:
     """Encodes words with the ``tokenizers`` library, each different word once while it is remembered.
 
     The vocabulary's pattern never crosses white space and its normalizer works on runs without
-    it, so the ids of a text are those of its words in a row.
+    it, so the ids of a text are those of its words in a row. New words go to the library JOINED at a
+    time, with a word of MARK alone between them, whose id no word without that character has. Where the
+    vocabulary lowers letters and splits them from stops, words that differ in those alone go there once.
     """
 
     def __init__(self, path: str):
@@ -171,15 +185,52 @@ class WordTokenizer:
 
         self.library = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        mark = self.library.encode(MARK.decode(), add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        first = ((made["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+        splits = (first.get("type"), first.get("pattern"), first.get("behavior"), first.get("invert")) == ("Split", {"Regex": LETTERS}, "Removed", True)
+        self.lowers = splits and (made["normalizer"] or {}).get("normalizers") == LOWERED
 
     def learn(self, new: set[bytes]) -> None:
         """Encode words that are not known."""
-        words = list(new)
-        for at in range(0, len(words), 5000):
-            part = words[at : at + 5000]
-            texts = [w.decode("utf-8", "surrogatepass") for w in part]
-            coded = self.library.encode_batch_fast(texts, add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, np.int32).tobytes()) for w, e in zip(part, coded))
+        if not self.lowers:
+            self.ask(new)
+            return
+        plain = {w: found for w in new if (found := self.parts(w))}
+        parts = set(chain.from_iterable(plain.values()))
+        self.ask(parts.union(new.difference(plain)).difference(self.known))
+        known = self.known
+        known.update([(w, b"".join(map(known.__getitem__, found))) for w, found in plain.items()])
+
+    def parts(self, word: bytes) -> list[bytes]:
+        """Lowered letters and stops of a plain word; nothing for others."""
+        found = PLAIN.fullmatch(word) if self.lowers else None
+        return [p for p in (found[1].lower(), found[2]) if p] if found else []
+
+    def ask(self, new: set[bytes]) -> None:
+        """Encode words by the library."""
+        alone = [w for w in new if MARK in w] if self.mark is not None else list(new)
+        words = list(new.difference(alone))
+        for at in range(0, len(words), 10 * JOINED):
+            parts = [words[i : i + JOINED] for i in range(at, min(at + 10 * JOINED, len(words)), JOINED)]
+            for part, ids in zip(parts, self.ids_of([SEPARATOR.join(part) for part in parts])):
+                ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
+                if len(ends) != len(part):  # a vocabulary that joins words
+                    alone += part
+                    continue
+                blob, begin = ids.tobytes(), 0
+                for w, end in zip(part, (4 * ends).tolist()):
+                    self.known[w] = blob[begin:end]
+                    begin = end + 4
+        for at in range(0, len(alone), 5000):
+            part = alone[at : at + 5000]
+            self.known.update((w, ids.tobytes()) for w, ids in zip(part, self.ids_of(part)))
+
+    def ids_of(self, texts: list[bytes]) -> list[np.ndarray]:
+        coded = self.library.encode_batch_fast([t.decode("utf-8", "surrogatepass") for t in texts], add_special_tokens=False)
+        return [np.array(e.ids, np.int32) for e in coded]
 
     def encode(self, texts: list[str], end: int) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers, with the end id."""
@@ -198,8 +249,8 @@ class WordTokenizer:
         self.learn(new)
         stop = np.array([end], np.int32).tobytes()
         out = [b"".join([*map(self.known.__getitem__, words), stop]) for words in split]
-        for w in [w for w in new if len(w) > CACHE_LENGTH]:
-            del self.known[w]
+        for w in {p for w in new if len(w) > CACHE_LENGTH for p in (w, *self.parts(w)) if len(p) > CACHE_LENGTH}:
+            self.known.pop(w, None)
         return out
 
 

@@ -488,3 +488,25 @@ def test_round_trip_is_encoding_then_decoding(spark, odd):
     for r in rows:
         assert r["b"]["ids"] == r["ids"]
         assert bytes(r["b"]["decoded"]) == (r["text"] or "").encode()
+
+
+def test_library_sees_many_new_words_at_once():
+    """A call for each word would cost more than the encoding; marks and letter cases do not change ids."""
+    tokenizer = huffman.WordTokenizer(vocabularies.path("word_bpe_49k.json"))
+    library, seen = tokenizer.library, []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **options):
+            seen.extend(texts)
+            return library.encode_batch_fast(texts, **options)
+
+    words = [f"{'Ab' * (n % 9)}{chr(97 + n % 26) * (n % 70)}{chr(97 + n // 26 % 26)}{'.,;:!?'[: n % 7]}" for n in range(3000)]
+    odd = ["\x01", "a\x01b", "<|endoftext|>x", "It's", "'s.", "I'LL!", "e\u0301x", "\u0301e", "x\u00a0y.", "\u00a0", "STRASSE.", "İX", "a.b", "...", "A1,", "\u2028", "x\x1cy", "ΑΣ.", "\u1112\u1161\u11ab"]
+    texts = [" ".join(words), " ".join(odd), "\n".join(odd[::-1]), " ".join(w.upper() for w in words[:500]), "", " \x01  \x01 "]
+    tokenizer.library = Counting()
+    got = [np.frombuffer(b, np.int32).tolist() for b in tokenizer.encode(texts, 2)]
+    assert got == [library.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    assert len(seen) < 100
+    assert max(map(len, tokenizer.known)) <= huffman.CACHE_LENGTH
+    tokenizer.mark, tokenizer.lowers, tokenizer.known = None, False, {}
+    assert [np.frombuffer(b, np.int32).tolist() for b in tokenizer.encode(texts, 2)] == got
