@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -120,10 +121,10 @@ def mix(docs: DataFrame, own: dict, make: Callable[[int], list[Schedule]] = sche
     wanted = targets([r["n"] for r in got], [integral(s) for s in made], cap)
     kinds = list(dict.fromkeys(made))
     names = dict(zip(("s", "source_size", "target", "schedule", "c", "before"), fresh(docs, "of", "source_size", "target", "schedule", "in_cell", "before")))
-    plan = spark.createDataFrame(
-        [(r[0], r["n"], t, kinds.index(s)) for r, t, s in zip(got, wanted, made)],
-        f"{names['s']} string, {names['source_size']} long, {names['target']} double, {names['schedule']} int",
-    )
+    # As an Arrow table: rows would go through Python workers of another kind, beside those of all other steps.
+    columns = [pa.array([r[0] for r in got], pa.string()), pa.array([r["n"] for r in got], pa.int64()), pa.array(wanted, pa.float64())]
+    kind_of = pa.array([kinds.index(s) for s in made], pa.int32())
+    plan = spark.createDataFrame(pa.Table.from_arrays([*columns, kind_of], names=[names[k] for k in ("s", "source_size", "target", "schedule")]))
     ahead = Window.partitionBy(source).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
     starts = cells.select(
         F.col(source).alias(f"{names['s']}_"), F.col(cell).alias(names["c"]), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias(names["before"])

@@ -528,12 +528,16 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     Texts that keep all words stay as they are. A changed text gets its length in ``n_chars``, where
     that column exists; a document of which nothing is left goes.
+
+    A text is cut once, by one worker of a task: the optimizer would repeat a deterministic function for
+    the filter on its result, in a second worker that stays as long as the executor is busy.
     """
 
     @F.arrow_udf("string")
     def shortened(texts: pa.Array, spans: pa.Array) -> pa.Array:
         return pa.array([t if not s or t is None else cut(t, s) for t, s in zip(texts.to_pylist(), spans.to_pylist())], pa.string())
 
+    shortened = shortened.asNondeterministic()
     settled, found = find(docs)
     clean = settled.where(F.col("state") == CLEAN).select(*[col(settled, c) for c in docs.columns])
     changed = F.size(F.coalesce("spans", F.array())) > 0

@@ -18,3 +18,16 @@ def test_all_but_the_last_stage_return_the_columns_of_documents(spark, save):
         docs = stage(spark, docs, "")
         assert docs.dtypes == spark.createDataFrame([], SCHEMA).dtypes
     assert docs.count() > 0
+
+
+def test_a_task_has_one_worker_for_texts_that_lose_passages(spark):
+    docs = spark.createDataFrame(odd_rows(), SCHEMA)
+    plan = corpus_pipeline.repeated_passages(spark, docs, "")._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("ArrowEvalPython [shortened(") == 1
+
+
+def test_the_plan_of_the_mix_takes_no_python_worker(spark):
+    docs = spark.createDataFrame(odd_rows(), SCHEMA).coalesce(1)
+    docs = spark.createDataFrame(docs.toArrow())
+    plan = corpus_pipeline.mixed_sources(spark, docs, "")._jdf.queryExecution().sparkPlan().toString()
+    assert "ExistingRDD" not in plan
