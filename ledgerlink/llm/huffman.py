@@ -46,9 +46,10 @@ CACHE_LENGTH = 48
 JOINED = 500
 MARK = b"\x01"
 SEPARATOR = b" " + MARK + b" "
-#: Words of ASCII letters with stops behind them, and how a vocabulary has to treat them to split there:
-#: it lowers letters and never joins them with stops.
-PLAIN = re.compile(rb"([A-Za-z]+)([.,;:!?]*)")
+#: Words of ASCII and Latin-1 letters with signs but apostrophes behind them, and how a vocabulary has to treat
+#: them to split there: it lowers letters and never joins them with signs. END ends the last token of a part.
+PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
+END = "</w>"
 LOWERED = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 LETTERS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
@@ -176,7 +177,8 @@ class WordTokenizer:
     The vocabulary's pattern never crosses white space and its normalizer works on runs without
     it, so the ids of a text are those of its words in a row. New words go to the library JOINED at a
     time, with a word of MARK alone between them, whose id no word without that character has. Where the
-    vocabulary lowers letters and splits them from stops, words that differ in those alone go there once.
+    vocabulary lowers letters and splits them from signs, the two parts of a plain word go there instead, each
+    different one once, and without marks: the last token of a part, and no other, ends with END.
     """
 
     def __init__(self, path: str):
@@ -192,6 +194,10 @@ class WordTokenizer:
         first = ((made["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
         splits = (first.get("type"), first.get("pattern"), first.get("behavior"), first.get("invert")) == ("Split", {"Regex": LETTERS}, "Removed", True)
         self.lowers = splits and (made["normalizer"] or {}).get("normalizers") == LOWERED
+        self.lowers = self.lowers and made["model"].get("end_of_word_suffix") == END
+        vocabulary = self.library.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=-1) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(END)]] = True
 
     def learn(self, new: set[bytes]) -> None:
         """Encode words that are not known."""
@@ -199,15 +205,35 @@ class WordTokenizer:
             self.ask(new)
             return
         plain = {w: found for w in new if (found := self.parts(w))}
-        parts = set(chain.from_iterable(plain.values()))
-        self.ask(parts.union(new.difference(plain)).difference(self.known))
+        self.ask_parts(set(chain.from_iterable(plain.values())).difference(self.known))
+        self.ask(new.difference(plain).difference(self.known))
         known = self.known
         known.update([(w, b"".join(map(known.__getitem__, found))) for w, found in plain.items()])
 
     def parts(self, word: bytes) -> list[bytes]:
-        """Lowered letters and stops of a plain word; nothing for others."""
+        """Lowered letters and signs of a plain word; nothing for others."""
         found = PLAIN.fullmatch(word) if self.lowers else None
-        return [p for p in (found[1].lower(), found[2]) if p] if found else []
+        if not found:
+            return []
+        letters, signs = found.groups()
+        letters = letters.lower() if letters.isascii() else letters.decode().lower().encode()
+        return [letters, signs] if signs else [letters]
+
+    def ask_parts(self, new: set[bytes]) -> None:
+        """Encode parts of plain words by the library."""
+        words, alone = list(new), set()
+        for at in range(0, len(words), 10 * JOINED):
+            parts = [words[i : i + JOINED] for i in range(at, min(at + 10 * JOINED, len(words)), JOINED)]
+            for part, ids in zip(parts, self.ids_of([b" ".join(part) for part in parts])):
+                ends = np.flatnonzero(self.ends[ids]) + 1
+                if len(ends) != len(part):
+                    alone.update(part)
+                    continue
+                blob, begin = ids.tobytes(), 0
+                for w, end in zip(part, (4 * ends).tolist()):
+                    self.known[w] = blob[begin:end]
+                    begin = end
+        self.ask(alone)
 
     def ask(self, new: set[bytes]) -> None:
         """Encode words by the library."""

@@ -510,3 +510,23 @@ def test_library_sees_many_new_words_at_once():
     assert max(map(len, tokenizer.known)) <= huffman.CACHE_LENGTH
     tokenizer.mark, tokenizer.lowers, tokenizer.known = None, False, {}
     assert [np.frombuffer(b, np.int32).tolist() for b in tokenizer.encode(texts, 2)] == got
+
+
+def test_words_that_differ_in_case_and_signs_alone_go_to_the_library_once():
+    tokenizer = huffman.WordTokenizer(vocabularies.path("word_bpe_49k.json"))
+    library, seen = tokenizer.library, []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **options):
+            seen.extend(texts)
+            return library.encode_batch_fast(texts, **options)
+
+    stems = [f"{chr(97 + n % 26)}{'\u00e9\u00c9\u00df\u00f8\u00ffz'[n % 6]}{chr(97 + n // 26)}" for n in range(600)]
+    signs = ["", "###", ".", "),", "\"$$$", "<|>", "-", "&*", "~}"]
+    words = [form + sign for stem in stems for sign in signs for form in {stem, stem.capitalize(), stem.replace("\u00e9", "\u00c9")}]
+    odd = ["a<|endoftext|>", "a'#", "a#'s", "#a", "1#", "a1", "\u00d7\u00f7", "a\u00d7#", "\u00e9\u0301#", "\u00aa#", "</w>", "a</w>"]
+    texts = [" ".join(words), " ".join(odd)]
+    tokenizer.library = Counting()
+    got = [np.frombuffer(b, np.int32).tolist() for b in tokenizer.encode(texts, 2)]
+    assert got == [library.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    assert sum(len(t.split()) for t in seen) <= len(stems) + len(signs) + 2 * len(odd)
