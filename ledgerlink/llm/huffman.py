@@ -22,7 +22,7 @@ import json
 import os
 import re
 from collections.abc import Callable
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -46,9 +46,19 @@ CACHE_LENGTH = 48
 JOINED = 500
 MARK = b"\x01"
 SEPARATOR = b" " + MARK + b" "
-#: Words of ASCII and Latin-1 letters with signs but apostrophes behind them, and how a vocabulary has to treat
-#: them to split there: it lowers letters and never joins them with signs. END ends the last token of a part.
-PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
+#: Kinds of bytes: white space, ASCII letters, ASCII signs but apostrophes, all others. The two bytes of a Latin-1
+#: letter are letters as well; LATIN is the first one.
+BLANK, LETTER, SIGN, OTHER = range(4)
+KINDS = np.full(256, OTHER, np.uint8)
+KINDS[[0x20, *range(0x09, 0x0E)]] = BLANK
+KINDS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = LETTER
+KINDS[[c for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) != "'"]] = SIGN
+SMALL = np.arange(256, dtype=np.uint8)
+SMALL[0x41:0x5B] += 32
+LATIN = 0xC3
+#: Either part of a word of letters with signs behind them, and how a vocabulary has to treat them to split there:
+#: it lowers letters and never joins them with signs. END ends the last token of a part.
+PART = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+|[!-&(-/:-@\[-`{-~]+")
 END = "</w>"
 LOWERED = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 LETTERS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
@@ -171,14 +181,25 @@ def unpack(bits: bytes, checkpoints: np.ndarray, n: int, code: tuple, block: int
 # --- tokenizing -----------------------------------------------------------------------------
 
 
+def grown(array: np.ndarray, size: int) -> np.ndarray:
+    """The array with room for ``size`` values."""
+    if size <= len(array):
+        return array
+    return np.concatenate([array, np.zeros(max(size - len(array), len(array)), array.dtype)])
+
+
 class WordTokenizer:
     """Encodes words with the ``tokenizers`` library, each different word once while it is remembered.
 
     The vocabulary's pattern never crosses white space and its normalizer works on runs without
     it, so the ids of a text are those of its words in a row. New words go to the library JOINED at a
     time, with a word of MARK alone between them, whose id no word without that character has. Where the
-    vocabulary lowers letters and splits them from signs, the two parts of a plain word go there instead, each
-    different one once, and without marks: the last token of a part, and no other, ends with END.
+    vocabulary lowers letters and splits them from signs, the two parts of a word of letters with signs behind
+    them count as two words, in small letters, and go there without marks: the last token of a part, and no
+    other, ends with END.
+
+    Words are cut, told apart and replaced by their ids as arrays over all texts of a call; Python
+    handles each different word of a call once. The ids of all remembered words lie in one array.
     """
 
     def __init__(self, path: str):
@@ -186,7 +207,10 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        #: Number of each word; its ids are ``ids[begin[number]:][:size[number]]``.
+        self.known: dict[bytes, int] = {}
+        self.many = self.filled = 0
+        self.begin, self.size, self.ids = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), np.zeros(1 << 16, np.int32)
         mark = self.library.encode(MARK.decode(), add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
         with open(path, encoding="utf-8") as f:
@@ -199,29 +223,25 @@ class WordTokenizer:
         self.ends = np.zeros(max(vocabulary.values(), default=-1) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(END)]] = True
 
-    def learn(self, new: set[bytes]) -> None:
+    def learn(self, new: list[bytes]) -> None:
         """Encode words that are not known."""
-        if not self.lowers:
-            self.ask(new)
-            return
-        plain = {w: found for w in new if (found := self.parts(w))}
-        self.ask_parts(set(chain.from_iterable(plain.values())).difference(self.known))
-        self.ask(new.difference(plain).difference(self.known))
-        known = self.known
-        known.update([(w, b"".join(map(known.__getitem__, found))) for w, found in plain.items()])
-
-    def parts(self, word: bytes) -> list[bytes]:
-        """Lowered letters and signs of a plain word; nothing for others."""
-        found = PLAIN.fullmatch(word) if self.lowers else None
-        if not found:
-            return []
-        letters, signs = found.groups()
-        letters = letters.lower() if letters.isascii() else letters.decode().lower().encode()
-        return [letters, signs] if signs else [letters]
-
-    def ask_parts(self, new: set[bytes]) -> None:
-        """Encode parts of plain words by the library."""
-        words, alone = list(new), set()
+        parts = [w for w in new if PART.fullmatch(w)] if self.lowers else []
+        self.ask_parts(parts)
+        self.ask(set(new).difference(parts))
+
+    def keep(self, words: list[bytes], ids: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> None:
+        """Remember that the ids of each word are ``ids[begin:end]``."""
+        many, filled = self.many, self.filled
+        self.many, self.filled = many + len(words), filled + len(ids)
+        self.begin, self.size, self.ids = grown(self.begin, self.many), grown(self.size, self.many), grown(self.ids, self.filled)
+        self.begin[many : self.many] = filled + begins
+        self.size[many : self.many] = ends - begins
+        self.ids[filled : self.filled] = ids
+        self.known.update(zip(words, range(many, self.many)))
+
+    def ask_parts(self, words: list[bytes]) -> None:
+        """Encode parts of words by the library."""
+        alone = set()
         for at in range(0, len(words), 10 * JOINED):
             parts = [words[i : i + JOINED] for i in range(at, min(at + 10 * JOINED, len(words)), JOINED)]
             for part, ids in zip(parts, self.ids_of([b" ".join(part) for part in parts])):
@@ -229,10 +249,7 @@ class WordTokenizer:
                 if len(ends) != len(part):
                     alone.update(part)
                     continue
-                blob, begin = ids.tobytes(), 0
-                for w, end in zip(part, (4 * ends).tolist()):
-                    self.known[w] = blob[begin:end]
-                    begin = end
+                self.keep(part, ids, np.append(0, ends[:-1]), ends)
         self.ask(alone)
 
     def ask(self, new: set[bytes]) -> None:
@@ -246,13 +263,12 @@ class WordTokenizer:
                 if len(ends) != len(part):  # a vocabulary that joins words
                     alone += part
                     continue
-                blob, begin = ids.tobytes(), 0
-                for w, end in zip(part, (4 * ends).tolist()):
-                    self.known[w] = blob[begin:end]
-                    begin = end + 4
+                self.keep(part, ids, np.append(0, ends[:-1] + 1), ends)
         for at in range(0, len(alone), 5000):
             part = alone[at : at + 5000]
-            self.known.update((w, ids.tobytes()) for w, ids in zip(part, self.ids_of(part)))
+            found = self.ids_of(part)
+            ends = np.cumsum([len(ids) for ids in found])
+            self.keep(part, np.concatenate(found), np.append(0, ends[:-1]), ends)
 
     def ids_of(self, texts: list[bytes]) -> list[np.ndarray]:
         coded = self.library.encode_batch_fast([t.decode("utf-8", "surrogatepass") for t in texts], add_special_tokens=False)
@@ -266,18 +282,67 @@ class WordTokenizer:
         finally:
             gc.enable()
 
+    def words(self, texts: list[str]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+        """Words of some texts: the different one that each is, these, and where the words of each text end."""
+        coded = [t.encode("utf-8", "surrogatepass") for t in texts]
+        data = np.frombuffer(b" ".join([b"", *coded, b""]), np.uint8)
+        kind, small = KINDS[data], SMALL[data]
+        if not self.lowers:
+            kind[kind != BLANK] = OTHER
+        else:
+            lead = np.flatnonzero(data == LATIN)
+            lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]  # the signs of times and division
+            kind[lead] = kind[lead + 1] = LETTER
+            small[lead[data[lead + 1] < 0x9F] + 1] += 32
+        # Where the kind changes: words begin and end, or letters give way to signs.
+        change = np.flatnonzero(kind[1:] != kind[:-1]) + 1
+        now, was = kind[change], kind[change - 1]
+        opens, closes = was == BLANK, now == BLANK
+        begin, end = change[opens], change[closes]
+        word = np.cumsum(opens) - 1
+        # A word of other bytes, or with signs before letters or alone, stays whole and unchanged.
+        whole = np.zeros(len(begin), bool)
+        whole[word[(now == OTHER) | (now == SIGN) & opens | (now == LETTER) & (was == SIGN)]] = True
+        cut = (now == SIGN) & (was == LETTER) & ~whole[word]
+        begins, sizes = change[opens | cut], change[closes | cut] - change[opens | cut]
+        begin, size = begin[whole], (end - begin)[whole]
+        same = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        small[same] = data[same]
+        offsets = np.zeros(len(begins) + 1, np.int32)
+        np.cumsum(sizes, out=offsets[1:])
+        solid = np.ascontiguousarray(small[kind != BLANK])
+        found = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(solid)]).dictionary_encode()
+        stops = np.cumsum([len(c) + 1 for c in coded], dtype=np.int64)
+        return found.indices.to_numpy(), found.dictionary.to_numpy(zero_copy_only=False).tolist(), np.searchsorted(begins, stops)
+
     def coded(self, texts: list[str], end: int) -> list[bytes]:
-        split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        new = set(chain.from_iterable(split)).difference(self.known)
+        nth, words, stops = self.words(texts)
+        number = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(number < 0)
         if len(self.known) + len(new) > CACHE_WORDS:
             self.known.clear()
-            new = set(chain.from_iterable(split))
-        self.learn(new)
-        stop = np.array([end], np.int32).tobytes()
-        out = [b"".join([*map(self.known.__getitem__, words), stop]) for words in split]
-        for w in {p for w in new if len(w) > CACHE_LENGTH for p in (w, *self.parts(w)) if len(p) > CACHE_LENGTH}:
-            self.known.pop(w, None)
-        return out
+            self.many = self.filled = 0
+            new = np.arange(len(words))
+        missing = [words[i] for i in new.tolist()]
+        long = [w for w in missing if len(w) > CACHE_LENGTH]
+        self.learn([w for w in missing if len(w) <= CACHE_LENGTH] if long else missing)
+        many, filled = self.many, self.filled
+        self.learn(long)
+        number[new] = [self.known[w] for w in missing]
+        # The end id stands behind the last word of each text.
+        number = number[nth]
+        size = np.insert(self.size[number], stops, 1)
+        ends = np.cumsum(size)
+        begins = np.insert(self.begin[number], stops, 0)
+        ids = self.ids[np.repeat(begins - (ends - size), size) + np.arange(size.sum())]
+        ends = ends[stops + np.arange(len(stops))]
+        ids[ends - 1] = end
+        blob, ends = ids.tobytes(), (4 * ends).tolist()
+        if long:
+            self.many, self.filled = many, filled
+            for w in long:
+                del self.known[w]
+        return [blob[a:b] for a, b in zip([0, *ends], ends)]
 
 
 _tokenizers: dict[str, WordTokenizer] = {}

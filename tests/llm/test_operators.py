@@ -530,3 +530,23 @@ def test_words_that_differ_in_case_and_signs_alone_go_to_the_library_once():
     got = [np.frombuffer(b, np.int32).tolist() for b in tokenizer.encode(texts, 2)]
     assert got == [library.encode(t, add_special_tokens=False).ids + [2] for t in texts]
     assert sum(len(t.split()) for t in seen) <= len(stems) + len(signs) + 2 * len(odd)
+
+
+def test_a_word_is_remembered_once_whatever_its_case_and_signs(monkeypatch):
+    """A worker's time and memory follow the different parts of words, not the forms in which they occur."""
+    tokenizer = huffman.WordTokenizer(vocabularies.path("word_bpe_49k.json"))
+    stems = [f"{chr(97 + n % 26)}{'\u00e9\u00df\u00f8\u00ffz'[n % 5]}{chr(97 + n // 26)}" for n in range(500)]
+    signs = [".", ",", "...", "\"$$$", "<|>", "&*"]
+    whole = ["|", "##", "'s", "I'LL", "a1", "a<|endoftext|>", "x.y", "\u00d7", "e\u0301.", "w" * 100, "w" * 100 + ".", "9" * 100]
+    texts = ["", " ".join(f"{form}{sign}" for stem in stems for sign in ["", *signs] for form in (stem, stem.capitalize())), "\n".join(whole), " \t"]
+    want = [tokenizer.library.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    for _ in range(2):
+        assert [np.frombuffer(b, np.int32).tolist() for b in tokenizer.encode(texts, 2)] == want
+        assert len(tokenizer.known) <= len(stems) + len(signs) + len(whole)
+        # Long words leave nothing behind.
+        assert tokenizer.many == len(tokenizer.known) and tokenizer.filled == (tokenizer.begin + tokenizer.size)[: tokenizer.many].max()
+    monkeypatch.setattr(huffman, "CACHE_WORDS", 300)
+    for at in range(0, 500, 100):
+        text = " ".join(stems[at : at + 200])
+        assert np.frombuffer(tokenizer.encode([text], 2)[0], np.int32).tolist() == tokenizer.library.encode(text, add_special_tokens=False).ids + [2]
+        assert tokenizer.many == len(tokenizer.known) <= 300
